@@ -53,3 +53,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_source_mix, op5_quality_rules, op6_simhash, op10_language_id)}
+
+ORACLE_SQL: dict[str, str] = {}
