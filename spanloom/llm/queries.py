@@ -30,6 +30,12 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import drop_repeats
+
+    return drop_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -42,6 +48,36 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", unsigned_hex(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .pieces import MARK, decode, encode
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = decode(encode(docs, model), model)
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), F.octet_length(text).cast("bigint").alias("n_bytes"), F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        (F.col("decoded") == F.replace(text, F.lit(MARK), F.lit(" "))).alias("round_trip"),
+    )
+
+
+def op8_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_preferences, pair_conversations
+
+    found = format_preferences(pair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    whole = lambda side: F.array_join(F.transform(f"{side}_completion", lambda s: s.text), "").alias(f"{side}_text")
+    train = lambda side: F.aggregate(f"{side}_completion", F.lit(0), lambda n, s: n + F.when(s.train, F.length(s.text)).otherwise(0)).cast("bigint").alias(f"{side}_train_chars")
+    return found.select("pair_id", "chosen_id", "rejected_id", "n_common", "prompt", whole("chosen"), whole("rejected"), train("chosen"), train("rejected"))
+
+
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chaining import repeated_passages
+
+    return repeated_passages(documents(spark, sf_dir)).withColumnsRenamed({"id": "doc_id", "partner": "partner_id"})
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import predict, train
 
@@ -52,6 +88,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_source_mix, op5_quality_rules, op6_simhash, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_source_mix, op4_suffix_dedup, op5_quality_rules, op6_simhash, op7_sentencepiece, op8_preference_pairs, op9_repeated_passages, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {}
