@@ -2,4 +2,6 @@
 
 from __future__ import annotations
 
-CATALOGUE: dict[str, tuple] = {}
+from . import basic, generating, models, scoring, sequences, validating
+
+CATALOGUE: dict[str, tuple] = basic.CATALOGUE
