@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed by the method: n-gram lengths and hash buckets. CHUNK bounds the characters that are held as n-grams at a time.
 LENGTHS, BUCKETS, CHUNK = (1, 2, 3), 1 << 15, 1 << 19
@@ -105,5 +106,5 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id
                 score[at] = 1 / np.exp(total - total.max(axis=1)[:, None]).sum(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names.tolist(), pa.string()), pa.array(score)], names=[id_col, "lang_pred", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    schema = T.StructType([docs.schema[id_col], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)

@@ -13,8 +13,9 @@ from .common import SPACE, joined, stored
 COMMON = 24
 #: Guards: texts with fewer words than these are too short for either comparison.
 MIN_CLASS_WORDS, MIN_COMMON_WORDS = 20, 100
-#: Jensen-Shannon distances (base 2, 0 to 1) above which a text's histogram isn't its language's.
-MAX_CLASS, MAX_COMMON = 0.35, 0.62
+#: Jensen-Shannon distances (base 2, 0 to 1) above which a text's histogram isn't its language's: of labelled documents those of good
+#: quality stay below 0.28 on both, most symbol, capital and table junk lies above 0.34.
+MAX_CLASS, MAX_COMMON = 0.31, 0.34
 SYMBOLS = "#*$%&|<>"
 
 
