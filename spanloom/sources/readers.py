@@ -57,7 +57,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     entries = F.from_json(listed, f"array<{MANIFEST_ENTRY}>")
     lists = text.filter(listed.isNotNull()).select(F.inline(entries))
     pairs = text.filter(listed.isNull()).select(F.explode(F.from_json("value", "map<string,string>")).alias("video_id", "v"))
-    entry = F.from_json("v", MANIFEST_ENTRY.removeprefix("struct<").removesuffix(">"))
+    entry = F.from_json("v", MANIFEST_ENTRY)
     maps = pairs.select("video_id", entry.alias("e"), "v").select("video_id", F.coalesce("e.level", F.col("v").try_cast("int")).alias("level"), "e.filename", "e.duration_sec")
     return lists.unionByName(maps)
 
