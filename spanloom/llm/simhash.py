@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from .common import stored
 from .components import connected_components
 
-#: Fingerprints in a block: at least, and at most whatever the corpus. A task compares two blocks, tile by tile.
-BLOCK, MOST, TILE = 8192, 1 << 20, 512
+#: Blocks that fingerprints are dealt to, so that each goes to at most so many tasks; and most fingerprints in a block, beyond which there
+#: are more blocks. A task compares two blocks, tile by tile.
+BLOCKS, MOST, TILE = 32, 1 << 20, 512
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -102,7 +103,7 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     quarter = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))).cast("int").alias(f"q{k}") for k in range(4)]
     names = [f"q{k}" for k in range(4)]
     counts = fps.select(*quarter).groupBy(*names).count().orderBy(*names).collect()
-    size = min(MOST, max(BLOCK, -(-sum(r["count"] for r in counts) // 64)))
+    size = min(MOST, max(TILE, -(-sum(r["count"] for r in counts) // BLOCKS)))
     keys, boxes, room = [], [], 0
     for r in counts:
         q = [r[n] for n in names]
