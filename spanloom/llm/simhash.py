@@ -17,34 +17,65 @@ from .components import connected_components
 #: Blocks that fingerprints are dealt to, so that each goes to at most so many tasks; and most fingerprints in a block, beyond which there
 #: are more blocks. A task compares two blocks, tile by tile.
 BLOCKS, MOST, TILE = 32, 1 << 20, 512
+#: The same for blocks with sketches, and slots of a sketch.
+SKETCH_BLOCKS, MOST_SKETCHES, SLOTS = 8, 1 << 16, 256
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """64-bit SimHash, as a signed integer, of the text's word shingles: each votes with its XXH64 (seed 42)."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of the text's word shingles, repeats included; none for a wordless text."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) < width:
-        hashes = [digest(joined, 42)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[: len(words) - width] + 1))
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        return np.array([digest(joined, 42)], "<u8")
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[: len(words) - width] + 1))
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)], "<u8")
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """64-bit SimHash, as a signed integer: a bit is set if it is in over half the hashes."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of id_col and fp (bigint), one for each input row; null and wordless texts have fingerprint 0. Map-only."""
+def sketch(hashes: np.ndarray) -> bytes:
+    """One-permutation MinHash: of the hashes that fall in each of SLOTS the least, cut to 16 bits from 1 up; 0 if there's none."""
+    order = np.unique(hashes)
+    slot = (order % np.uint64(SLOTS)).astype(np.int64)
+    least = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, slot, order)
+    value = ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)) % np.uint64(65535) + np.uint64(1)
+    return np.where(least == np.iinfo(np.uint64).max, 0, value).astype("<u2").tobytes()
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether the rows of two matrices of sketches show a Jaccard similarity of at least `least`; texts without words are alike."""
+    out = np.empty(len(a), bool)
+    for i in range(0, len(a), 1 << 14):
+        x, y = a[i : i + (1 << 14)], b[i : i + (1 << 14)]
+        used = ((x != 0) | (y != 0)).sum(axis=1)
+        out[i : i + (1 << 14)] = ((x == y) & (x != 0)).sum(axis=1) >= least * used
+    return out
+
+
+def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text", sketches: bool = False) -> DataFrame:
+    """Rows of id_col, fp (bigint) and, if asked for, sketch, one for each input row; null and wordless texts have fingerprint 0. Map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"])
+            fps, minima = [], []
+            for text in batch.column(1):
+                hashes = shingle_hashes(text.as_py(), width)
+                fps.append(fingerprint(hashes) if len(hashes) else 0)
+                if sketches:
+                    minima.append(sketch(hashes))
+            more = [pa.array(minima, pa.binary())] if sketches else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *more], names=[id_col, "fp", "sketch"][: 2 + sketches])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, fp bigint" + ", sketch binary" * sketches)
 
 
 def _quarters(fps: np.ndarray) -> np.ndarray:
@@ -91,19 +122,16 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[root[other]]
 
 
-def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """Links (u, v) between distinct fingerprints, enough of them to join all that are within radius of each other.
+def _pairs_of_blocks(rows: DataFrame, radius: int, most: int, blocks: int) -> DataFrame:
+    """rows (with fp) once for each pair of blocks to compare: adds pair and side.
 
-    fps: a stored table with a column fp, without repeats. Every pair of fingerprints is compared, or skipped because bit counts prove it
-    too far apart. Blocks of fingerprints with like bit counts are built from the exact histogram of the four quarter
-    counts (17**4 keys at most, whatever the corpus); pairs of blocks go to tasks of bounded size, and each returns a
-    spanning forest of what it finds, not all pairs. The work is quadratic in the number of distinct fingerprints.
+    Blocks hold fingerprints with like counts of bits in their quarters, by the exact histogram of those counts (17**4 keys at most,
+    whatever the corpus). Pairs whose counts prove all fingerprints over radius apart are left out.
     """
-    spark = fps.sparkSession
+    spark, names = rows.sparkSession, [f"q{k}" for k in range(4)]
     quarter = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))).cast("int").alias(f"q{k}") for k in range(4)]
-    names = [f"q{k}" for k in range(4)]
-    counts = fps.select(*quarter).groupBy(*names).count().orderBy(*names).collect()
-    size = min(MOST, max(TILE, -(-sum(r["count"] for r in counts) // BLOCKS)))
+    counts = rows.select(*quarter).groupBy(*names).count().orderBy(*names).collect()
+    size = min(most, max(TILE, -(-sum(r["count"] for r in counts) // blocks)))
     keys, boxes, room = [], [], 0
     for r in counts:
         q = [r[n] for n in names]
@@ -115,9 +143,7 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
             boxes[-1] = [[*map(min, boxes[-1][0], q)], [*map(max, boxes[-1][1], q)]]
         room -= r["count"]
         keys.append((*q, len(boxes) - parts, parts))
-    if not boxes:
-        return spark.createDataFrame([], "u bigint, v bigint")
-    low, high = (np.array([b[k] for b in boxes]) for k in (0, 1))
+    low, high = (np.array([b[k] for b in boxes]).reshape(-1, 4) for k in (0, 1))
     pairs = []
     for i in range(len(boxes)):
         apart = np.maximum(0, np.maximum(low[i:] - high[i], low[i] - high[i:])).sum(axis=1)
@@ -125,42 +151,85 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
             pairs += [(i, len(pairs) // 2, 0), (j, len(pairs) // 2, 1)]
     of_key = spark.createDataFrame(keys, ", ".join(f"{n} int" for n in names) + ", block int, parts int")
     of_block = spark.createDataFrame(pairs, "block int, pair int, side int")
-    dealt = fps.select("fp", *quarter).join(F.broadcast(of_key), names).select("fp", (F.col("block") + F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).alias("block")).join(F.broadcast(of_block), "block")
+    dealt = rows.withColumns({n: q for n, q in zip(names, quarter, strict=True)}).join(F.broadcast(of_key), names)
+    return dealt.withColumn("block", F.col("block") + F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(F.broadcast(of_block), "block").select(*rows.columns, "pair", "side")
+
+
+def _sides(part: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    return part[part["side"] == 0], part[part["side"] == 1]
+
+
+def _near(a: pd.DataFrame, b: pd.DataFrame, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and nodes of the pairs of different nodes within radius."""
+    i, j = links(a["fp"].to_numpy().view(np.uint64), b["fp"].to_numpy().view(np.uint64), radius)
+    u, v = a["node"].to_numpy()[i], b["node"].to_numpy()[j]
+    other = u != v
+    return i[other], j[other], u[other], v[other]
+
+
+def near_links(rows: DataFrame, radius: int = 4, similarity: float | None = None) -> DataFrame:
+    """Links (u, v) between nodes, enough of them to join all whose fingerprints are within radius of each other and, if a
+    similarity is asked for, whose sketches show it.
+
+    rows: a stored table of node (bigint, without repeats), fp, and sketch if similarity is given. Every pair of fingerprints is compared, or
+    skipped because bit counts prove it too far apart. Pairs of blocks go to tasks of bounded size, and each returns a spanning
+    forest of what it finds, not all pairs. The work is quadratic in the number of nodes. Sketches are heavy, so they travel
+    only with nodes that have another within radius, which a first comparison finds.
+    """
+
+    def forest(part: pd.DataFrame) -> pd.DataFrame:
+        _, _, u, v = _near(*_sides(part), radius)
+        u, v = _forest(u, v)
+        return pd.DataFrame({"u": u, "v": v})
+
+    def active(part: pd.DataFrame) -> pd.DataFrame:
+        _, _, u, v = _near(*_sides(part), radius)
+        return pd.DataFrame({"node": np.unique(np.concatenate([u, v]))})
 
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        a, b = (part["fp"].to_numpy()[part["side"].to_numpy() == k].view(np.uint64) for k in (0, 1))
-        i, j = links(a, b, radius)
-        u, v = a[i], b[j]
-        apart = u != v
-        u, v = _forest(u[apart], v[apart])
-        return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
+    def alike(part: pd.DataFrame) -> pd.DataFrame:
+        a, b = _sides(part)
+        i, j, u, v = _near(a, b, radius)
+        x, y = (np.frombuffer(b"".join(p["sketch"]), "<u2").reshape(-1, SLOTS) for p in (a, b))
+        ok = np.concatenate([similar(x[i[k : k + (1 << 14)]], y[j[k : k + (1 << 14)]], similarity) for k in range(0, len(i), 1 << 14)] or [np.empty(0, bool)])
+        u, v = _forest(u[ok], v[ok])
+        return pd.DataFrame({"u": u, "v": v})
 
-    return dealt.groupBy("pair").applyInPandas(compare, "u bigint, v bigint")
+    plain = _pairs_of_blocks(rows.select("node", "fp"), radius, MOST, BLOCKS).groupBy("pair")
+    if similarity is None:
+        return plain.applyInPandas(forest, "u bigint, v bigint")
+    met = stored(plain.applyInPandas(active, "node bigint").distinct(), "active")
+    kept = stored(rows.join(met, "node", "left_semi"), "sketches")
+    return _pairs_of_blocks(kept, radius, MOST_SKETCHES, SKETCH_BLOCKS).groupBy("pair").applyInPandas(alike, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's SimHash and its near-duplicate group.
 
-    Rows: one per input row with id_col, fp and component (the smallest id reachable over fingerprints that differ in at
-    most radius bits; its own included). Words are lower-cased (A-Z) runs of anything but ASCII white space; a text of
-    fewer than width words is one shingle; null and wordless texts have fingerprint 0, linked like any other. Rows that
-    repeat an id or a text repeat in the result; a null id is never a component unless its group has no other. An empty
-    table gives none; other columns are not looked at.
+    Rows: one per input row with id_col, fp and component (the smallest id reachable over links; its own included). Two texts are
+    linked if their fingerprints differ in at most radius bits and, where a similarity is given, the Jaccard similarity of their
+    shingle sets, as one-permutation MinHashes of SLOTS slots tell it, is at least that. Words are lower-cased (A-Z) runs of
+    anything but ASCII white space; a text of fewer than width words is one shingle; null and wordless texts have fingerprint 0,
+    linked like any other. Rows that repeat an id or a text repeat in the result; a null id is never a component unless
+    its group has no other. An empty table gives none; other columns are not looked at.
     """
-    prints = stored(fingerprints(docs, width, id_col, text_col).withColumnRenamed(id_col, "id"), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = connected_components(near_links(distinct, radius))
-    group = stored(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "groups")
+    prints = fingerprints(docs, width, id_col, text_col, similarity is not None).withColumnRenamed(id_col, "id")
+    node = F.col("fp") if similarity is None else F.xxhash64("fp", "sketch")
+    prints = stored(prints.withColumn("node", node), "fingerprints")
+    extra = [] if similarity is None else [F.first("sketch").alias("sketch")]
+    distinct = stored(prints.groupBy("node", "fp").agg(F.min("id").alias("least"), *extra), "distinct")
+    roots = connected_components(near_links(distinct.drop("least"), radius, similarity)).withColumnRenamed("node", "of")
+    group = stored(distinct.select("node", "least").join(roots, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root")), "groups")
     least = group.groupBy("root").agg(F.min("least").alias("component"))
-    of_fp = group.join(least, "root").select("fp", "component")
-    return prints.join(of_fp, "fp").select(F.col("id").alias(id_col), "fp", "component")
+    of_node = group.join(least, "root").select("node", "component")
+    return prints.select("id", "fp", "node").join(of_node, "node").select(F.col("id").alias(id_col), "fp", "component")
 
 
-def near_dedup(docs: DataFrame, width: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, width: int = 5, radius: int = 12, similarity: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, one for each near-duplicate group: the one with the group's smallest id.
 
-    Of rows that repeat that id, one stays; of rows with a null id, one if the group has no other.
+    At a similarity of 0.8, 97 of 100 pairs of texts have five-word fingerprints within 12 bits; see near_duplicates. Of rows that repeat
+    that id, one stays; of rows with a null id, one if the group has no other.
     """
-    found = near_duplicates(docs, width, radius, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component"))).select(F.col(id_col).alias("id")).distinct()
+    found = near_duplicates(docs, width, radius, similarity, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component"))).select(F.col(id_col).alias("id")).distinct()
     kept = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))
     return kept.join(found, kept.id.eqNullSafe(found.id), "left_semi").dropDuplicates(["id"]).select("row.*")
