@@ -13,7 +13,7 @@ WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 BLOCK, SHARD = 256, 1 << 19
 
 #: What Spark and other engines spell differently.
-SPARK = {"range": "explode(sequence({0}, {1}))", "hash": "cast(conv(substr(md5({0}), {1}, 8), 16, 10) as bigint)", "div": "({0} div {1})"}
+SPARK = {"range": "explode(sequence({0}, {1}))", "hash": "cast(conv(substr(md5({0}), {1}, 8), 16, 10) as bigint)", "div": "({0} div {1})", "pick": "element_at(array({0}), {1})", "same": "{0} <=> {1}"}
 
 #: Of a list of items with votes, `seats` to give in each group: the highest quotients votes / (2k + 1) win a seat each.
 #: With N seats and n items, the divisor that fills them is within n / 2N of the plain one, so only about four quotients
@@ -41,7 +41,7 @@ STEPS = [
 with sums as (
   select source, count(*) as docs, cast(sum(size) as bigint) as source_size from {sized} group by source
 ), ranked as (
-  select *, element_at(array(@weights@), cast((sid - 1) % @n_weights@ + 1 as int)) as weight, @most@.0D * source_size as most
+  select *, @pick(@weights@, cast((sid - 1) % @n_weights@ + 1 as int))@ as weight, @most@.0D * source_size as most
   from (select *, row_number() over (order by case when source is null then 1 else 0 end, source) as sid from sums)
 ), filled as (
   select *, row_number() over (order by most / weight, sid) as turn,
@@ -59,9 +59,9 @@ from filled f left join first_open o on true left join filled l on l.turn = o.tu
     ("laid", """
 with dealt as (
   select d.id, d.size, d.h2, d.rid, s.sid, s.source_size, s.target, d.h1 % greatest(1, cast(ceil(s.source_size / @shard@.0D) as bigint)) as shard
-  from {sized} d join {sources} s on d.source <=> s.source
+  from {sized} d join {sources} s on @same(d.source, s.source)@
 )
-select *, sum(size) over (partition by sid, shard order by h2, id, size, rid rows between unbounded preceding and current row) - size as at from dealt
+select *, sum(size) over (partition by sid, shard order by h2, id, size, rid rows between unbounded preceding and current row) - size as pos from dealt
 """),
     ("shards", "select sid, shard, cast(sum(size) as bigint) as shard_size from {laid} group by sid, shard"),
     ("shard_items", "select s.sid as grp, s.shard as item, cast(s.shard_size as double) as votes, q.quota as seats from {shards} s join {source_quota} q on s.sid = q.item"),
@@ -76,14 +76,14 @@ with cut as (
 ), ranked as (
   select *, row_number() over (partition by sid, shard order by @hash(concat('@seed@|', cast(sid as string), '|', cast(shard as string), '|', cast(j as string)), 1)@, j) as place from block
 ), chosen as (select *, @div(passes, blocks)@ + case when place <= passes % blocks then 1 else 0 end as times from ranked)
-select sid, shard, j, times, sum(times * len) over (partition by sid, shard order by j rows between unbounded preceding and current row) - times * len as before from chosen
+select sid, shard, j, times, sum(times * len) over (partition by sid, shard order by j rows between unbounded preceding and current row) - times * len as earlier from chosen
 """),
     ("mixed", """
 select d.id, d.rid, d.size, d.source_size, d.target,
-  cast(case when d.size = 0 then 0 else z.before + z.times * (d.at + d.size - z.j * @block@) - a.before - a.times * (d.at - a.j * @block@) end as bigint) as taken
+  cast(case when d.size = 0 then 0 else z.earlier + z.times * (d.pos + d.size - z.j * @block@) - a.earlier - a.times * (d.pos - a.j * @block@) end as bigint) as taken
 from {laid} d
-left join {blocks} a on d.sid = a.sid and d.shard = a.shard and @div(d.at, @block@)@ = a.j and d.size > 0
-left join {blocks} z on d.sid = z.sid and d.shard = z.shard and @div((d.at + d.size - 1), @block@)@ = z.j and d.size > 0
+left join {blocks} a on d.sid = a.sid and d.shard = a.shard and @div(d.pos, @block@)@ = a.j and d.size > 0
+left join {blocks} z on d.sid = z.sid and d.shard = z.shard and @div((d.pos + d.size - 1), @block@)@ = z.j and d.size > 0
 """),
 ]
 

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, unsigned_hex
+from .oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +42,8 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
-    return quality(documents(spark, sf_dir))
+    found = quality(documents(spark, sf_dir))
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "common_distance")})
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,5 +93,3 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_source_mix, op4_suffix_dedup, op5_quality_rules, op6_simhash, op7_sentencepiece, op8_preference_pairs, op9_repeated_passages, op10_language_id)}
-
-ORACLE_SQL: dict[str, str] = {}
