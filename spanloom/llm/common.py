@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,13 @@ def unsigned_hex(c: Column) -> Column:
     return F.lower(F.lpad(F.hex(c), 16, "0"))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a task holds few texts as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def merged_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """Union of half-open intervals as maximal disjoint ones."""
     out: list[tuple[int, int]] = []

@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import slices, stored
 
 #: The mark that stands for a space. A piece has it only at its start, so pieces never join what stands on both sides of one.
 MARK = "▁"
 #: Texts of more characters are cut into chunks of about so many, each a row of its own.
 CHUNK = 1 << 16
 #: Entries that a task's memory of units may hold before it starts afresh.
-CACHE_UNITS = 300_000
+CACHE_UNITS = 150_000
 
 
 def model_table(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
@@ -48,7 +48,9 @@ class _Units(dict):
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= CACHE_UNITS:
             self.clear()
-        ids = self[unit] = np.array(self.model.encode(unit), np.int32).tobytes()
+        # A lone space at a text's end is a mark by itself; the library would take it for an empty text.
+        found = self.model.encode(unit) if unit else [self.model.piece_to_id(MARK)]
+        ids = self[unit] = np.array(found, np.int32).tobytes()
         return ids
 
 
@@ -94,7 +96,7 @@ def encode(docs: DataFrame, model_file: str, chunk: int = CHUNK, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Units(shipped.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("row").field(text_col) if "row" in batch.schema.names else batch.column("text")
             parts = [b"".join(map(known.__getitem__, units(_plain(t)))) for t in texts.to_pylist()]
             ends = np.cumsum([0, *(len(p) // 4 for p in parts)])
@@ -104,7 +106,7 @@ def encode(docs: DataFrame, model_file: str, chunk: int = CHUNK, id_col: str = "
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), ids], names=[*names, "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found = chunks(_plain(text), chunk)
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), pa.array(found, pa.string())], names=["key", "at", "text"])
@@ -124,7 +126,7 @@ def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids", to: str =
     table = model_table(sentencepiece.SentencePieceProcessor(model_file=model_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if i is None else b"".join(map(table.__getitem__, i)).decode("utf-8", "replace").removeprefix(" ") for i in (x.as_py() if not x.is_valid else x.values.to_numpy(zero_copy_only=False).tolist() for x in batch.column(ids_col))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, to])
 
