@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from spanloom.functions.intervals import iou
 
 
-def candidates(pred: DataFrame, gt: DataFrame, thr: float = 0.5) -> DataFrame:
-    """Pairs of a video and class with IoU of at least thr > 0: an equi-join whose residual is the overlap.
+def candidates(pred: DataFrame, gt: DataFrame, thr: float = 0.5, bucket: float = 43200.0) -> DataFrame:
+    """Pairs of a video and class with IoU of at least thr > 0.
 
-    pred: video_id, pred_id, class_name, st, en; gt: the same with gt_id.
+    pred: video_id, pred_id, class_name, st, en; gt: the same with gt_id. Intervals go to each stretch of `bucket` seconds that
+    they touch, and a pair counts in the stretch where its overlap begins: an equi-join on video, class and stretch, whose
+    work stays near the result for a video with any number of events. bucket should be about the usual length or more.
     """
-    p, g = pred.alias("p"), gt.alias("g")
-    on = (F.col("p.video_id") == F.col("g.video_id")) & (F.col("p.class_name") == F.col("g.class_name")) & (F.col("p.st") < F.col("g.en")) & (F.col("g.st") < F.col("p.en"))
-    pairs = p.join(g, on).select("p.video_id", "p.class_name", "p.pred_id", "g.gt_id", iou(F.col("p.st"), F.col("p.en"), F.col("g.st"), F.col("g.en")).alias("iou"))
+    touched = F.explode(F.sequence(F.floor(F.col("st") / bucket), F.floor(F.greatest("st", "en") / bucket)))
+    p, g = pred.withColumn("_b", touched).alias("p"), gt.withColumn("_b", touched).alias("g")
+    on = (F.col("p.video_id") == F.col("g.video_id")) & (F.col("p.class_name") == F.col("g.class_name")) & (F.col("p._b") == F.col("g._b")) & (F.col("p.st") < F.col("g.en")) & (F.col("g.st") < F.col("p.en"))
+    first = F.floor(F.greatest("p.st", "g.st") / bucket) == F.col("p._b")
+    pairs = p.join(g, on & first).select("p.video_id", "p.class_name", "p.pred_id", "g.gt_id", iou(F.col("p.st"), F.col("p.en"), F.col("g.st"), F.col("g.en")).alias("iou"))
     return pairs.filter(F.col("iou") >= thr)
 
 

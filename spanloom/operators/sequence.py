@@ -30,13 +30,20 @@ def sliding_windows(clips: DataFrame, width: int, stride: int, n: str = "n") ->
     return clips.withColumn("st", F.explode(starts)).withColumn("en", F.least(F.col(n), F.col("st") + width).cast("bigint"))
 
 
-def window_frames(windows: DataFrame, frames: DataFrame, part: list[str] = PART, i: str = "i") -> DataFrame:
-    """Each window with its frames: an equi-join on the sequence with the range as residual."""
-    a, b = windows.alias("w"), frames.alias("f")
-    on = (F.col(f"f.{i}") >= F.col("w.st")) & (F.col(f"f.{i}") < F.col("w.en"))
+def window_frames(windows: DataFrame, frames: DataFrame, part: list[str] = PART, i: str = "i", bucket: int = 64) -> DataFrame:
+    """Each window [st, en) with its frames.
+
+    Frames lie in buckets of `bucket` indices and a window goes to each bucket that it touches, so this is an equi-join on sequence and
+    bucket whose work follows the result, however long a sequence is.
+    """
+    b = F.lit(bucket)
+    touched = F.sequence(F.floor(F.col("st") / b), F.floor((F.greatest(F.col("en"), F.col("st") + 1) - 1) / b))
+    w = windows.withColumn("_b", F.explode(touched)).alias("w")
+    f = frames.withColumn("_b", F.floor(F.col(i) / b)).alias("f")
+    on = (F.col("w._b") == F.col("f._b")) & (F.col(f"f.{i}") >= F.col("w.st")) & (F.col(f"f.{i}") < F.col("w.en"))
     for p in part:
         on = on & (F.col(f"w.{p}") == F.col(f"f.{p}"))
-    return a.join(b, on).select("w.*", *(F.col(f"f.{c}") for c in frames.columns if c not in windows.columns))
+    return w.join(f, on).select(*(F.col(f"w.{c}") for c in windows.columns), *(F.col(f"f.{c}") for c in frames.columns if c not in windows.columns))
 
 
 def smooth(curve: DataFrame, win: int, value: str = "p", part: list[str] = PART, i: str = "i", to: str = "smooth") -> DataFrame:
@@ -120,12 +127,15 @@ def expand(spans: DataFrame, factor: float, least: int, n: str = "n") -> DataFra
 
 def nearest(edges: DataFrame, points: DataFrame, key: list[str], edge: str, within: int, to: str, part: list[str] = PART) -> DataFrame:
     """For each row of edges (unique by key) the nearest point cp of its sequence at most within away, the smaller of
-    equals; null if there is none."""
-    a, b = edges.alias("e"), points.alias("c")
-    on = F.abs(F.col("c.cp") - F.col(f"e.{edge}")) <= within
+    equals; null if there is none. Points lie in buckets twice as wide as the reach, and an edge looks in at most two."""
+    wide = F.lit(2 * within + 1)
+    looked = F.array_distinct(F.array(F.floor((F.col(edge) - within) / wide), F.floor((F.col(edge) + within) / wide)))
+    a = edges.select(*dict.fromkeys([*part, *key, edge])).withColumn("_b", F.explode(looked)).alias("e")
+    c = points.select(*part, "cp").withColumn("_b", F.floor(F.col("cp") / wide)).alias("c")
+    on = (F.col("e._b") == F.col("c._b")) & (F.abs(F.col("c.cp") - F.col(f"e.{edge}")) <= within)
     for p in part:
         on = on & (F.col(f"e.{p}") == F.col(f"c.{p}"))
-    near = a.join(b, on).groupBy(*(F.col(f"e.{k}") for k in key)).agg(F.min_by("c.cp", F.struct(F.abs(F.col("c.cp") - F.col(f"e.{edge}")), "c.cp")).alias(to))
+    near = a.join(c, on).groupBy(*(F.col(f"e.{k}") for k in key)).agg(F.min_by("c.cp", F.struct(F.abs(F.col("c.cp") - F.col(f"e.{edge}")), "c.cp")).alias(to))
     return edges.join(near, key, "left")
 
 

@@ -27,13 +27,13 @@ def loop(pred, gt, thr):
     return out
 
 
-@pytest.mark.parametrize("parts", [1, 7])
-def test_greedy_match(spark, parts):
+@pytest.mark.parametrize("parts, bucket", [(1, 3.0), (7, 100.0)])
+def test_greedy_match(spark, parts, bucket):
     rng = random.Random(1)
     make = lambda n: [(rng.randrange(6), rng.choice("ab"), k, (s := rng.random() * 20), s + rng.random() * 10) for k in range(n)]
     pred, gt = make(150), make(150)
     df = lambda x, k: spark.createDataFrame(x, f"video_id bigint, class_name string, {k} bigint, st double, en double").repartition(parts)
-    got = {(r.video_id, r.pred_id, r.gt_id) for r in M.greedy_match(M.candidates(df(pred, "pred_id"), df(gt, "gt_id"), 0.3)).collect()}
+    got = {(r.video_id, r.pred_id, r.gt_id) for r in M.greedy_match(M.candidates(df(pred, "pred_id"), df(gt, "gt_id"), 0.3, bucket)).collect()}
     assert got == loop(pred, gt, 0.3)
 
 
