@@ -13,10 +13,10 @@ from .common import stored
 FIRST_BYTES, STRIDE = 32, 8
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Groups of rows with byte-for-byte equal texts; of each the largest id stays.
 
-    One row per input row: all columns of docs in the struct `row`, then text_sha256 (of the UTF-8 bytes), keep_id,
+    One row per input row: the columns `carry` of docs, or all, in the struct `row`, then text_sha256 (of the UTF-8 bytes), keep_id,
     group_size and kept. A null text counts as empty, so null and empty texts form one group. Rows that repeat both
     id and text are one document: each counts in group_size, and all of them are kept where their id is. A null id
     loses to any other; a group of null ids has keep_id null and is kept. An empty table gives an empty result. Columns
@@ -28,26 +28,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     about log8(n) rounds. Counting a group combines in the map tasks; the join back is an ordinary inner or left join, whose
     hot keys adaptive execution splits.
     """
-    text = F.coalesce(F.col(f"row.{text_col}"), F.lit(""))
-    id_type = docs.schema[id_col].dataType
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    id_type, own = docs.schema[id_col].dataType, F.struct("*") if carry is None else F.struct(*carry)
     # A group is labelled by its largest id and that row's digest, which keeps labels apart where ids repeat.
-    rows = docs.select(F.struct("*").alias("row")).select("row", F.sha2(text, 256).alias("sha"), F.encode(text, "UTF-8").alias("rest"), F.struct(F.lit(None).cast(id_type).alias("id"), F.lit("").alias("sha")).alias("group"))
+    rows = docs.select(own.alias("row"), F.sha2(text, 256).alias("sha"), F.encode(text, "UTF-8").alias("rest"), F.struct(F.lit(None).cast(id_type).alias("id"), F.lit("").alias("sha")).alias("group"), F.col(id_col).alias("id"))
     keys, parts, width = ["group", "chunk", "ended"], [], FIRST_BYTES
     while True:
         rows = rows.withColumns({"chunk": F.substring("rest", 1, width), "ended": F.octet_length("rest") <= width})
-        label = F.struct(F.col(f"row.{id_col}").alias("id"), "sha")
+        label = F.struct("id", "sha")
         groups = rows.groupBy(*keys).agg(F.max(label).alias("largest"), F.count("*").alias("n")).filter("n > 1")
         done = F.col("n").isNull() | F.col("ended")
         found = rows.join(groups, keys, "left").select(
-            "row", "sha", F.when(~done, F.expr(f"substring(rest, {width + 1})")).alias("rest"), F.coalesce("largest", label).alias("group"), F.coalesce("n", F.lit(1)).alias("n"), done.alias("done")
+            "row", "id", "sha", F.when(~done, F.expr(f"substring(rest, {width + 1})")).alias("rest"), F.coalesce("largest", label).alias("group"), F.coalesce("n", F.lit(1)).alias("n"), done.alias("done")
         )
         found = stored(found, "radix")
         parts.append(found.filter("done"))
-        rows, width = found.filter("not done").select("row", "sha", "rest", "group"), width * STRIDE
+        rows, width = found.filter("not done").select("row", "id", "sha", "rest", "group"), width * STRIDE
         if rows.isEmpty():
             break
     out = reduce(DataFrame.unionAll, parts)
-    return out.select("row", F.col("sha").alias("text_sha256"), F.col("group.id").alias("keep_id"), F.col("n").alias("group_size"), F.col(f"row.{id_col}").eqNullSafe(F.col("group.id")).alias("kept"))
+    return out.select("row", F.col("sha").alias("text_sha256"), F.col("group.id").alias("keep_id"), F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("group.id")).alias("kept"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
