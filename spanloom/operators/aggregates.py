@@ -67,3 +67,15 @@ def reliability(rows: DataFrame, p: str, y: str, bins: int) -> DataFrame:
 
 def calibration_error(bins: DataFrame) -> DataFrame:
     return bins.agg((F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("rate"))) / F.sum("n")).alias("ece"))
+
+
+def losses(rows: DataFrame, weights: DataFrame, probs: str, truth: str, edge_p: str, edge: str, edge_weight: float = 0.3) -> DataFrame:
+    """One row: class loss (cross-entropy weighted by class), boundary loss (binary cross-entropy) and their weighted sum.
+
+    weights: class_idx, weight; a row a class, broadcast.
+    """
+    log = lambda p: F.log(F.greatest(p, F.lit(1e-12)))
+    known = rows.join(F.broadcast(weights), rows[truth] == weights["class_idx"])
+    ce = F.sum(-F.col("weight") * log(F.get(probs, F.col(truth)))) / F.sum("weight")
+    bce = F.avg(-(F.col(edge) * log(F.col(edge_p)) + (1 - F.col(edge)) * log(1 - F.col(edge_p))))
+    return known.agg(ce.alias("class_loss"), bce.alias("boundary_loss")).withColumn("loss", F.col("class_loss") + edge_weight * F.col("boundary_loss"))

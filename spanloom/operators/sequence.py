@@ -118,7 +118,7 @@ def desmear(spans: DataFrame, width: int, least: int) -> DataFrame:
     return cut.withColumns({"st": F.when(short, half_even(centre - least / 2.0)).otherwise(F.col("_s")), "en": F.when(short, half_even(centre + least / 2.0)).otherwise(F.col("_e"))}).drop("_s", "_e")
 
 
-def expand(spans: DataFrame, factor: float, least: int, n: str = "n") -> DataFrame:
+def expand(spans: DataFrame, factor: float | Column, least: int, n: str = "n") -> DataFrame:
     """Scale about the centre, to at least least frames; outwards to whole frames, within [0, n]."""
     centre, half = (F.col("st") + F.col("en")) / 2.0, F.greatest(F.lit(least / 2.0), (F.col("en") - F.col("st")) * factor / 2.0)
     start, end = F.floor(centre - half), F.ceil(centre + half)
@@ -217,3 +217,9 @@ def span_mean(spans: DataFrame, curve: DataFrame, value: str = "p", part: list[s
     """Adds mean_p: the curve's mean over each span."""
     keys = [c for c in spans.columns]
     return window_frames(spans, curve.select(*part, "i", value), part).groupBy(*keys).agg(F.avg(value).alias("mean_p"))
+
+
+def positional_encoding(frames: DataFrame, size: int, base: float = 10000.0, i: str = "i") -> DataFrame:
+    """Adds position: sines and cosines of the frame's index at falling frequencies, size values in turn."""
+    angle = lambda k: F.col(i) / F.lit(base ** (2 * (k // 2) / size))
+    return frames.withColumn("position", F.array(*(F.sin(angle(k)) if k % 2 == 0 else F.cos(angle(k)) for k in range(size))))

@@ -42,6 +42,17 @@ def windows(
     return spans.filter((F.col("en") > F.col("st")) & ((F.col("en") - F.col("st")) / F.col("n") <= most))
 
 
+def window_sweep(scores: DataFrame, params: DataFrame, normal: int, width: int, stride: int, least: int) -> DataFrame:
+    """The window decoder under every row of params (param_id, threshold, factor) in one plan: adds param_id.
+
+    Window scores don't depend on these parameters, so they are worked out once; candidates are taken up by each parameter set that lets
+    them pass, and param_id is one more partition key from there. params is a small grid and is broadcast.
+    """
+    found = window_candidates(scores, normal, 0.0).join(F.broadcast(params), F.col("score") >= F.col("threshold"))
+    spans = S.merge_windows(found, stride, part=["param_id", "factor", "video_id", "n"])
+    return S.expand(S.desmear(spans, width, least), F.col("factor"), least).filter(F.col("en") > F.col("st"))
+
+
 def per_class(curve: DataFrame, win: int, hi: float, lo: float, least: int, points: DataFrame | None = None, within: int = 6, part: tuple[str, ...] = ("video_id", "class_name")) -> DataFrame:
     """The curve decoder, with the class as one more partition key: smoothing, hysteresis, snapping (if points are given),
     and spans of at least `least` frames. Frames are counted within each class's own curve."""

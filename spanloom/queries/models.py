@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions.vectors import softmax
+from spanloom.operators import aggregates as A
 from spanloom.operators.aggregates import balanced_accuracy
 from spanloom.plans import models as P
 from spanloom.sources import views as V
@@ -37,3 +39,18 @@ _NLL = "select t, round(avg(-ln(greatest(e[label + 1] / list_sum(e), 1e-12))), 6
 def temperature_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.table(spark, sf_dir, "embeddings").select(F.slice(F.col("embedding").cast("array<double>"), 1, 10).alias("logits"), "label")
     return P.temperature_grid(rows, "logits", "label", [0.05, 0.2, 1.0, 5.0]).withColumn("nll", r6("nll"))
+
+
+_LOSS = """with w as (select k, w / avg(w) over () as weight from (select k, 1 / sqrt(coalesce(n, 1)) as w from (select unnest(range(0, 12)) as k) left join (select label as k, count(*) as n from embeddings group by 1) using (k))),
+p as (select label, embedding[1]::double as e0, vec_id, list_transform(list_transform(embedding[1:12]::double[], lambda x: exp(x * 8 - list_max(embedding[1:12]::double[]) * 8)), lambda y: y) as e from embeddings),
+r as (select weight, e[label + 1] / list_sum(e) as py, 1 / (1 + exp(-e0)) as q, (vec_id % 10 = 0)::int::double as y from p join w on w.k = p.label)
+select round(c, 6) as class_loss, round(b, 6) as boundary_loss, round(c + 0.3::double * b, 6) as loss from (select sum(-weight * ln(greatest(py, 1e-12))) / sum(weight) as c, avg(-(y * ln(greatest(q, 1e-12)) + (1 - y) * ln(greatest(1 - q, 1e-12)))) as b from r)"""
+
+
+@query(_LOSS)
+def training_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.table(spark, sf_dir, "embeddings")
+    weights = A.class_weights(A.class_counts(rows.select(F.col("label").cast("bigint").alias("class_idx")), 12))
+    logits = F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 12), lambda x: x * 8)
+    scored = rows.select(softmax(logits).alias("probs"), "label", (1 / (1 + F.exp(-F.col("embedding")[0].cast("double")))).alias("q"), (F.col("vec_id") % 10 == 0).cast("double").alias("y"))
+    return A.losses(scored, weights, "probs", "label", "q", "y").select(*(r6(c).alias(c) for c in ("class_loss", "boundary_loss", "loss")))

@@ -227,3 +227,35 @@ def frame_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.broadcast(V.head(spark, sf_dir))
     rows = V.frames(spark, sf_dir).select("video_id", "i", "emb").join(head).select("video_id", "i", "class_idx", dot("emb", "w").alias("x"))
     return rows.groupBy("video_id", "i").agg(F.max_by("class_idx", "x").alias("guess"), r6(F.max("x")).alias("x"))
+
+
+_SNAPPED = _window_sql("and cls = lag(cls) over w")
+
+
+@query(f"select video_id, cls, case when e > b then b else st end as st, case when e > b then e else en end as en, score from (select *, coalesce({_NEAR.format('s.st')}, st) as b, coalesce({_NEAR.format('s.en')}, en) as e from ({_SNAPPED}) s)")
+def decode_windows_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = P.window_probabilities(V.frames(spark, sf_dir), V.head(spark, sf_dir), width=6, stride=2, scale=60.0)
+    found = P.windows(scores, normal=9, threshold=0.2, width=6, stride=2, expand=1.25, least=2, points=_changepoints(spark, sf_dir))
+    return found.select("video_id", big("cls").alias("cls"), "st", "en", r6("score").alias("score"))
+
+
+def _sweep_sql(k: int, threshold: float, factor: float) -> str:
+    sql = _SNAPPED.replace("p >= 0.2 and", f"p >= {threshold} and").replace("1.25::double", f"{factor}::double")
+    return f"select {k}::bigint as param_id, count(*) as spans, sum(en - st)::bigint as frames, round(max(score), 6) as best from ({sql})"
+
+
+_GRID = [(0, 0.15, 1.0), (1, 0.2, 1.25), (2, 0.25, 1.25)]
+
+
+@query(" union all ".join(_sweep_sql(*g) for g in _GRID))
+def sweep_decode_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = P.window_probabilities(V.frames(spark, sf_dir), V.head(spark, sf_dir), width=6, stride=2, scale=60.0)
+    params = spark.createDataFrame(_GRID, "param_id bigint, threshold double, factor double")
+    found = P.window_sweep(scores, params, normal=9, width=6, stride=2, least=2)
+    return found.groupBy("param_id").agg(F.count("*").alias("spans"), F.sum(F.col("en") - F.col("st")).alias("frames"), r6(F.max("score")).alias("best"))
+
+
+@query("select video_id, i, k::bigint as k, round(case when k % 2 = 0 then sin(i / pow(10000, 2 * (k // 2) / 8.0::double)) else cos(i / pow(10000, 2 * (k // 2) / 8.0::double)) end, 6) + 0.0::double as x from (select video_id, i, unnest(range(0, 8)) as k from v_frames)")
+def positional_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S.positional_encoding(V.frames(spark, sf_dir).select("video_id", "i"), 8)
+    return found.select("video_id", "i", F.posexplode("position").alias("k", "x")).select("video_id", "i", big("k").alias("k"), (r6("x") + 0.0).alias("x"))
