@@ -13,12 +13,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, merged_spans, stored, text_key
+from .common import joined, merged_spans, slices, stored, text_key
 
 #: Bytes of a long match, and of the anchor by which its suffix is sampled.
 LENGTH, ANCHOR = 400, 64
 #: Window starts that are looked at together in a long text, and contexts that a task compares together.
-SEGMENT, TOGETHER = 1 << 20, 20_000
+SEGMENT, TOGETHER = 1 << 20, 8_000
 #: Batches in which a whole table is added to an empty index.
 BATCHES = 4
 
@@ -88,7 +88,7 @@ def suffix_array(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(_BASES[0])
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for k, text in enumerate(batch.column(2).to_pylist()):
                 data = (text or "").encode()
@@ -177,7 +177,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     texts = joined(docs, wanted, docs.id.eqNullSafe(wanted.own) & (docs.rid == wanted.own_rid), "inner", 400).select("text", "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = text.encode()
@@ -235,7 +235,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     placed = rows.join(settled, ["key", "ctx"]).select("id", "rid", F.explode("starts").alias("lo"), "spans").select("id", "rid", F.transform("spans", lambda x: F.struct((x.s + F.col("lo")).alias("s"), (x.e + F.col("lo")).alias("e"))).alias("spans"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             spans = [[{"s": s, "e": e} for s, e in merged_spans((x["s"], x["e"]) for x in row)] for row in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))], names=["id", "rid", "spans"])
 
@@ -260,7 +260,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, ba
     found = joined(rows, spans, rows.id.eqNullSafe(spans.own) & (rows.rid == spans.own_rid), "left", 64).select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data, at, kept = text.encode(), 0, []
