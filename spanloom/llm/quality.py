@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, joined, stored
+from .common import SPACE, WORD, joined, stored
 
 #: Words in a language's reference histogram; the rest share one bin.
 COMMON = 24
@@ -35,8 +35,11 @@ def repeated_words(words: Column) -> Column:
         gaps = lambda at: F.aggregate(F.transform(at, lambda i, k: F.coalesce(F.least(F.lit(3), F.get(at, k + 1) - i), F.lit(3))), F.lit(0), lambda a, x: a + x)
         return let(ordered, lambda s: let(F.array_sort(hit(s)), gaps))
 
-    grams = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.concat_ws(" ", F.slice(words, i + 1, 3)))).otherwise(F.array().cast("array<string>"))
-    return let(grams, lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), covered(g)).otherwise(0))
+    at = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
+    # Equal windows have equal hashes: only a text in which hashes repeat needs the windows themselves.
+    hashes = F.transform(at, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    grams = F.transform(at, lambda i: F.concat_ws(" ", F.slice(words, i + 1, 3)))
+    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), let(grams, covered)).otherwise(0))
 
 
 def _divergence(p: Column, q: Column) -> Column:
@@ -48,7 +51,7 @@ def _divergence(p: Column, q: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE), "")
 
 
 def _sum(a: Column) -> Column:
@@ -72,19 +75,23 @@ def base_statistics(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", t
     its language's row of `words` (`common`, with one more bin for all other words)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     code = lambda k: F.char(k + 48)  # noqa: E731  a character that stands for the k-th common word
-    coded = words.select("lang", F.map_from_arrays("words", F.transform("words", lambda _, k: code(k))).alias("code_of"), F.transform("words", lambda _, k: code(k)).alias("codes"))
-    rows = joined(docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text")).alias("a"), coded.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang")), "left", 64 * COMMON).select("doc_id", "a.lang", "text", "code_of", "codes")
+    coded = words.select("lang", F.map_from_arrays("words", F.transform("words", lambda _, k: code(k))).alias("code_of"), F.transform("words", lambda _, k: code(k)).alias("codes"), F.array_max(F.transform("words", F.octet_length)).alias("longest"))
+    rows = joined(docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text")).alias("a"), coded.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang")), "left", 64 * COMMON).select("doc_id", "a.lang", "text", "code_of", "codes", "longest")
 
     def measured(words: Column) -> Column:
         n = F.size(words).cast("bigint")
-        hits = F.array_join(F.transform(words, lambda w: F.element_at("code_of", F.lower(w))), "")
+        hits = F.array_join(F.transform(F.transform(words, F.lower), lambda w: F.when(F.octet_length(w) <= F.col("longest"), F.element_at("code_of", w))), "")
         counts = lambda s: F.concat(F.transform("codes", lambda c: (F.length(s) - F.length(F.replace(s, c, F.lit("")))).cast("double")), F.array((n - F.length(s)).cast("double")))
         return F.struct(n.alias("n_words"), F.length(F.array_join(words, "")).cast("bigint").alias("word_chars"), repeated_words(words).cast("bigint").alias("n_repeat_words"), let(hits, counts).alias("common"))
 
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
+    lines = F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(WORD)))
     dup = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint"))
-    count = lambda pattern: (F.length("text") - F.length(F.regexp_replace("text", pattern, ""))).cast("bigint")
-    found = rows.select("doc_id", "lang", let(_words(F.col("text")), measured).alias("m"), dup.alias("n_dup_lines"), count(f"[{SYMBOLS}]+").alias("n_symbols"), count(r"\p{Lu}+").alias("upper"), count(r"\p{N}+").alias("digit"), count(r"[!-/:-@\[-`{-~]+").alias("mark"))
+    # What isn't a lower-case letter or a space is little, and all the classes are in it.
+    rare = F.regexp_replace("text", r"[a-z \n]+", "")
+    count = lambda t, pattern: (F.length(t) - F.length(F.regexp_replace(t, pattern, ""))).cast("bigint")
+    patterns = {"n_symbols": f"[{SYMBOLS}]+", "upper": r"\p{Lu}+", "digit": r"\p{N}+", "mark": r"[!-/:-@\[-`{-~]+"}
+    classed = let(rare, lambda t: F.struct(*(count(t, p).alias(name) for name, p in patterns.items())))
+    found = rows.select("doc_id", "lang", let(_words(F.col("text")), measured).alias("m"), dup.alias("n_dup_lines"), classed.alias("c")).select("doc_id", "lang", "m", "n_dup_lines", "c.*")
     # Characters of words: symbols, other punctuation, digits, upper case, and all the rest.
     classes = [F.col("n_symbols"), F.col("mark") - F.col("n_symbols"), F.col("digit"), F.col("upper"), F.greatest(F.lit(0), F.col("m.word_chars") - F.col("mark") - F.col("digit") - F.col("upper"))]
     return found.select("doc_id", "lang", "m.n_words", "m.word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", F.array(*(c.cast("double") for c in classes)).alias("classes"), "m.common")
