@@ -28,6 +28,12 @@ def check_ids(predictions: DataFrame, manifest: DataFrame) -> DataFrame:
     ])
 
 
+def check_present(predictions: DataFrame, optional: tuple[str, ...] = ()) -> DataFrame:
+    """Predictions without events or runtime metadata (null columns); optional ones give warnings."""
+    errors = [_problem(predictions, F.col(c).isNull(), c, f"missing {c}") for c in ("events", "runtime_metadata")]
+    return reduce(DataFrame.unionAll, errors + [_problem(predictions, F.col(c).isNull(), c, f"missing {c}", "warn") for c in optional])
+
+
 def check_class(events: DataFrame, classes: list[str], normal: str = "normal") -> DataFrame:
     c = F.col("class_name")
     return _problem(events, c == normal, "class_name", "normal is not an event").unionAll(_problem(events, c.isNull() | ((c != normal) & ~c.isin(*classes)), "class_name", "unknown class"))

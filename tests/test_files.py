@@ -8,6 +8,7 @@ from spanloom.operators import relations as R
 from spanloom.operators import validation as K
 from spanloom.plans import submission as B
 from spanloom.sources import readers as I
+from spanloom.sources.schemas import PREDICTION
 
 
 @pytest.mark.parametrize("text", ['[{"video_id": "T1", "level": 2, "duration_sec": 3.5}]', '{"videos": [{"video_id": "T1", "level": 2, "duration_sec": 3.5}]}', '{"T1": {"level": 2, "duration_sec": 3.5}}', "video_id,level,duration_sec\nT1,2,3.5\n"])
@@ -85,3 +86,10 @@ def test_rules_pass_a_good_submission(spark):
 def test_runtime_two_percent(spark, average, n):
     df = spark.createDataFrame([("a", 100.0, 10, average, 10)], "video_id string, total_time_ms double, call_count bigint, average_time_ms double, n_times bigint")
     assert K.check_runtime(df).count() == n
+
+
+def test_missing_parts(spark):
+    lines = spark.createDataFrame([(json.dumps({"video_id": "a", "events": []}),), (json.dumps({"video_id": "b", "runtime_metadata": {"frames_processed": 1}}),)], "value string")
+    parsed = lines.select(F.from_json("value", PREDICTION).alias("p")).select("p.*").withColumn("hardware", F.lit(None).cast("string"))
+    got = sorted((r.video_id, r.problem, r.severity) for r in K.check_present(parsed, ("hardware",)).collect())
+    assert got == [("a", "missing hardware", "warn"), ("a", "missing runtime_metadata", "error"), ("b", "missing events", "error"), ("b", "missing hardware", "warn")]
