@@ -49,6 +49,23 @@ def joined(big: DataFrame, side: DataFrame, on: Column | list[str], how: str, ro
     return big.join(F.broadcast(side) if fits(side, row_bytes) else side, on, how)
 
 
+def staying(docs: DataFrame, fates: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that stay, each once, with their columns as they were.
+
+    fates: a stored table of id, rid (text_key of id and text) and stay, one row for each row of docs. Only what goes, and what would stay
+    more than once, is looked up in the rows: both are few as a rule, so texts are shuffled only where they are many.
+    """
+    gone = stored(fates.filter("not stay").select("id", "rid").distinct(), "gone")
+    twice = stored(fates.filter("stay").groupBy("id", "rid").agg(F.count("*").alias("n")).filter("n > 1").select("id", "rid"), "twice")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own"), text_key(id_col, text_col).alias("key"))
+
+    def looked_up(side: DataFrame, how: str) -> DataFrame:
+        return joined(rows, side, rows.own.eqNullSafe(side.id) & (rows.key == side.rid), how, 48)
+
+    once = looked_up(gone.unionAll(twice), "left_anti")
+    return once.unionAll(looked_up(twice, "left_semi").dropDuplicates(["own", "key"])).select("row.*")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

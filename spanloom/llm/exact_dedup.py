@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import staying, stored, text_key
 
 #: Bytes that the first split looks at; each later one looks at STRIDE times as many.
 FIRST_BYTES, STRIDE = 32, 8
@@ -52,5 +52,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, one for each distinct text, with their columns as they were (see exact_groups)."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept")
-    return kept.dropDuplicates(["text_sha256", "keep_id"]).select("row.*")
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), text_key(id_col, text_col).alias("rid"))
+    found = exact_groups(keyed, "id", "text", carry=["id", "rid"]).select("row.id", "row.rid", F.col("kept").alias("stay"), "text_sha256")
+    # A null and an empty text are equal but have keys of their own: of the rows that stay one key does.
+    least = found.filter("stay").groupBy("text_sha256").agg(F.min("rid").alias("least")).withColumnRenamed("text_sha256", "sha")
+    fates = found.join(least, found.text_sha256 == least.sha, "left").select("id", "rid", (F.col("stay") & (F.col("rid") == F.col("least"))).alias("stay"))
+    return staying(docs, stored(fates, "fates"), id_col, text_col)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 #: Fixed by the method: n-gram lengths and hash buckets. CHUNK bounds the characters that are held as n-grams at a time.
 LENGTHS, BUCKETS, CHUNK = (1, 2, 3), 1 << 15, 1 << 19
 
@@ -58,7 +60,7 @@ def train(docs: DataFrame, label_col: str = "lang", text_col: str = "text") -> t
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for label in set(labels):
                 own = [t or "" for t, x in zip(texts, labels, strict=True) if x == label]
@@ -91,7 +93,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, priors = shipped.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             has = np.array([bool(labels) and t is not None and any(map(str.isalpha, t)) for t in texts], bool)
             at, totals = np.flatnonzero(has), np.zeros((len(texts), len(labels)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, text_key
+from .common import WORD, joined, stored, text_key
 
 #: Weights of the sources in code-point order, repeating; share of all words that the mix has; most times a word is taken.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -134,5 +134,6 @@ def mixed_documents(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id",
     """
     copies = mix(docs, seed, id_col, text_col, source_col).filter("taken > 0").groupBy("id", "rid").agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("copies")).filter("copies > 0")
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own"), text_key(id_col, text_col).alias("key"))
-    found = rows.join(copies, rows.own.eqNullSafe(copies.id) & (rows.key == copies.rid))
+    copies = stored(copies, "copies")
+    found = joined(rows, copies, rows.own.eqNullSafe(copies.id) & (rows.key == copies.rid), "inner", 48)
     return found.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

@@ -10,8 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stored
+from .common import slices, staying, stored, text_key
 from .components import connected_components
 
 #: Blocks that fingerprints are dealt to, so that each goes to at most so many tasks; and most fingerprints in a block, beyond which there
@@ -64,7 +65,7 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
     """Rows of id_col, fp (bigint) and, if asked for, sketch, one for each input row; null and wordless texts have fingerprint 0. Map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps, minima = [], []
             for text in batch.column(1):
                 hashes = shingle_hashes(text.as_py(), width)
@@ -74,8 +75,8 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
             more = [pa.array(minima, pa.binary())] if sketches else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *more], names=[id_col, "fp", "sketch"][: 2 + sketches])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, fp bigint" + ", sketch binary" * sketches)
+    schema = T.StructType([docs.schema[id_col], T.StructField("fp", T.LongType()), *[T.StructField("sketch", T.BinaryType())] * sketches])
+    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def _quarters(fps: np.ndarray) -> np.ndarray:
@@ -212,24 +213,31 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, similarity
     linked like any other. Rows that repeat an id or a text repeat in the result; a null id is never a component unless
     its group has no other. An empty table gives none; other columns are not looked at.
     """
-    prints = fingerprints(docs, width, id_col, text_col, similarity is not None).withColumnRenamed(id_col, "id")
-    node = F.col("fp") if similarity is None else F.xxhash64("fp", "sketch")
-    prints = stored(prints.withColumn("node", node), "fingerprints")
+    found = _grouped(docs, width, radius, similarity, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), "fp", F.col("least.id").alias("component"))
+
+
+def _grouped(docs: DataFrame, width: int, radius: int, similarity: float | None, id_col: str, text_col: str) -> DataFrame:
+    """id, rid, fp and least (id and rid of the group's first row) of each row."""
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), text_key(id_col, text_col).alias("rid")).alias("id"), F.col(text_col).alias("text"))
+    prints = fingerprints(keyed, width, "id", "text", similarity is not None).select("id.id", "id.rid", "fp", *["sketch"] * (similarity is not None))
+    prints = stored(prints.withColumn("node", F.col("fp") if similarity is None else F.xxhash64("fp", "sketch")), "fingerprints")
     extra = [] if similarity is None else [F.first("sketch").alias("sketch")]
-    distinct = stored(prints.groupBy("node", "fp").agg(F.min("id").alias("least"), *extra), "distinct")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid"))
+    distinct = stored(prints.groupBy("node", "fp").agg(first.alias("least"), *extra), "distinct")
     roots = connected_components(near_links(distinct.drop("least"), radius, similarity)).withColumnRenamed("node", "of")
     group = stored(distinct.select("node", "least").join(roots, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root")), "groups")
-    least = group.groupBy("root").agg(F.min("least").alias("component"))
-    of_node = group.join(least, "root").select("node", "component")
-    return prints.select("id", "fp", "node").join(of_node, "node").select(F.col("id").alias(id_col), "fp", "component")
+    least = group.groupBy("root").agg(F.min("least").alias("first"))
+    of_node = group.join(least, "root").select("node", F.col("first").alias("least"))
+    return prints.select("id", "rid", "fp", "node").join(of_node, "node").select("id", "rid", "fp", "least")
 
 
 def near_dedup(docs: DataFrame, width: int = 5, radius: int = 12, similarity: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, one for each near-duplicate group: the one with the group's smallest id.
 
     At a similarity of 0.8, 97 of 100 pairs of texts have five-word fingerprints within 12 bits; see near_duplicates. Of rows that repeat
-    that id, one stays; of rows with a null id, one if the group has no other.
+    that id, one stays; a row with a null id only if the group has no other.
     """
-    found = near_duplicates(docs, width, radius, similarity, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component"))).select(F.col(id_col).alias("id")).distinct()
-    kept = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))
-    return kept.join(found, kept.id.eqNullSafe(found.id), "left_semi").dropDuplicates(["id"]).select("row.*")
+    found = _grouped(docs, width, radius, similarity, id_col, text_col)
+    stay = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("rid") == F.col("least.rid"))
+    return staying(docs, stored(found.select("id", "rid", stay.alias("stay")), "fates"), id_col, text_col)
