@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import slices
+
 #: The pre-token pattern that word_bpe_49k.json names, and the white space it drops.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WHITE = r"[\t-\r \x85\xa0  -     　]+"
@@ -43,26 +46,31 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Counts(dict):
-    """Tokens by white-space delimited word; a word is worked out when first asked for."""
+class _Counts:
+    """Tokens by white-space delimited word, and by pre-token that has to be merged, as far as a task has met them."""
 
     def __init__(self, tokenizer: Tokenizer, whole: frozenset[str]):
-        super().__init__()
         self.tokenizer, self.whole = tokenizer, whole
+        self.words: dict[str, int] = {}
+        self.merged: dict[str, int] = {}
         self.pretokens, self.plain = regex.compile(PRETOKEN).findall, regex.compile(PLAIN).fullmatch
 
-    def merged(self, s: str) -> int:
-        return len(self.tokenizer.encode(s, add_special_tokens=False).ids)
-
-    def __missing__(self, word: str) -> int:
-        if self.plain(word):
-            n = sum(1 if t in self.whole else self.merged(t) for t in self.pretokens(self.tokenizer.normalizer.normalize_str(word)))
-        else:
-            n = self.merged(word)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = n
-        return n
+    def learn(self, words: set[str]) -> None:
+        """Work out what isn't known of the words: whole tokens count one, all other pre-tokens are merged together."""
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        if len(self.merged) > CACHE_WORDS:
+            self.merged.clear()
+        new = words - self.words.keys()
+        normal = self.tokenizer.normalizer.normalize_str
+        # Of plain words the parts are told here; a word with other characters is merged as it is.
+        parts = {w: self.pretokens(w.lower() if w.isascii() else normal(w)) if self.plain(w) else None for w in new}
+        rest = {t for p in parts.values() if p is not None for t in p} - self.whole - self.merged.keys()
+        ask = [*rest, *(w for w, p in parts.items() if p is None)]
+        found = dict(zip(ask, (len(e.ids) for e in self.tokenizer.encode_batch_fast(ask, add_special_tokens=False)), strict=True))
+        self.merged.update((t, found[t]) for t in rest)
+        for w, p in parts.items():
+            self.words[w] = found[w] if p is None else sum(self.merged.get(t, 1) for t in p)
 
 
 def count_tokens(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,22 +90,20 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
     shipped = docs.sparkSession.sparkContext.broadcast((source, whole_tokens(tokenizer)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         counts = _Counts(Tokenizer.from_str(shipped.value[0]), shipped.value[1])
         white, odd = regex.compile(WHITE), regex.compile("[\x1c-\x1f]").search
         cut = regex.compile("|".join(map(regex.escape, special)) or r"(?!)")
-        for batch in batches:
-            n_bytes, n_tokens = [], []
+        for batch in slices(batches):
+            n_bytes, special_tokens, words = [], [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 n_bytes.append(len(text.encode()))
-                parts, n = [text], 0
-                if "<|" in text:
-                    parts = cut.split(text)
-                    n = len(parts) - 1
-                for part in parts:
-                    words = [w for w in white.split(part) if w] if odd(part) else part.split()
-                    n += sum(map(counts.__getitem__, words))
-                n_tokens.append(n)
+                parts = cut.split(text) if "<|" in text else [text]
+                special_tokens.append(len(parts) - 1)
+                words.append([w for part in parts for w in (filter(None, white.split(part)) if odd(part) else part.split())])
+            counts.learn(set().union(*words))
+            n_tokens = [n + sum(map(counts.words.__getitem__, w)) for n, w in zip(special_tokens, words, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
