@@ -71,8 +71,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_key(doc: str | Column = "doc_id", text: str | Column = "text") -> Column:
-    """With doc_id, identifies a row by what it holds; rows equal in both count as copies of each other."""
-    return F.xxhash64(doc, text)
+    """With doc_id, identifies a row by what it holds; rows equal in both count as copies of each other. Null counts as empty."""
+    return F.xxhash64(doc, F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit("")))
 
 
 def unsigned_hex(c: Column) -> Column:

@@ -25,8 +25,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Documents are split by successive bytes of their text, as in a most-significant-digit radix sort, a run of bytes at
     a time (32, then 256, 2048, ...): equality is decided by the bytes alone. A group leaves once it has a single member
     or its texts have ended, so later rounds see only what still shares a long prefix, and a text of n bytes takes
-    about log8(n) rounds. Counting a group combines in the map tasks; the join back is an ordinary inner or left join, whose
-    hot keys adaptive execution splits.
+    about log8(n) rounds. Counting a group combines in the map tasks. Groups are written before rows are joined to them,
+    so that both sides of the join are plain exchanges, whose hot keys adaptive execution splits.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     id_type, own = docs.schema[id_col].dataType, F.struct("*") if carry is None else F.struct(*carry)
@@ -36,7 +36,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     while True:
         rows = rows.withColumns({"chunk": F.substring("rest", 1, width), "ended": F.octet_length("rest") <= width})
         label = F.struct("id", "sha")
-        groups = rows.groupBy(*keys).agg(F.max(label).alias("largest"), F.count("*").alias("n")).filter("n > 1")
+        groups = stored(rows.groupBy(*keys).agg(F.max(label).alias("largest"), F.count("*").alias("n")).filter("n > 1"), "groups")
         done = F.col("n").isNull() | F.col("ended")
         found = rows.join(groups, keys, "left").select(
             "row", "id", "sha", F.when(~done, F.expr(f"substring(rest, {width + 1})")).alias("rest"), F.coalesce("largest", label).alias("group"), F.coalesce("n", F.lit(1)).alias("n"), done.alias("done")
@@ -53,8 +53,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, one for each distinct text, with their columns as they were (see exact_groups)."""
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), text_key(id_col, text_col).alias("rid"))
-    found = exact_groups(keyed, "id", "text", carry=["id", "rid"]).select("row.id", "row.rid", F.col("kept").alias("stay"), "text_sha256")
-    # A null and an empty text are equal but have keys of their own: of the rows that stay one key does.
-    least = found.filter("stay").groupBy("text_sha256").agg(F.min("rid").alias("least")).withColumnRenamed("text_sha256", "sha")
-    fates = found.join(least, found.text_sha256 == least.sha, "left").select("id", "rid", (F.col("stay") & (F.col("rid") == F.col("least"))).alias("stay"))
+    fates = exact_groups(keyed, "id", "text", carry=["id", "rid"]).select("row.id", "row.rid", F.col("kept").alias("stay"))
     return staying(docs, stored(fates, "fates"), id_col, text_col)
