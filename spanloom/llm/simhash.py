@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,8 @@ from .components import connected_components
 #: Blocks that fingerprints are dealt to, so that each goes to at most so many tasks; and most fingerprints in a block, beyond which there
 #: are more blocks. A task compares two blocks, tile by tile.
 BLOCKS, MOST, TILE = 32, 1 << 20, 512
+#: Pairs of positions that a task holds before it works them in.
+HELD = 1 << 20
 #: The same for blocks with sketches, and slots of a sketch.
 SKETCH_BLOCKS, MOST_SKETCHES, SLOTS = 8, 1 << 16, 256
 
@@ -51,13 +53,13 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.where(least == np.iinfo(np.uint64).max, 0, value).astype("<u2").tobytes()
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Whether the rows of two matrices of sketches show a Jaccard similarity of at least `least`; texts without words are alike."""
-    out = np.empty(len(a), bool)
-    for i in range(0, len(a), 1 << 14):
-        x, y = a[i : i + (1 << 14)], b[i : i + (1 << 14)]
+def similar(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Whether rows i of a and j of b, matrices of sketches, show a Jaccard similarity of at least `least`; texts without words are alike."""
+    out = np.empty(len(i), bool)
+    for k in range(0, len(i), 1 << 14):
+        x, y = a[i[k : k + (1 << 14)]], b[j[k : k + (1 << 14)]]
         used = ((x != 0) | (y != 0)).sum(axis=1)
-        out[i : i + (1 << 14)] = ((x == y) & (x != 0)).sum(axis=1) >= least * used
+        out[k : k + (1 << 14)] = ((x == y) & (x != 0)).sum(axis=1) >= least * used
     return out
 
 
@@ -91,19 +93,25 @@ def _tiles(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return [(x, q[x].min(axis=0), q[x].max(axis=0)) for x in (order[i : i + TILE] for i in range(0, len(order), TILE))]
 
 
-def links(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in a and in b of all fingerprints at most radius apart. Tiles are skipped whose bit counts differ by more."""
+def links(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions in a and in b of all fingerprints at most radius apart, about HELD pairs at a time. Tiles are skipped whose bit
+    counts differ by more."""
     left, right = _tiles(a), _tiles(b)
-    lo, hi = np.array([t[1] for t in right]), np.array([t[2] for t in right])
-    found_a, found_b = [], []
+    lo, hi = (np.array([t[k] for t in right], np.int16).reshape(-1, 4) for k in (1, 2))
+    held, size = [], 0
     for x, low, high in left:
         apart = np.maximum(0, np.maximum(lo - high, low - hi)).sum(axis=1)
         for k in np.flatnonzero(apart <= radius):
             y = right[k][0]
             i, j = np.nonzero(np.bitwise_count(a[x][:, None] ^ b[y][None, :]) <= radius)
-            found_a.append(x[i])
-            found_b.append(y[j])
-    return np.concatenate(found_a or [np.empty(0, np.int64)]), np.concatenate(found_b or [np.empty(0, np.int64)])
+            if len(i):
+                held.append((x[i], y[j]))
+                size += len(i)
+            if size >= HELD:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
 
 def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +131,14 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[root[other]]
 
 
+def _folded(pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """A forest of all the pairs (u, v), worked in as they come: a group of near copies never has all its pairs in memory."""
+    u = v = np.empty(0, np.int64)
+    for x, y in pairs:
+        u, v = _forest(np.concatenate([u, x]), np.concatenate([v, y]))
+    return pd.DataFrame({"u": u, "v": v})
+
+
 def _pairs_of_blocks(rows: DataFrame, radius: int, most: int, blocks: int) -> DataFrame:
     """rows (with fp) once for each pair of blocks to compare: adds pair and side.
 
@@ -156,16 +172,18 @@ def _pairs_of_blocks(rows: DataFrame, radius: int, most: int, blocks: int) -> Da
     return dealt.withColumn("block", F.col("block") + F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(F.broadcast(of_block), "block").select(*rows.columns, "pair", "side")
 
 
-def _sides(part: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    return part[part["side"] == 0], part[part["side"] == 1]
-
-
-def _near(a: pd.DataFrame, b: pd.DataFrame, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Positions and nodes of the pairs of different nodes within radius."""
-    i, j = links(a["fp"].to_numpy().view(np.uint64), b["fp"].to_numpy().view(np.uint64), radius)
-    u, v = a["node"].to_numpy()[i], b["node"].to_numpy()[j]
-    other = u != v
-    return i[other], j[other], u[other], v[other]
+def _near(part: pd.DataFrame, radius: int, least: float | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Different nodes of a pair of blocks within radius, and of a similarity of at least `least` if that is given."""
+    a, b = part[part["side"] == 0], part[part["side"] == 1]
+    left, right = a["node"].to_numpy(), b["node"].to_numpy()
+    sketches = [] if least is None else [np.frombuffer(b"".join(p["sketch"]), "<u2").reshape(-1, SLOTS) for p in (a, b)]
+    for i, j in links(a["fp"].to_numpy().view(np.uint64), b["fp"].to_numpy().view(np.uint64), radius):
+        ok = left[i] != right[j]
+        i, j = i[ok], j[ok]
+        if sketches:
+            ok = similar(sketches[0], sketches[1], i, j, least)
+            i, j = i[ok], j[ok]
+        yield left[i], right[j]
 
 
 def near_links(rows: DataFrame, radius: int = 4, similarity: float | None = None) -> DataFrame:
@@ -179,21 +197,16 @@ def near_links(rows: DataFrame, radius: int = 4, similarity: float | None = None
     """
 
     def forest(part: pd.DataFrame) -> pd.DataFrame:
-        _, _, u, v = _near(*_sides(part), radius)
-        u, v = _forest(u, v)
-        return pd.DataFrame({"u": u, "v": v})
+        return _folded(_near(part, radius))
 
     def active(part: pd.DataFrame) -> pd.DataFrame:
-        _, _, u, v = _near(*_sides(part), radius)
-        return pd.DataFrame({"node": np.unique(np.concatenate([u, v]))})
+        met = np.empty(0, np.int64)
+        for pair in _near(part, radius):
+            met = np.unique(np.concatenate([met, *pair]))
+        return pd.DataFrame({"node": met})
 
     def alike(part: pd.DataFrame) -> pd.DataFrame:
-        a, b = _sides(part)
-        i, j, u, v = _near(a, b, radius)
-        x, y = (np.frombuffer(b"".join(p["sketch"]), "<u2").reshape(-1, SLOTS) for p in (a, b))
-        ok = np.concatenate([similar(x[i[k : k + (1 << 14)]], y[j[k : k + (1 << 14)]], similarity) for k in range(0, len(i), 1 << 14)] or [np.empty(0, bool)])
-        u, v = _forest(u[ok], v[ok])
-        return pd.DataFrame({"u": u, "v": v})
+        return _folded(_near(part, radius, similarity))
 
     plain = _pairs_of_blocks(rows.select("node", "fp"), radius, MOST, BLOCKS).groupBy("pair")
     if similarity is None:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from spanloom.llm import simhash, suffix_dedup
+from spanloom.llm import chaining, simhash, suffix_dedup
 from spanloom.llm.chaining import align, best_chains, repeated_passages
 from spanloom.llm.components import connected_components
 from spanloom.llm.exact_dedup import exact_dedup, exact_groups
@@ -86,13 +86,20 @@ def test_simhash_groups(docs, rows, clashing, empty):
     assert simhash.near_duplicates(empty).isEmpty()
 
 
-def test_links_equal_all_pairs():
+@pytest.mark.parametrize("held", [1 << 20, 50])
+def test_links_equal_all_pairs(monkeypatch, held):
+    monkeypatch.setattr(simhash, "HELD", held)
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 62, 1500, np.uint64)
     b = np.concatenate([a[:700] ^ (np.uint64(1) << rng.integers(0, 62, 700, np.uint64)), rng.integers(0, 1 << 62, 900, np.uint64)])
-    i, j = simhash.links(a, b, 3)
+    parts = list(simhash.links(a, b, 3))
     want = np.argwhere(np.bitwise_count(a[:, None] ^ b[None, :]) <= 3)
-    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(map(tuple, want.tolist()))
+    assert (len(parts) > 1) == (held == 50)
+    assert sorted((x, y) for i, j in parts for x, y in zip(i.tolist(), j.tolist(), strict=True)) == sorted(map(tuple, want.tolist()))
+    forest = simhash._folded((i, j + 10_000) for i, j in parts)
+    whole = simhash._folded([(want[:, 0], want[:, 1] + 10_000)])
+    assert sorted(map(tuple, forest.to_numpy().tolist())) == sorted(map(tuple, whole.to_numpy().tolist()))
+    assert list(simhash.links(a[:0], b, 3)) == list(simhash.links(a, b[:0], 3)) == []
 
 
 def test_near_dedup_keeps_one_of_each_group_and_clean_documents(spark):
@@ -179,7 +186,7 @@ def test_alignment():
     assert (s, e, p, q) == (0, 100, 0, 98) and same == pytest.approx(0.97)
 
 
-def test_passages(docs, rows, clashing, empty):
+def test_passages(docs, rows, clashing, empty, monkeypatch):
     found = repeated_passages(docs).collect()
     linked = {}
 
@@ -197,5 +204,6 @@ def test_passages(docs, rows, clashing, empty):
     spans = {r.id: (r.start, r.end) for r in found if r.id in (17, 23, 41) and r.partner == 5}
     # Unlike words may agree by chance just beyond the ends, the fewer the more words there are to choose from.
     assert all(20 <= s <= 43 and 127 <= e <= 150 for s, e in spans.values()) and len(spans) == 3
+    monkeypatch.setattr(chaining, "MOST_PARTS", 1)
     assert sorted(map(str, repeated_passages(clashing).collect())) == sorted(map(str, found))
     assert repeated_passages(empty).isEmpty()
