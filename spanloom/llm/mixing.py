@@ -9,8 +9,8 @@ from .common import WORD, joined, stored, text_key
 
 #: Weights of the sources in code-point order, repeating; share of all words that the mix has; most times a word is taken.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-#: Words in a block, and words in a shard at about which a source is split.
-BLOCK, SHARD = 256, 1 << 19
+#: Words in a block, words in a shard at about which a source is split, and shards in a pool, so that few rows meet in one window.
+BLOCK, SHARD, POOL = 256, 1 << 19, 4096
 
 #: What Spark and other engines spell differently.
 SPARK = {"range": "explode(sequence({0}, {1}))", "hash": "cast(conv(substr(md5({0}), {1}, 8), 16, 10) as bigint)", "div": "({0} div {1})", "pick": "element_at(array({0}), {1})", "same": "{0} <=> {1}"}
@@ -63,14 +63,17 @@ with dealt as (
 )
 select *, sum(size) over (partition by sid, shard order by h2, id, size, rid rows between unbounded preceding and current row) - size as pos from dealt
 """),
-    ("shards", "select sid, shard, cast(sum(size) as bigint) as shard_size from {laid} group by sid, shard"),
-    ("shard_items", "select s.sid as grp, s.shard as item, cast(s.shard_size as double) as votes, q.quota as seats from {shards} s join {source_quota} q on s.sid = q.item"),
+    ("shards", "select sid, @div(shard, @pool@)@ as pool, shard, cast(sum(size) as bigint) as shard_size from {laid} group by sid, shard"),
+    # A source's blocks go to pools of its shards, and a pool's to the shards in it.
+    ("pool_items", "select s.sid as grp, s.pool as item, cast(sum(s.shard_size) as double) as votes, max(q.quota) as seats from {shards} s join {source_quota} q on s.sid = q.item group by s.sid, s.pool"),
+    ("pool_quota", APPORTION.replace("{items}", "{pool_items}")),
+    ("shard_items", "select concat(cast(s.sid as string), '/', cast(s.pool as string)) as grp, s.shard as item, cast(s.shard_size as double) as votes, q.quota as seats from {shards} s join {pool_quota} q on s.sid = q.grp and s.pool = q.item"),
     ("shard_quota", APPORTION.replace("{items}", "{shard_items}")),
     # Whole passes over a shard's blocks, then those that the seed ranks first.
     ("blocks", """
 with cut as (
   select s.sid, s.shard, s.shard_size, cast(ceil(s.shard_size / @block@.0D) as bigint) as blocks, q.quota
-  from {shards} s join {shard_quota} q on s.sid = q.grp and s.shard = q.item where s.shard_size > 0
+  from {shards} s join {shard_quota} q on q.grp = concat(cast(s.sid as string), '/', cast(s.pool as string)) and s.shard = q.item where s.shard_size > 0
 ), block as (
   select *, least(@block@, shard_size - j * @block@) as len, least(quota, @most@ * blocks) as passes from (select *, @range(cast(0 as bigint), blocks - 1)@ as j from cut)
 ), ranked as (
@@ -90,7 +93,7 @@ left join {blocks} z on d.sid = z.sid and d.shard = z.shard and @div((d.pos + d.
 
 def step_sql(sql: str, dialect: dict[str, str], seed: str) -> str:
     """Fill in the parameters (@name@) and the dialect's forms (@name(arguments)@) of a step."""
-    for name, value in {"weights": ", ".join(map(str, WEIGHTS)), "n_weights": len(WEIGHTS), "share": SHARE, "most": MOST, "block": BLOCK, "shard": SHARD, "seed": seed}.items():
+    for name, value in {"weights": ", ".join(map(str, WEIGHTS)), "n_weights": len(WEIGHTS), "share": SHARE, "most": MOST, "block": BLOCK, "shard": SHARD, "pool": POOL, "seed": seed}.items():
         sql = sql.replace(f"@{name}@", str(value))
     for name, form in dialect.items():
         while (at := sql.find(f"@{name}(")) >= 0:
@@ -109,9 +112,10 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: st
     table gives none; other columns are not looked at. Reruns agree: order comes from hashes of seed, ids and texts.
 
     A source's documents are dealt to shards of about SHARD words by a hash of their ids; each shard is laid out in hashed order and
-    cut into blocks of BLOCK words. Sainte-Lague gives the mix's blocks to the sources, and a source's to its shards, by
-    highest quotient. A source with a third of all rows is many shards, and no window over documents holds more than
-    one shard; the windows over sources and shards hold one short row for each.
+    cut into blocks of BLOCK words. Sainte-Lague gives the mix's blocks to the sources, a source's to pools of POOL shards, and a pool's
+    to its shards, by highest quotient. A source with a third of all rows is many shards, and no window over documents
+    holds more than one shard, none over shards more than a pool; a pool has about 2**31 words, so even at a hundred
+    terabytes pools are some ten thousand short rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     digest = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
@@ -121,7 +125,7 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: st
         sql = step_sql(sql, SPARK, seed)
         used = {k: v for k, v in frames.items() if "{%s}" % k in sql}
         frames[name] = docs.sparkSession.sql(sql, **used)
-        if name in ("source_quota", "laid", "blocks"):
+        if name in ("source_quota", "laid", "shards", "pool_quota", "blocks"):
             frames[name] = stored(frames[name], name)
     return frames["mixed"]
 

@@ -54,6 +54,21 @@ def test_mix(docs, rows, clashing, empty):
     assert mix(empty).isEmpty()
 
 
+def test_sources_of_many_pools(docs, rows, empty, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 8)
+    monkeypatch.setattr(mixing, "SHARD", 128)
+    monkeypatch.setattr(mixing, "POOL", 3)
+    source, taken = {r[0]: r[3] for r in rows}, Counter()
+    found = mix(docs).collect()
+    for r in found:
+        assert 0 <= r.taken <= 2 * r.size
+        taken[source[r.id]] += r.taken
+    target = {source[r.id]: r.target for r in found}
+    size = {source[r.id]: r.source_size for r in found}
+    assert all(abs(taken[s] - t) <= 0.05 * size[s] for s, t in target.items())
+    assert mix(empty).isEmpty()
+
+
 def test_apportionment_is_highest_quotients(spark):
     import heapq
     import random
