@@ -39,12 +39,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits(df: DataFrame, row_bytes: int, limit_mb: int = 48) -> bool:
-    """Whether a stored table, at row_bytes a row, is small enough to broadcast. Reads row counts only."""
-    return df.count() * row_bytes <= limit_mb << 20
+def fits(df: DataFrame, row_bytes: int | Column, limit_mb: int = 48) -> bool:
+    """Whether a stored table is small enough to broadcast. Rows of one size are only counted; where they hold arrays or texts,
+    row_bytes is a column, which is summed."""
+    size = df.count() * row_bytes if isinstance(row_bytes, int) else df.agg(F.sum(row_bytes)).first()[0] or 0
+    return size <= limit_mb << 20
 
 
-def joined(big: DataFrame, side: DataFrame, on: Column | list[str], how: str, row_bytes: int) -> DataFrame:
+def joined(big: DataFrame, side: DataFrame, on: Column | list[str], how: str, row_bytes: int | Column) -> DataFrame:
     """Join; side is broadcast only after its size was checked, else both sides are shuffled."""
     return big.join(F.broadcast(side) if fits(side, row_bytes) else side, on, how)
 

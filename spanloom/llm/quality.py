@@ -76,7 +76,7 @@ def base_statistics(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", t
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     code = lambda k: F.char(k + 48)  # noqa: E731  a character that stands for the k-th common word
     coded = words.select("lang", F.map_from_arrays("words", F.transform("words", lambda _, k: code(k))).alias("code_of"), F.transform("words", lambda _, k: code(k)).alias("codes"), F.array_max(F.transform("words", F.octet_length)).alias("longest"))
-    rows = joined(docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text")).alias("a"), coded.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang")), "left", 64 * COMMON).select("doc_id", "a.lang", "text", "code_of", "codes", "longest")
+    rows = joined(docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text")).alias("a"), coded.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang")), "left", 128 * COMMON + 2 * COMMON * F.col("longest")).select("doc_id", "a.lang", "text", "code_of", "codes", "longest")
 
     def measured(words: Column) -> Column:
         n = F.size(words).cast("bigint")

@@ -174,7 +174,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     several = contexts.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     mixed = contexts.join(several, "key").select("key", "ctx", "off", "width", "n", "m", "spot")
     wanted = stored(mixed.groupBy("spot.id", "spot.rid").agg(F.collect_list(F.struct("key", "ctx", "off", "width", "n", "m", F.col("spot.lo").alias("lo"))).alias("wanted")).withColumnsRenamed({"id": "own", "rid": "own_rid"}), "wanted")
-    texts = joined(docs, wanted, docs.id.eqNullSafe(wanted.own) & (docs.rid == wanted.own_rid), "inner", 400).select("text", "wanted")
+    texts = joined(docs, wanted, docs.id.eqNullSafe(wanted.own) & (docs.rid == wanted.own_rid), "inner", 64 + 80 * F.size("wanted")).select("text", "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -257,7 +257,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, ba
     """
     rows = docs.select(F.col(id_col).alias("id"), text_key(id_col, text_col).alias("rid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spans = stored(repeated_spans(rows, length, anchor, batches, together), "spans").withColumnsRenamed({"id": "own", "rid": "own_rid"})
-    found = joined(rows, spans, rows.id.eqNullSafe(spans.own) & (rows.rid == spans.own_rid), "left", 64).select("id", "text", "spans")
+    found = joined(rows, spans, rows.id.eqNullSafe(spans.own) & (rows.rid == spans.own_rid), "left", 64 + 32 * F.size("spans")).select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
