@@ -207,3 +207,13 @@ def test_passages(docs, rows, clashing, empty, monkeypatch):
     monkeypatch.setattr(chaining, "MOST_PARTS", 1)
     assert sorted(map(str, repeated_passages(clashing).collect())) == sorted(map(str, found))
     assert repeated_passages(empty).isEmpty()
+
+
+def test_passage_whose_parts_stand_in_earlier_documents(spark):
+    rng = random.Random(21)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage, least = fresh(60), fresh(50)
+    parts = {1: passage[:30], 2: passage[30:], 3: least[:25], 4: least[25:], 5: passage, 6: passage, 7: least, 8: least, 9: least[:49]}
+    df = spark.createDataFrame([(k, " ".join(fresh(30) + part + fresh(30))) for k, part in parts.items()], "doc_id bigint, text string")
+    got = {(r.id, r.partner): (r.start, r.end, r.partner_start, r.partner_end) for r in repeated_passages(df).collect()}
+    assert got == {(6, 5): (30, 90, 30, 90), (8, 7): (30, 80, 30, 80)}
