@@ -217,3 +217,15 @@ def test_passage_whose_parts_stand_in_earlier_documents(spark):
     df = spark.createDataFrame([(k, " ".join(fresh(30) + part + fresh(30))) for k, part in parts.items()], "doc_id bigint, text string")
     got = {(r.id, r.partner): (r.start, r.end, r.partner_start, r.partner_end) for r in repeated_passages(df).collect()}
     assert got == {(6, 5): (30, 90, 30, 90), (8, 7): (30, 80, 30, 80)}
+
+
+def test_passage_of_lines_that_repeat_in_its_document(spark):
+    rng = random.Random(22)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    lines, twice = [fresh(12) for _ in range(6)], fresh(60)
+    passage = sum(lines, [])
+    ahead = sum((line + fresh(40) for line in reversed(lines)), [])
+    texts = {1: fresh(20) + passage + fresh(20), 2: ahead + passage + fresh(20), 3: fresh(30) + twice + fresh(30), 4: fresh(30) + twice + fresh(90) + twice + fresh(30)}
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id bigint, text string")
+    got = sorted((r.id, r.partner, r.start, r.end, r.partner_start, r.partner_end) for r in repeated_passages(df).collect())
+    assert got == [(2, 1, 312, 384, 20, 92), (4, 3, 30, 90, 30, 90), (4, 3, 180, 240, 30, 90)]
