@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, staying, stored, text_key
+from .common import joined, slices, staying, stored, text_key
 from .components import connected_components
 
 #: Blocks that fingerprints are dealt to, so that each goes to at most so many tasks; and most fingerprints in a block, beyond which there
@@ -22,6 +22,9 @@ BLOCKS, MOST, TILE = 32, 1 << 20, 512
 HELD = 1 << 20
 #: The same for blocks with sketches, and slots of a sketch.
 SKETCH_BLOCKS, MOST_SKETCHES, SLOTS = 8, 1 << 16, 256
+#: Sketches may show a similarity lower by so much than asked for (four standard deviations at 0.8) and are compared exactly then;
+#: nodes and bytes of shingles in a part of a group to compare, beyond which there are more parts.
+SLACK, MOST_NODES, MOST_BYTES = 0.1, 512, 32 << 20
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -53,6 +56,17 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.where(least == np.iinfo(np.uint64).max, 0, value).astype("<u2").tobytes()
 
 
+def shingle_set(hashes: np.ndarray) -> bytes:
+    """The different hashes in order."""
+    return np.unique(hashes).astype("<u8").tobytes()
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets, as sorted arrays; two empty ones are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
 def similar(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
     """Whether rows i of a and j of b, matrices of sketches, show a Jaccard similarity of at least `least`; texts without words are alike."""
     out = np.empty(len(i), bool)
@@ -64,20 +78,21 @@ def similar(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, least: f
 
 
 def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text", sketches: bool = False) -> DataFrame:
-    """Rows of id_col, fp (bigint) and, if asked for, sketch, one for each input row; null and wordless texts have fingerprint 0. Map-only."""
+    """Rows of id_col, fp (bigint) and, if asked for, sketch and digest (of the set of shingles), one for each input row; null and wordless texts have fingerprint 0. Map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fps, minima = [], []
+            fps, minima, digests = [], [], []
             for text in batch.column(1):
                 hashes = shingle_hashes(text.as_py(), width)
                 fps.append(fingerprint(hashes) if len(hashes) else 0)
                 if sketches:
                     minima.append(sketch(hashes))
-            more = [pa.array(minima, pa.binary())] if sketches else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *more], names=[id_col, "fp", "sketch"][: 2 + sketches])
+                    digests.append(xxhash.xxh64_intdigest(shingle_set(hashes)))
+            more = [pa.array(minima, pa.binary()), pa.array(np.array(digests, np.uint64).view(np.int64))] if sketches else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *more], names=[id_col, "fp", "sketch", "digest"][: 2 + 2 * sketches])
 
-    schema = T.StructType([docs.schema[id_col], T.StructField("fp", T.LongType()), *[T.StructField("sketch", T.BinaryType())] * sketches])
+    schema = T.StructType([docs.schema[id_col], T.StructField("fp", T.LongType()), *[T.StructField("sketch", T.BinaryType()), T.StructField("digest", T.LongType())][: 2 * sketches]])
     return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -216,12 +231,60 @@ def near_links(rows: DataFrame, radius: int = 4, similarity: float | None = None
     return _pairs_of_blocks(kept, radius, MOST_SKETCHES, SKETCH_BLOCKS).groupBy("pair").applyInPandas(alike, "u bigint, v bigint")
 
 
+def _verified(part: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Links (u, v) between nodes of one or two parts of a candidate group whose sets of shingles have the similarity; pairs that are linked
+    already by others aren't compared."""
+    a, b = part[part["side"] == 0].drop_duplicates("node"), part[part["side"] == 1].drop_duplicates("node")
+    own = not len(b)
+    b = a if own else b
+    left, right = a["node"].tolist(), b["node"].tolist()
+    sets = [[np.frombuffer(x, "<u8") for x in p["shingles"]] for p in (a, b)]
+    sketches = [np.frombuffer(b"".join(p["sketch"]), "<u2").reshape(-1, SLOTS) for p in (a, b)]
+    root, out = {x: x for x in left + right}, []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for i in range(len(left)):
+        j = np.arange(i + 1 if own else 0, len(right))
+        for k in j[similar(sketches[0], sketches[1], np.full(len(j), i), j, similarity - SLACK)].tolist():
+            u, v = find(left[i]), find(right[k])
+            if u != v and jaccard(sets[0][i], sets[1][k]) >= similarity:
+                root[u] = v
+                out.append((left[i], right[k]))
+    return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+
+def exact_links(keyed: DataFrame, nodes: DataFrame, candidates: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (u, v) that join all nodes whose sets of shingles have the similarity and that are in one group of candidates.
+
+    keyed: id (of id and rid) and text of rows; nodes: node, sketch and least (a row that holds it); candidates: node and root. Only texts in
+    groups are read again. Groups are dealt to parts of bounded size, and every two parts of a group are compared.
+    """
+    met = stored(nodes.join(candidates, "node").select("node", "root", "sketch", F.col("least.id").alias("own"), F.col("least.rid").alias("own_rid")), "met")
+    rows = joined(keyed.select(F.col("id.id").alias("id"), F.col("id.rid").alias("rid"), F.col("text").cast("string").alias("text")), met, F.col("id").eqNullSafe(F.col("own")) & (F.col("rid") == F.col("own_rid")), "inner", 600)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
+            sets = [shingle_set(shingle_hashes(t.as_py(), width)) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["node", "root", "sketch", "shingles"])
+
+    sets = stored(rows.select("node", "root", "sketch", "text").mapInArrow(cut, "node bigint, root bigint, sketch binary, shingles binary"), "shingles")
+    size = sets.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / MOST_NODES, F.sum(F.length("shingles")) / MOST_BYTES)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = sets.join(size, "root").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other"), "side": (F.col("part") > F.col("other")).cast("int")})
+    return dealt.groupBy("root", "low", "high").applyInPandas(lambda p: _verified(p[["node", "sketch", "shingles", "side"]], similarity), "u bigint, v bigint")
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's SimHash and its near-duplicate group.
 
     Rows: one per input row with id_col, fp and component (the smallest id reachable over links; its own included). Two texts are
     linked if their fingerprints differ in at most radius bits and, where a similarity is given, the Jaccard similarity of their
-    shingle sets, as one-permutation MinHashes of SLOTS slots tell it, is at least that. Words are lower-cased (A-Z) runs of
+    shingle sets is at least that; there fingerprints and one-permutation MinHashes of SLOTS slots only find the candidates. Words are lower-cased (A-Z) runs of
     anything but ASCII white space; a text of fewer than width words is one shingle; null and wordless texts have fingerprint 0,
     linked like any other. Rows that repeat an id or a text repeat in the result; a null id is never a component unless
     its group has no other. An empty table gives none; other columns are not looked at.
@@ -233,22 +296,26 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, similarity
 def _grouped(docs: DataFrame, width: int, radius: int, similarity: float | None, id_col: str, text_col: str) -> DataFrame:
     """id, rid, fp and least (id and rid of the group's first row) of each row."""
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), text_key(id_col, text_col).alias("rid")).alias("id"), F.col(text_col).alias("text"))
-    prints = fingerprints(keyed, width, "id", "text", similarity is not None).select("id.id", "id.rid", "fp", *["sketch"] * (similarity is not None))
-    prints = stored(prints.withColumn("node", F.col("fp") if similarity is None else F.xxhash64("fp", "sketch")), "fingerprints")
+    prints = fingerprints(keyed, width, "id", "text", similarity is not None).select("id.id", "id.rid", "fp", *["sketch", "digest"] * (similarity is not None))
+    prints = stored(prints.withColumn("node", F.col("fp") if similarity is None else F.xxhash64("fp", "digest")).drop("digest"), "fingerprints")
     extra = [] if similarity is None else [F.first("sketch").alias("sketch")]
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid"))
     distinct = stored(prints.groupBy("node", "fp").agg(first.alias("least"), *extra), "distinct")
-    roots = connected_components(near_links(distinct.drop("least"), radius, similarity)).withColumnRenamed("node", "of")
+    links = near_links(distinct.drop("least"), radius, None if similarity is None else similarity - SLACK)
+    if similarity is not None:
+        links = exact_links(keyed, distinct, connected_components(links), width, similarity)
+    roots = connected_components(links).withColumnRenamed("node", "of")
     group = stored(distinct.select("node", "least").join(roots, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root")), "groups")
     least = group.groupBy("root").agg(F.min("least").alias("first"))
     of_node = group.join(least, "root").select("node", F.col("first").alias("least"))
     return prints.select("id", "rid", "fp", "node").join(of_node, "node").select("id", "rid", "fp", "least")
 
 
-def near_dedup(docs: DataFrame, width: int = 5, radius: int = 12, similarity: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, width: int = 5, radius: int = 18, similarity: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, one for each near-duplicate group: the one with the group's smallest id.
 
-    At a similarity of 0.8, 97 of 100 pairs of texts have five-word fingerprints within 12 bits; see near_duplicates. Of rows that repeat
+    The similarity is decided on the sets of shingles; fingerprints more than radius bits apart are missed, at 0.8 about 2.3 in a
+    thousand pairs of texts of one size by the binomial distribution, fewer above; see near_duplicates. Of rows that repeat
     that id, one stays; a row with a null id only if the group has no other.
     """
     found = _grouped(docs, width, radius, similarity, id_col, text_col)

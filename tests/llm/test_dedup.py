@@ -229,3 +229,18 @@ def test_passage_of_lines_that_repeat_in_its_document(spark):
     df = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id bigint, text string")
     got = sorted((r.id, r.partner, r.start, r.end, r.partner_start, r.partner_end) for r in repeated_passages(df).collect())
     assert got == [(2, 1, 312, 384, 20, 92), (4, 3, 30, 90, 30, 90), (4, 3, 180, 240, 30, 90)]
+
+
+def test_near_dedup_decides_by_exact_similarity(spark):
+    rng = random.Random(31)
+    texts = []
+    for k in range(60):  # texts of 300 shingles, of which a run at one end differs
+        least = 0.75 + 0.15 * k / 59
+        words, changed = [f"w{rng.randrange(10**9)}" for _ in range(304)], round(300 * (1 - least) / (1 + least))
+        texts += [words, words[: 304 - changed] + [f"x{rng.randrange(10**9)}" for _ in range(changed)]]
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    alike = [len(a & b) / len(a | b) for a, b in zip(grams[::2], grams[1::2], strict=True)]
+    assert min(alike) < 0.76 and max(alike) > 0.89
+    df = spark.createDataFrame([(k, " ".join(w), "en", "a", 0) for k, w in enumerate(texts)], SCHEMA)
+    want = sorted([2 * k for k in range(60)] + [2 * k + 1 for k in range(60) if alike[k] < 0.8])
+    assert sorted(r.doc_id for r in simhash.near_dedup(df).collect()) == want
