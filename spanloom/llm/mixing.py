@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, joined, stored, text_key
@@ -117,26 +117,41 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: st
     holds more than one shard, none over shards more than a pool; a pool has about 2**31 words, so even at a hundred
     terabytes pools are some ten thousand short rows.
     """
+    return _frames(docs, seed, id_col, text_col, source_col)["mixed"]
+
+
+def _frames(docs: DataFrame, seed: str, id_col: str, text_col: str, source_col: str) -> dict[str, DataFrame]:
+    """The tables of all steps by name, and `placed`: mixed with the shard of each row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     digest = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     part = lambda at: F.conv(F.substring(F.md5(digest), at, 8), 16, 10).cast("bigint")
     frames = {"sized": stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"), part(1).alias("h1"), part(9).alias("h2"), text_key(id_col, text_col).alias("rid")), "sized")}
-    for name, sql in STEPS:
+    for name, sql in [*STEPS, ("placed", STEPS[-1][1].replace("select d.id,", "select d.sid, d.shard, d.id,", 1))]:
         sql = step_sql(sql, SPARK, seed)
         used = {k: v for k, v in frames.items() if "{%s}" % k in sql}
         frames[name] = docs.sparkSession.sql(sql, **used)
         if name in ("source_quota", "laid", "shards", "pool_quota", "blocks"):
             frames[name] = stored(frames[name], name)
-    return frames["mixed"]
+    return frames
 
 
 def mixed_documents(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix as whole documents: each row of docs as often as its taken words fill its size, rounded to whole times.
+    """The mix as whole documents: each row of docs as often as its taken words fill its size, or once more or less, so that sums are kept.
 
-    Words are taken in blocks, so a document at the edge of one counts as taken from half its words on. Null and
-    wordless texts go. Rows that repeat id and text share their copies evenly, rounded the same way.
+    A shard's documents are put in order of size and their times added up from a seeded start; each comes as often as
+    the sum passes a whole number. So a document comes floor or ceil of its times, at its times on the average, and a shard's
+    words are off by about its longest document at most. Null and wordless texts go. Rows that repeat id and text share their
+    copies evenly and are rounded together.
     """
-    copies = mix(docs, seed, id_col, text_col, source_col).filter("taken > 0").groupBy("id", "rid").agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("copies")).filter("copies > 0")
+    placed = _frames(docs, seed, id_col, text_col, source_col)["placed"].filter("size > 0")
+    once = placed.groupBy("id", "rid").agg(F.min(F.struct("sid", "shard")).alias("at"), F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    start = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}|start"), "at.sid", "at.shard")), 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
+    times = F.col("taken") / F.col("size")
+    upto = Window.partitionBy("at").orderBy("size", "id", "rid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = lambda c: F.floor(F.round(c, 6))
+    copies = once.withColumn("times", times).withColumn("sum", F.sum("times").over(upto) + start)
+    before = F.coalesce(F.lag("sum").over(Window.partitionBy("at").orderBy("size", "id", "rid")), start)
+    copies = copies.withColumn("copies", (whole(F.col("sum")) - whole(before)).cast("int")).filter("copies > 0").select("id", "rid", "copies")
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own"), text_key(id_col, text_col).alias("key"))
     copies = stored(copies, "copies")
     found = joined(rows, copies, rows.own.eqNullSafe(copies.id) & (rows.key == copies.rid), "inner", 48)

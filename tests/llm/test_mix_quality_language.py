@@ -95,6 +95,28 @@ def test_mixed_documents(docs, clashing, empty):
     assert mixed_documents(empty).isEmpty()
 
 
+def test_whole_documents_of_many_blocks_meet_the_targets(spark):
+    """A hot source with a ratio below 0.5 keeps its share although its texts have many blocks."""
+    import random
+
+    rng = random.Random(9)
+    sizes = {s: [rng.randrange(300, 3000) for _ in range(n)] for s, n in {"a": 200, "c": 132, "d": 200, "e": 66, "f": 132}.items()}
+    sizes["b"] = [rng.randrange(5000, 12000) for _ in range(60)]
+    data = [(f"{s}{k}", "w " * n, s) for s, all_sizes in sizes.items() for k, n in enumerate(all_sizes)]
+    df = spark.createDataFrame(data, "doc_id string, text string, source string").repartition(4)
+    target = {r.source_size: r.target for r in mix(df).collect()}
+    got, times = Counter(), Counter()
+    for r in mixed_documents(df).select("doc_id", "source", F.size(F.split(F.trim("text"), " ")).alias("n")).collect():
+        got[r.source] += r.n
+        times[r.doc_id] += 1
+    ratio = {s: target[sum(x)] / sum(x) for s, x in sizes.items()}
+    assert ratio["b"] < 0.5
+    assert max(times.values()) <= 2
+    for s, x in sizes.items():
+        shards = -(-sum(x) // mixing.SHARD)
+        assert abs(got[s] - target[sum(x)]) <= (shards + 1) * max(x), (s, got[s], target[sum(x)])
+
+
 def test_base_statistics(docs, rows, clashing, empty):
     want = []
     for r in rows:
