@@ -79,7 +79,7 @@ def op8_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chaining import repeated_passages
 
-    return repeated_passages(documents(spark, sf_dir)).withColumnsRenamed({"id": "doc_id", "partner": "partner_id"})
+    return repeated_passages(documents(spark, sf_dir)).withColumnsRenamed({"id": "doc_id", "partner": "partner_id", "component": "component_id"})
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,9 +201,11 @@ def test_passages(docs, rows, clashing, empty, monkeypatch):
     for group in ((5, 17, 23, 41), (2, 7, 8, 30), (12, 13, 14)):
         assert len({find(k) for k in group}) == 1
     assert {x for r in found for x in (r.id, r.partner)} <= {5, 17, 23, 41, 2, 7, 8, 30, 12, 13, 14, 3, 4, None}
-    spans = {r.id: (r.start, r.end) for r in found if r.id in (17, 23, 41) and r.partner == 5}
+    own = [(r.id, r.start, r.end) for r in found if {r.id, r.partner} <= {5, 17, 23, 41}] + [(r.partner, r.partner_start, r.partner_end) for r in found if {r.id, r.partner} <= {5, 17, 23, 41}]
     # Unlike words may agree by chance just beyond the ends, the fewer the more words there are to choose from.
-    assert all(20 <= s <= 43 and 127 <= e <= 150 for s, e in spans.values()) and len(spans) == 3
+    assert all(20 <= s <= 43 and 127 <= e <= 150 for _, s, e in own) and len(own) == 6 and {k for k, _, _ in own} == {5, 17, 23, 41}
+    assert all(r.partner is None or r.id >= r.partner for r in found)
+    assert {r.component for r in found if r.id in (17, 23, 41)} == {5} and {r.component for r in found if r.id in (7, 8, 30)} == {2}
     monkeypatch.setattr(chaining, "MOST_PARTS", 1)
     assert sorted(map(str, repeated_passages(clashing).collect())) == sorted(map(str, found))
     assert repeated_passages(empty).isEmpty()
@@ -244,3 +246,95 @@ def test_near_dedup_decides_by_exact_similarity(spark):
     df = spark.createDataFrame([(k, " ".join(w), "en", "a", 0) for k, w in enumerate(texts)], SCHEMA)
     want = sorted([2 * k for k in range(60)] + [2 * k + 1 for k in range(60) if alike[k] < 0.8])
     assert sorted(r.doc_id for r in simhash.near_dedup(df).collect()) == want
+
+
+def fresh(rng, n):
+    return [b"w%d" % rng.randrange(10**9) for _ in range(n)]
+
+
+def test_seeds_leave_no_run_without_one():
+    rng = random.Random(41)
+    for n in (0, 1, 4, 5, 6, 9, 10, 60, 300):
+        words = [b"%d" % rng.randrange(6) for _ in range(n)] if n % 2 else fresh(rng, n)
+        hashes = chaining.word_hashes(words)
+        for size, window in ((5, 5), (20, 31), (3, 1), (7, 4)):
+            grams = chaining.run_hashes(hashes, size)
+            assert len(grams) == max(0, n - size + 1)
+            by_words = defaultdict(set)
+            for i, g in enumerate(grams.tolist()):
+                by_words[tuple(words[i : i + size])].add(g)
+            assert all(len(x) == 1 for x in by_words.values()) and len({x for y in by_words.values() for x in y}) == len(by_words)
+            found, at = chaining.seeds(hashes, size, window)
+            want = {i for s in range(max(0, len(grams) - window + 1)) for i in range(s, s + window) if grams[i] == grams[s : s + window].min()}
+            if 0 < len(grams) < window:
+                want = set(np.flatnonzero(grams == grams.min()).tolist())
+            assert set(at.tolist()) == want and (found == grams[at]).all()
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_neighbours_of_hot_and_rare_keys(spark, parts):
+    rng = random.Random(42)
+    rows = sorted({(rng.choice((0, 0, 0, 1, 2, rng.randrange(3, 40))), rng.randrange(60), rng.randrange(50)) for _ in range(900)})
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "key bigint, rid bigint, at int").repartition(5)
+    places = defaultdict(lambda: defaultdict(list))
+    for key, rid, at in rows:
+        places[key][rid].append(at)
+    want = set()
+    for key, own in places.items():
+        for a, b in zip(sorted(own)[1:], sorted(own), strict=False):
+            want |= {(key, a, x, b, own[b][0]) for x in own[a]} | {(key, a, own[a][0], b, y) for y in own[b]}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = [tuple(r) for r in chaining.neighbours(df).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(found) == sorted(want)
+
+
+def test_documents_with_a_common_run_are_in_one_component(spark):
+    """All pairs by brute force, where lines, parts of passages and whole passages meet in random documents."""
+    rng = random.Random(43)
+    passages, lines = [fresh(rng, n) for n in (50, 51, 60, 90, 120, 200)], [fresh(rng, n) for n in (6, 12, 25, 49)]
+    texts = []
+    for _ in range(120):
+        words = fresh(rng, rng.randrange(1, 30))
+        for _ in range(rng.randrange(0, 4)):
+            p = rng.choice(passages + lines)
+            a, b = (0, len(p)) if rng.random() < 0.4 else sorted(rng.sample(range(len(p) + 1), 2))
+            words = words + p[a:b] + fresh(rng, rng.randrange(1, 20))
+        texts.append(words)
+    texts += [passages[3], passages[3][:45] + fresh(rng, 9), fresh(rng, 9) + passages[3][45:]]
+    runs = defaultdict(set)
+    for k, words in enumerate(texts):
+        for i in range(len(words) - 49):
+            runs[tuple(words[i : i + 50])].add(k)
+    df = spark.createDataFrame([(k, b" ".join(w).decode()) for k, w in enumerate(texts)], "doc_id bigint, text string")
+    found = repeated_passages(df).collect()
+    component = {k: r.component for r in found for k in (r.id, r.partner)}
+    pairs = {(min(a), b) for a in runs.values() for b in a if len(a) > 1 and b != min(a)}
+    assert len(pairs) > 50 and all(component[a] == component[b] for a, b in pairs)
+    root = {k: min(x for x in component if component[x] == c) for k, c in component.items()}
+    assert root == component
+    for r in found:
+        a, b = texts[r.id][r.start : r.end], texts[r.partner][r.partner_start : r.partner_end]
+        assert min(len(a), len(b)) >= 50 and r.identity == pytest.approx(chaining._equal(a, b) / max(len(a), len(b)), abs=0.1)
+
+
+def test_recall_of_changed_passages(spark):
+    """Passages of 60 words with every n-th word changed, each in two documents: the shares found are those in the README."""
+    rng = random.Random(44)
+    rows, every = [], (12, 10, 8, 7, 6)
+    for k, n in enumerate(every):
+        for j in range(60):
+            passage = fresh(rng, 60)
+            other = [fresh(rng, 1)[0] if i % n == n - 1 else w for i, w in enumerate(passage)]
+            rows += [(1000 * k + 2 * j + x, b" ".join(fresh(rng, 20) + p + fresh(rng, 20)).decode()) for x, p in enumerate((passage, other))]
+    found = {r.partner for r in repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    recall = [sum(1000 * k + 2 * j in found for j in range(60)) / 60 for k in range(len(every))]
+    print("recall of passages with every n-th word changed", dict(zip(every, recall, strict=True)))
+    assert recall[0] == recall[1] == 1 and recall[2] >= 0.9 and len(found) == sum(round(60 * x) for x in recall)
