@@ -111,7 +111,7 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: st
     taken 0. A null source is a source, the last. Repeated rows are laid out one after another, each on its own. An empty
     table gives none; other columns are not looked at. Reruns agree: order comes from hashes of seed, ids and texts.
 
-    A source's documents are dealt to shards of about SHARD words by a hash of their ids; each shard is laid out in hashed order and
+    A source's documents are dealt to shards of about SHARD words by a hash of their ids and texts; each shard is laid out in hashed order and
     cut into blocks of BLOCK words. Sainte-Lague gives the mix's blocks to the sources, a source's to pools of POOL shards, and a pool's
     to its shards, by highest quotient. A source with a third of all rows is many shards, and no window over documents
     holds more than one shard, none over shards more than a pool; a pool has about 2**31 words, so even at a hundred
@@ -123,7 +123,7 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: st
 def _frames(docs: DataFrame, seed: str, id_col: str, text_col: str, source_col: str) -> dict[str, DataFrame]:
     """The tables of all steps by name, and `placed`: mixed with the shard of each row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    digest = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    digest = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.md5(text))
     part = lambda at: F.conv(F.substring(F.md5(digest), at, 8), 16, 10).cast("bigint")
     frames = {"sized": stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"), part(1).alias("h1"), part(9).alias("h2"), text_key(id_col, text_col).alias("rid")), "sized")}
     for name, sql in [*STEPS, ("placed", STEPS[-1][1].replace("select d.id,", "select d.sid, d.shard, d.id,", 1))]:

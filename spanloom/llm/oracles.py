@@ -13,7 +13,7 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
 def _mix() -> str:
-    hashed = lambda at: f"('0x' || substr(md5('mix|' || coalesce(doc_id::varchar, '')), {at}, 8))::bigint"
+    hashed = lambda at: f"('0x' || substr(md5('mix|' || coalesce(doc_id::varchar, '') || '|' || md5(coalesce(text, ''))), {at}, 8))::bigint"
     steps = [("sized", f"select doc_id as id, source, len({_WORDS})::bigint as size, {hashed(1)} as h1, {hashed(9)} as h2, 0 as rid from documents")]
     for name, sql in STEPS:
         sql = re.sub(r"(\d)D\b", r"\1::double", step_sql(sql, _DUCK, "mix"))
