@@ -82,7 +82,7 @@ def suffixes(data: bytes, rolling: Rolling, length: int = LENGTH, anchor: int =
 
 
 def suffix_array(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """The sampled suffixes of texts (id, rid, text): key (the anchor), ctx (digest of the bytes of all windows that the
+    """The sampled suffixes of texts (id, rid, text): key (the anchor), ctx (128-bit digest of the bytes of all windows that the
     suffix stands for, and of the anchor's place there), id, rid, starts (of equal contexts in the text), off (anchor's
     place in the context) and width. One row for each different context of a text."""
 
@@ -96,16 +96,16 @@ def suffix_array(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
                     continue
                 found: dict[tuple, list[int]] = {}
                 for key, at, lo, hi in suffixes(data, rolling, length, anchor):
-                    ctx = xxhash.xxh64_intdigest(data[lo : hi + length], at - lo)
-                    found.setdefault((key, ctx - (1 << 64) if ctx >> 63 else ctx, at - lo, hi - lo + length), []).append(lo)
+                    ctx = xxhash.xxh3_128_digest(data[lo : hi + length], at - lo)
+                    found.setdefault((key, ctx, at - lo, hi - lo + length), []).append(lo)
                 rows += [(k, *key, starts) for key, starts in found.items()]
             if rows:
                 of, key, ctx, off, width, starts = zip(*rows, strict=True)
                 of = pa.array(of, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ctx, pa.int64()), batch.column(0).take(of), batch.column(1).take(of), pa.array(starts, pa.list_(pa.int32())), pa.array(off, pa.int32()), pa.array(width, pa.int32())], names=["key", "ctx", "id", "rid", "starts", "off", "width"])
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ctx, pa.binary()), batch.column(0).take(of), batch.column(1).take(of), pa.array(starts, pa.list_(pa.int32())), pa.array(off, pa.int32()), pa.array(width, pa.int32())], names=["key", "ctx", "id", "rid", "starts", "off", "width"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "rid", "text").mapInArrow(run, f"key bigint, ctx bigint, id {kind}, rid bigint, starts array<int>, off int, width int")
+    return docs.select("id", "rid", "text").mapInArrow(run, f"key bigint, ctx binary, id {kind}, rid bigint, starts array<int>, off int, width int")
 
 
 class IndexFamily:
@@ -122,15 +122,20 @@ class IndexFamily:
 
     @staticmethod
     def _run(rows: DataFrame) -> DataFrame:
-        """A sorted run, written."""
-        return stored(rows.repartitionByRange("key").sortWithinPartitions("key"), "suffixes")
+        """A sorted run, written. Ranges may end within a key, so a hot key's suffixes fill as many as they need."""
+        order = ("key", "ctx", "rid")
+        return stored(rows.repartitionByRange(*order).sortWithinPartitions(*order), "suffixes")
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Add texts (id, rid, text); return the keys (stored) that the batch shares with a level or has more than once."""
-        batch = self._run(suffix_array(docs, self.length, self.anchor))
+        return self.add_suffixes(stored(suffix_array(docs, self.length, self.anchor), "suffixes"))
+
+    def add_suffixes(self, rows: DataFrame) -> DataFrame:
+        """The same for a stored suffix array in any order. Keys are combined before they are shuffled."""
+        batch = self._run(rows)
         own = batch.groupBy("key").agg(F.sum(F.size("starts")).alias("n"))
         repeated = own.filter("n > 1").select("key")
-        met = [own.select("key").join(level.select("key"), "key", "left_semi") for _, level in self.levels]
+        met = [own.select("key").join(level.select("key").distinct(), "key", "left_semi") for _, level in self.levels]
         found = stored(reduce(DataFrame.unionAll, met, repeated).distinct(), "met")
         self.levels.append((1, batch))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
@@ -152,6 +157,27 @@ def equal_windows(keys: np.ndarray, offs: np.ndarray, parts: list[bytes], length
         yield starts, np.stack([_mixed(r(data, length) + place) for r in rollings], axis=1)
 
 
+def equal_bytes(hashes: np.ndarray, parts: list[bytes], windows: list[int], length: int) -> np.ndarray:
+    """For each window of all parts the number of its class of windows with equal bytes. hashes: two for each; where those are equal, the
+    bytes are compared, a run of windows that follow each other in two parts at a time."""
+    _, least, which = np.unique(hashes.view([("a", np.uint64), ("b", np.uint64)]).ravel(), return_index=True, return_inverse=True)
+    which = which.ravel()
+    first, base = least[which], np.cumsum(windows) - windows
+    of = np.repeat(np.arange(len(parts)), windows)
+    own = np.flatnonzero(first != np.arange(len(first)))
+    cut = np.flatnonzero((np.diff(own) > 1) | (np.diff(first[own]) != 1) | (np.diff(of[own]) > 0) | (np.diff(of[first[own]]) > 0)) + 1
+    more = {}
+    for run in np.split(own, cut) if len(own) else ():
+        a, b = (parts[of[x]][x - base[of[x]] : x - base[of[x]] + length + len(run) - 1] for x in (run[0], first[run[0]]))
+        if a != b:  # different bytes of equal hashes: classes of their own
+            for x in run.tolist():
+                data = parts[of[x]][x - base[of[x]] : x - base[of[x]] + length]
+                y = first[x]
+                if data != parts[of[y]][y - base[of[y]] : y - base[of[y]] + length]:
+                    which[x] = more.setdefault((which[x], data), len(least) + len(more))
+    return which
+
+
 def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     cut = np.flatnonzero(np.diff(starts) > 1) + 1
     return [(int(x[0]), int(x[-1]) + length) for x in np.split(starts, cut)] if len(starts) else []
@@ -164,7 +190,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     in order), one for each such text with at least one span.
     """
     family, batch = IndexFamily(length, anchor), F.pmod(F.col("rid"), F.lit(batches))
-    met = [family.add(docs.filter(batch == k)) for k in range(batches)]
+    sampled = stored(suffix_array(docs, length, anchor), "sampled")
+    met = [family.add_suffixes(sampled.filter(batch == k)) for k in range(batches)]
     keys = stored(reduce(DataFrame.unionAll, met).distinct(), "met")
     rows = stored(family.rows().join(keys, "key", "left_semi"), "met-rows")
 
@@ -182,11 +209,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
             for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = text.encode()
                 out += [(w["key"], w["ctx"], w["off"], w["n"], w["m"], data[w["lo"] : w["lo"] + w["width"]]) for w in asked]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "ctx", "off", "n", "m", "part"])
 
-    parts = stored(texts.mapInArrow(cut, "key bigint, ctx bigint, off int, n bigint, m bigint, part binary").dropDuplicates(["key", "ctx"]), "parts")
+    parts = stored(texts.mapInArrow(cut, "key bigint, ctx binary, off int, n bigint, m bigint, part binary").dropDuplicates(["key", "ctx"]), "parts")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by key; whole keys are compared, some thousand contexts at a time."""
@@ -194,8 +221,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         def settle(rows: pd.DataFrame) -> pd.DataFrame:
             found = list(equal_windows(rows["key"].to_numpy(), rows["off"].to_numpy(), rows["part"].tolist(), length))
             hashes = np.concatenate([h for _, h in found])
-            _, which, count = np.unique(hashes.view([("a", np.uint64), ("b", np.uint64)]).ravel(), return_inverse=True, return_counts=True)
-            hit, at, out = count[which.ravel()] > 1, 0, []
+            which = equal_bytes(hashes, rows["part"].tolist(), [len(starts) for starts, _ in found], length)
+            hit, at, out = np.bincount(which)[which] > 1, 0, []
             for starts, _ in found:
                 out.append(_runs(starts[hit[at : at + len(starts)]], length))
                 at += len(starts)
@@ -216,7 +243,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
             yield settle(held)
 
     span = "spans array<struct<s: int, e: int>>"
-    small = parts.filter(F.col("m") <= together).repartition("key").sortWithinPartitions("key").mapInPandas(compare, f"key bigint, ctx bigint, {span}")
+    small = parts.filter(F.col("m") <= together).repartition("key").sortWithinPartitions("key").mapInPandas(compare, f"key bigint, ctx binary, {span}")
 
     def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -226,7 +253,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                     yield pd.DataFrame({"h1": h[:, 0].view(np.int64), "h2": h[:, 1].view(np.int64), "key": key, "ctx": ctx, "n": n, "at": starts})
 
     # A key with more contexts than a task should hold: its windows are rows, counted by Spark.
-    each = parts.filter(F.col("m") > together).mapInPandas(windows, "h1 bigint, h2 bigint, key bigint, ctx bigint, n bigint, at bigint")
+    each = parts.filter(F.col("m") > together).mapInPandas(windows, "h1 bigint, h2 bigint, key bigint, ctx binary, n bigint, at bigint")
     shared = each.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2")
     large = each.filter("n = 1").join(shared, ["h1", "h2"], "left_semi").groupBy("key", "ctx").agg(F.transform(F.collect_list("at"), lambda a: F.struct(a.cast("int").alias("s"), (a + length).cast("int").alias("e"))).alias("spans"))
 
@@ -252,8 +279,9 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, ba
     empty; texts shorter than length stay whole. Rows that repeat are elsewhere to each other, so both lose what they share;
     this holds for rows that repeat both id and text as well. An empty table gives none; other columns aren't looked at.
 
-    The index is a family of sparse suffix arrays (IndexFamily); candidates are settled exactly, window by window, up to
-    two 64-bit hashes of a window's bytes beside the anchor's. Only contexts that differ under a common key leave their texts.
+    The index is a family of sparse suffix arrays (IndexFamily); candidates are settled window by window and their bytes compared; only
+    contexts with equal 128-bit digests, and windows of a key with more than `together` contexts (two 64-bit hashes beside the
+    anchor's), count as equal by digest. Only contexts that differ under a common key leave their texts.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_key(id_col, text_col).alias("rid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spans = stored(repeated_spans(rows, length, anchor, batches, together), "spans").withColumnsRenamed({"id": "own", "rid": "own_rid"})

@@ -138,6 +138,28 @@ def test_repeated_bytes_go(docs, rows, clashing, batches, together):
         assert order((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.collect()) == want
 
 
+@pytest.mark.parametrize("together", [8000, 2])
+def test_repeated_bytes_of_the_real_length(spark, together):
+    rng = random.Random(51)
+    line, passages = prose(rng, 12), [prose(rng, n) for n in (60, 70, 100, 150)]
+    texts = [line.join(["", *(rng.choice(passages)[rng.randrange(0, 150) :] for _ in range(rng.randrange(0, 4))), prose(rng, rng.randrange(1, 80))]) for _ in range(80)]
+    want = [(k, *x) for k, x in enumerate(brute_repeats([t.encode() for t in texts], 400))]
+    found = suffix_dedup.drop_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), together=together)
+    assert sum(x[2] > 0 for x in want) > 20
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.collect()) == want
+
+
+@pytest.mark.parametrize("bits", [0, 1, 64])
+def test_windows_of_equal_hashes_are_told_apart_by_their_bytes(bits):
+    rng, length = random.Random(52), 6
+    shared = bytes(rng.randrange(2) for _ in range(30))
+    parts = [shared, bytes(rng.randrange(2) for _ in range(9)) + shared[4:25], shared[:11], shared, bytes(rng.randrange(2) for _ in range(40))]
+    windows = [p[i : i + length] for p in parts for i in range(len(p) - length + 1)]
+    hashes = np.array([[xxhash.xxh64_intdigest(w) >> (64 - bits) if bits else 0, 1] for w in windows], np.uint64)
+    which = suffix_dedup.equal_bytes(hashes, parts, [len(p) - length + 1 for p in parts], length)
+    assert all((which[i] == which[j]) == (windows[i] == windows[j]) for i in range(len(windows)) for j in range(i))
+
+
 def test_repeated_bytes_of_no_documents(empty):
     assert suffix_dedup.drop_repeats(empty).isEmpty()
 
