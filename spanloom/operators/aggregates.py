@@ -52,10 +52,13 @@ def duplicates(rows: DataFrame, key: list[str], first: str) -> DataFrame:
 
 
 def attention_pool(frames: DataFrame, logit: str, emb: str, part: list[str]) -> DataFrame:
-    """part, d, v: each sequence's mean embedding under softmax weights of the logit; combined before the shuffle."""
-    top = Window.partitionBy(*part)
-    weighted = frames.withColumn("_w", F.exp(F.col(logit) - F.max(logit).over(top)))
-    each = weighted.select(*part, "_w", F.posexplode(emb).alias("d", "_x"))
+    """part, d, v: each sequence's mean embedding under softmax weights of the logit.
+
+    The maximum is a number a sequence, combined before its shuffle and joined back; sums are combined before theirs, so no
+    sequence has to fit anywhere.
+    """
+    top = frames.groupBy(*part).agg(F.max(logit).alias("_top"))
+    each = frames.join(top, part).select(*part, F.exp(F.col(logit) - F.col("_top")).alias("_w"), F.posexplode(emb).alias("d", "_x"))
     return each.groupBy(*part, "d").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("v"))
 
 

@@ -9,7 +9,7 @@ from spanloom.functions.intervals import iou
 
 
 def candidates(pred: DataFrame, gt: DataFrame, thr: float = 0.5, bucket: float = 43200.0) -> DataFrame:
-    """Pairs of a video and class with IoU of at least thr > 0.
+    """Pairs of a video and class with IoU of at least thr > 0, and their hull (lo, hi).
 
     pred: video_id, pred_id, class_name, st, en; gt: the same with gt_id. Intervals go to each stretch of `bucket` seconds that
     they touch, and a pair counts in the stretch where its overlap begins: an equi-join on video, class and stretch, whose
@@ -19,21 +19,28 @@ def candidates(pred: DataFrame, gt: DataFrame, thr: float = 0.5, bucket: float =
     p, g = pred.withColumn("_b", touched).alias("p"), gt.withColumn("_b", touched).alias("g")
     on = (F.col("p.video_id") == F.col("g.video_id")) & (F.col("p.class_name") == F.col("g.class_name")) & (F.col("p._b") == F.col("g._b")) & (F.col("p.st") < F.col("g.en")) & (F.col("g.st") < F.col("p.en"))
     first = F.floor(F.greatest("p.st", "g.st") / bucket) == F.col("p._b")
-    pairs = p.join(g, on & first).select("p.video_id", "p.class_name", "p.pred_id", "g.gt_id", iou(F.col("p.st"), F.col("p.en"), F.col("g.st"), F.col("g.en")).alias("iou"))
+    pairs = p.join(g, on & first).select("p.video_id", "p.class_name", "p.pred_id", "g.gt_id", iou(F.col("p.st"), F.col("p.en"), F.col("g.st"), F.col("g.en")).alias("iou"), F.least("p.st", "g.st").alias("lo"), F.greatest("p.en", "g.en").alias("hi"))
     return pairs.filter(F.col("iou") >= thr)
 
 
 def greedy_match(pairs: DataFrame, part: list[str] | None = None) -> DataFrame:
     """Take pairs by falling IoU (then pred_id, gt_id) while neither side is taken; rows video_id, class_name, pred_id, gt_id, iou.
 
-    Equal class splits the pairs, so groups are a class of a video: a fold over its sorted pairs, without a UDF.
+    Equal class splits the pairs, and so do gaps: pairs that share an interval overlap, so those on both sides of a time that no
+    pair's hull (lo, hi) covers can't compete. Each such island of a class of a video is a fold over its sorted pairs, without a UDF.
     """
     part = part or ["video_id", "class_name"]
+    if {"lo", "hi"} <= set(pairs.columns):
+        w = Window.partitionBy(*part).orderBy("lo", "hi")
+        pairs = pairs.withColumn("_new", (F.col("lo") > F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"))
+        pairs = pairs.withColumn("_island", F.coalesce(F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    else:
+        pairs = pairs.withColumn("_island", F.lit(0))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("neg"), "pred_id", "gt_id")))
     empty = F.filter(F.col("pairs"), lambda x: F.lit(False))
     free = lambda acc, x: ~F.exists(acc, lambda y: (y.pred_id == x.pred_id) | (y.gt_id == x.gt_id))
     folded = F.aggregate("pairs", empty, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    taken = pairs.groupBy(*part).agg(ordered.alias("pairs")).select(*part, F.explode(folded).alias("x"))
+    taken = pairs.groupBy(*part, "_island").agg(ordered.alias("pairs")).select(*part, F.explode(folded).alias("x"))
     return taken.select(*part, "x.pred_id", "x.gt_id", (-F.col("x.neg")).alias("iou"))
 
 

@@ -13,6 +13,8 @@ from spanloom.functions.intervals import half_even
 from spanloom.functions.vectors import dot, norm
 
 PART = ["video_id"]
+#: Values that cut an ordered table into ranges.
+RANGES = 200
 
 
 def _over(part: list[str], *order: str | Column):
@@ -159,12 +161,12 @@ def bridge_frames(spans: DataFrame, frames: DataFrame, gap: float, part: list[st
     return runs.groupBy(*by, "_run").agg(F.min("st").alias("st"), F.max_by("en", F.struct("st", "en")).alias("en")).drop("_run")
 
 
-def bridge_seconds(events: DataFrame, gap: float, part: list[str] = PART) -> DataFrame:
+def bridge_seconds(events: DataFrame, gap: float | Column, part: list[str] = PART) -> DataFrame:
     """Merge each event (start_s, end_s, cls, score) with the one before it, of whatever class, if the classes are equal and the gap is at most gap."""
-    w = _over(part, "start_s", "end_s")
+    w = _over(part, "start_s", "end_s", "cls")
     new = ~((F.col("cls") == F.lag("cls").over(w)) & (F.col("start_s") - F.lag("end_s").over(w) <= gap))
-    runs = islands(events, new, part, ["start_s", "end_s"], "_run")
-    return runs.groupBy(*part, "_run").agg(F.min_by("cls", "start_s").alias("cls"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.max("score").alias("score")).drop("_run")
+    runs = islands(events, new, part, ["start_s", "end_s", "cls"], "_run")
+    return runs.groupBy(*part, "_run").agg(F.min("cls").alias("cls"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.max("score").alias("score")).drop("_run")
 
 
 def run_length(frames: DataFrame, active: Column, label: str, value: str, part: list[str] = PART, i: str = "i") -> DataFrame:
@@ -188,25 +190,33 @@ def boundary_kernel(frames: DataFrame, mark: str = "edge", part: list[str] = PAR
     return frames.withColumn("boundary", side(F.lag(mark)) + F.col(mark) + side(F.lead(mark)))
 
 
-def duration_prior(spans: DataFrame, priors: DataFrame, step: str = "step", n: str = "n") -> DataFrame:
+def duration_prior(spans: DataFrame, priors: DataFrame, step: str = "step", n: str = "n", centred: bool = False) -> DataFrame:
     """Spans (st, en, cls) shorter than their class's p10 seconds are centred anew with p50; others stay.
 
-    priors: cls, p10, p50. step: seconds a frame. Spans without a prior stay.
+    priors: cls, p10, p50. step: seconds a frame. Spans without a prior stay. centred: the curve decoder's variant, which tells a
+    span's seconds by a column `length`, and goes half of p50, in whole frames, to either side of the middle frame and one more.
     """
     found = spans.join(priors.select("cls", "p10", "p50"), "cls", "left")
     frames = F.greatest(F.lit(1), half_even(F.col("p50") / F.col(step)))
     centre = (F.col("st") + F.col("en")) / 2.0
     short = F.coalesce((F.col("en") - F.col("st")) * F.col(step) < F.col("p10"), F.lit(False))
     start, end = F.greatest(F.lit(0), F.floor(centre - frames / 2.0)), F.least(F.col(n), F.ceil(centre + frames / 2.0))
+    if centred:
+        half, centre = F.greatest(F.lit(1), half_even(F.col("p50") / F.col(step) / 2.0)), (F.col("st") + F.col("en") - 1) / 2.0
+        short = F.coalesce(F.col("length") < F.col("p10"), F.lit(False))
+        start, end = F.greatest(F.lit(0), F.floor(centre - half)), F.least(F.col(n), F.ceil(centre + half + 1))
     return found.withColumns({"_s": F.when(short, start).otherwise(F.col("st")).cast("bigint"), "_e": F.when(short, end).otherwise(F.col("en")).cast("bigint")}).withColumns({"st": F.col("_s"), "en": F.col("_e")}).drop("_s", "_e", "p10", "p50")
 
 
 def running_offsets(clips: DataFrame, length: str = "n", order: str = "video_id") -> DataFrame:
     """Adds offset: the frames of all clips before, in order, as a contiguous store would lay them out.
 
-    Lengths are summed for each range of clips first, so only one row a range meets in one task.
+    Lengths are summed for each range of clips first, so only one row a range meets in one task. Ranges lie between RANGES values of
+    `order`, of any type: those of least hash, so a fair sample that is the same at each run.
     """
-    ranges = clips.withColumn("_range", F.floor(F.col(order) / 1024))
+    bounds = sorted(r[0] for r in clips.select(order).filter(F.col(order).isNotNull()).distinct().orderBy(F.xxhash64(order)).limit(RANGES).collect())
+    below = F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order)) if bounds else F.array()
+    ranges = clips.withColumn("_range", F.size(below))
     sums = ranges.groupBy("_range").agg(F.sum(length).alias("_sum"))
     before = sums.withColumn("_before", F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).drop("_sum")
     w = _rows(Window.partitionBy("_range").orderBy(order), Window.unboundedPreceding, 0)

@@ -5,7 +5,7 @@ Matching doesn't depend on the weights, so its components are worked out once a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.intervals import iou
@@ -73,14 +73,16 @@ def transfer_gate(components: DataFrame) -> DataFrame:
 
 
 def threshold_sweep(videos: DataFrame, pred: DataFrame, gt: DataFrame, thresholds: list[float]) -> DataFrame:
-    """min_score, level, mean_f1: the score of each level if predictions below a threshold were left out of what was matched.
+    """min_score, level, mean_f1: the score of each level if predictions below a threshold were left out.
 
-    Predictions are matched once; thresholds only count differently.
+    Each threshold matches anew what it leaves: a prediction that goes may free its interval for another. The pairs are worked out
+    once, and the threshold is one more key of the groups that are matched.
     """
     params = F.explode(F.array(*map(F.lit, thresholds))).alias("min_score")
-    matched = M.greedy_match(M.candidates(pred, gt)).select("video_id", "pred_id", F.lit(True).alias("hit"))
-    scored = pred.select("video_id", "pred_id", "score").join(matched, ["video_id", "pred_id"], "left")
-    counts = scored.select("video_id", "score", "hit", params).filter("score >= min_score").groupBy("video_id", "min_score").agg(F.count("*").alias("n_pred"), F.count("hit").alias("matched"))
+    passing = pred.select("video_id", "pred_id", "score", params).filter("score >= min_score").drop("score")
+    pairs = M.candidates(pred, gt).join(passing, ["video_id", "pred_id"])
+    hits = M.greedy_match(pairs, ["min_score", "video_id", "class_name"]).groupBy("video_id", "min_score").agg(F.count("*").alias("matched"))
+    counts = passing.groupBy("video_id", "min_score").agg(F.count("*").alias("n_pred")).join(hits, ["video_id", "min_score"], "left")
     n_gt = gt.groupBy("video_id").agg(F.count("*").alias("n_gt"))
     rows = videos.select("video_id", "level", params).join(n_gt, "video_id", "left").join(counts, ["video_id", "min_score"], "left").na.fill(0, ["n_gt", "n_pred", "matched"])
     f1 = F.when(F.col("n_gt") == 0, (F.col("n_pred") == 0).cast("double")).otherwise(2.0 * F.col("matched") / (F.col("n_pred") + F.col("n_gt")))
@@ -103,3 +105,26 @@ def snap_ablation(spans: DataFrame, points: DataFrame, within: int, start: Colum
     """snap, mean_iou with the true interval [start, end), with and without snapping."""
     both = spans.withColumn("snap", F.lit(False)).unionByName(S.snap(spans, points, within, ["video_id"]).withColumn("snap", F.lit(True)))
     return both.groupBy("snap").agg(F.avg(iou(F.col("st").cast("double"), F.col("en").cast("double"), start, end)).alias("mean_iou"))
+
+
+def trial_totals(events: DataFrame, videos: DataFrame, gt: DataFrame, n_trials: int, d1: float = 0.0) -> DataFrame:
+    """trial, min_total, median_total: over all weightings, for the events of each of n_trials trials, best first by both, then by number.
+
+    events: trial, video_id, pred_id, class_name, st, en; videos: video_id, level, is_anomaly; gt: video_id, gt_id, class_name, st, en. A trial and video are one key of the matching.
+    """
+    trial = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_trials - 1).cast("bigint"))).alias("trial")
+    key = lambda df: df.withColumn("video_id", F.struct("trial", "video_id"))
+    components = M.video_components(key(videos.select("*", trial)), key(events), key(gt.select("*", trial)))
+    w = F.broadcast(weights(events.sparkSession))
+    each = components.join(w, "level").groupBy(F.col("video_id.trial").alias("trial"), "level", "w_id").agg(F.avg(M.video_score(F.col("w_alert"), F.col("w_match"), F.col("w_time"))).alias("score"))
+    scores = each.groupBy("trial").agg(F.map_from_entries(F.collect_list(F.struct((10 * F.col("level") + F.col("w_id")).alias("k"), "score"))).alias("scores"))
+    pairs = F.array(*(F.struct(F.lit(20 + a).cast("bigint").alias("k2"), F.lit(30 + b).cast("bigint").alias("k3")) for a in range(len(GRID[2])) for b in range(len(GRID[3]))))
+    of = lambda k, level: F.coalesce(F.try_element_at("scores", F.col(k)), F.lit(0.0)) * POINTS[level]
+    totals = scores.select("trial", "scores", F.inline(pairs)).withColumn("total", F.lit(d1) + of("k2", 2) + of("k3", 3))
+    return totals.groupBy("trial").agg(F.min("total").alias("min_total"), F.median("total").alias("median_total"))
+
+
+def best_trials(totals: DataFrame, k: int = 10) -> DataFrame:
+    """The k best trials with their place: by min_total, median_total, then number."""
+    found = totals.orderBy(F.col("min_total").desc(), F.col("median_total").desc(), "trial").limit(k)
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.col("min_total").desc(), F.col("median_total").desc(), "trial")).cast("bigint"))

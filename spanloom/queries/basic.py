@@ -224,9 +224,9 @@ def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.duplicates(table(spark, sf_dir, "documents"), ["text"], first="doc_id").withColumnRenamed("first", "first_id")
 
 
-@query("select video_id, d::bigint as d, round(sum(w * emb[d + 1]) / sum(w), 6) as v from (select video_id, emb, exp(emb[1] - max(emb[1]) over (partition by video_id)) as w, unnest(range(0, 8)) as d from v_frames) group by 1, 2")
+@query("select video_id, d::bigint as d, round(sum(w * emb[d + 1]) / sum(w), 6) as v from (select video_id, emb, exp(emb[1] - max(emb[1]) over (partition by video_id)) as w, unnest(range(0, len(emb))) as d from v_frames) group by 1, 2")
 def attention_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = V.frames(spark, sf_dir).withColumn("a", F.col("emb")[0]).withColumn("emb", F.slice("emb", 1, 8))
+    frames = V.frames(spark, sf_dir).withColumn("a", F.col("emb")[0])
     return A.attention_pool(frames, "a", "emb", ["video_id"]).select("video_id", big("d").alias("d"), r6("v").alias("v"))
 
 

@@ -75,6 +75,6 @@ def duck(sql: str) -> str:
             visit(view)
     if not order:
         return sql
-    recursive = "recursive " if "v_fold" in order else ""
-    own = sql.removeprefix("with ")
+    recursive = "recursive " if "v_fold" in order or sql.startswith("with recursive ") else ""
+    own = sql.removeprefix("with ").removeprefix("recursive ")
     return f"with {recursive}" + ",\n".join(f"{v} as ({VIEWS[v]})" for v in order) + (f",\n{own}" if own != sql else f"\n{sql}")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators import matching as M
+from spanloom.plans import decode as D
 from spanloom.plans import sweep as W
 from spanloom.sources import views as V
 
@@ -81,8 +82,22 @@ def transfer_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.transfer_gate(_components(spark, sf_dir)).select(*(r6(c).alias(c) for c in ("precision", "recall", "alarm_rate")), "emitted", "normal_videos")
 
 
-_SWEEP = "select video_id, level, n_gt, s / 10.0::double as min_score, count(*) filter (where p.score >= s / 10.0::double) as n_pred, count(*) filter (where p.score >= s / 10.0::double and m.gt_id is not null) as matched from (select unnest([2, 5, 8]) as s) cross join v_comp c left join v_pred p using (video_id) left join v_match m using (video_id, pred_id) group by all"
-_SWEPT = f"select min_score, level, round(avg(case when n_gt = 0 then (n_pred = 0)::int::double when n_pred + n_gt = 0 then 0 else 2.0::double * matched / (n_pred + n_gt) end), 6) as mean_f1 from ({_SWEEP}) group by 1, 2"
+_SWEEP = """with recursive ranked as (
+  select s, c.*, row_number() over (partition by s, c.video_id, c.class_name order by iou desc, c.pred_id, gt_id) as rn from (select unnest([0.2::double, 0.5::double, 0.8::double]) as s) t cross join v_cand c join v_pred p using (video_id, pred_id) where p.score >= s),
+fold as (
+  select s, video_id, class_name, pred_id, gt_id, rn, true as taken, [pred_id] as ps, [gt_id] as gs from ranked where rn = 1
+  union all
+  select c.s, c.video_id, c.class_name, c.pred_id, c.gt_id, c.rn, not list_contains(f.ps, c.pred_id) and not list_contains(f.gs, c.gt_id),
+    case when not list_contains(f.ps, c.pred_id) and not list_contains(f.gs, c.gt_id) then list_append(f.ps, c.pred_id) else f.ps end,
+    case when not list_contains(f.ps, c.pred_id) and not list_contains(f.gs, c.gt_id) then list_append(f.gs, c.gt_id) else f.gs end
+  from fold f join ranked c on c.s = f.s and c.video_id = f.video_id and c.class_name = f.class_name and c.rn = f.rn + 1),
+counts as (
+  select s as min_score, v.video_id, v.level, (select count(*) from v_gt g where g.video_id = v.video_id) as n_gt, (select count(*) from v_pred p where p.video_id = v.video_id and p.score >= s) as n_pred,
+    (select count(*) from fold f where f.s = t.s and f.video_id = v.video_id and f.taken) as matched
+  from (select unnest([0.2::double, 0.5::double, 0.8::double]) as s) t cross join v_video v),
+swept as (select min_score, level, round(avg(case when n_gt = 0 then (n_pred = 0)::int::double else 2.0::double * matched / (n_pred + n_gt) end), 6) as mean_f1 from counts group by 1, 2)
+"""
+_SWEPT = f"{_SWEEP}select * from swept"
 
 
 @query(_SWEPT)
@@ -90,7 +105,7 @@ def sweep_grid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.threshold_sweep(V.videos(spark, sf_dir), V.predictions(spark, sf_dir), V.ground_truth(spark, sf_dir), [0.2, 0.5, 0.8]).withColumn("mean_f1", r6("mean_f1"))
 
 
-@query(f"select level, arg_min(min_score, k) as min_score, max(mean_f1) as mean_f1 from (select *, row_number() over (partition by level order by mean_f1 desc, min_score) as k from ({_SWEPT})) group by 1")
+@query(f"{_SWEEP}select level, arg_min(min_score, k) as min_score, max(mean_f1) as mean_f1 from (select *, row_number() over (partition by level order by mean_f1 desc, min_score) as k from swept) group by 1")
 def sweep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.best_trial(sweep_grid_scores(spark, sf_dir), ["level"], "mean_f1", "min_score")
 
@@ -113,3 +128,31 @@ def checkpoint_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.select_checkpoint(trials, 0.25, 40)
 
 
+
+
+#: The sweep's trials: every combination.
+TRIALS = [
+    {"width": width, "stride": 2, "threshold": threshold, "expand": expand, "snap": snap, "most_events": most, "gap": gap}
+    for width in (6, 10) for threshold in (0.15, 0.2) for expand in (1.0, 1.25) for snap in (False, True) for most in (1, 3) for gap in (0.0, 1.0)
+]
+
+
+def _trial_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events of all trials, videos and their true intervals, over the embeddings' videos."""
+    from .sequences import _changepoints, _spans
+
+    found = D.trial_events(V.frames(spark, sf_dir), V.head(spark, sf_dir), TRIALS, normal=9, least=2, scale=60.0, points=_changepoints(spark, sf_dir), most_span=0.6)
+    events = found.select("trial", "video_id", F.col("k").alias("pred_id"), F.col("cls").cast("string").alias("class_name"), F.col("start_s").alias("st"), F.col("end_s").alias("en"), "score")
+    v = F.col("video_id")
+    spans = _spans(spark, sf_dir)
+    videos = spans.select("video_id", (2 + v % 2).alias("level"), (v % 6 != 0).alias("is_anomaly"))
+    gt = spans.filter("video_id % 6 <> 0").select("video_id", v.alias("gt_id"), (v % 9).cast("string").alias("class_name"), (F.col("st") / 2.0).alias("st"), (F.col("en") / 2.0).alias("en"))
+    return events, videos, gt
+
+
+@query()
+def sweep_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all decoder settings by least and median total over the weightings; tests hold it against one trial at a time."""
+    events, videos, gt = _trial_tables(spark, sf_dir)
+    best = W.best_trials(W.trial_totals(events, videos, gt, len(TRIALS)))
+    return best.select("place", "trial", r6("min_total").alias("min_total"), r6("median_total").alias("median_total"))

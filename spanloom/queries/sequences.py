@@ -186,15 +186,15 @@ def decode_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LOGIT = "select f.video_id, f.i, h.class_idx, 60 * list_dot_product(f.emb, h.w) as x from v_frames f cross join v_head h"
 _WPROB = f"""select video_id, st, en, class_idx, exp(x - max(x) over w) / sum(exp(x - m)) over w as p from (select *, max(x) over (partition by video_id, st) as m from (
-  select w.video_id, w.st, w.st + 6 as en, l.class_idx, avg(l.x) as x from (select video_id, unnest(range(0, 45, 2)) as st from (select distinct video_id from v_frames)) w join ({_LOGIT}) l on l.video_id = w.video_id and l.i >= w.st and l.i < w.st + 6 group by all)) window w as (partition by video_id, st)"""
+  select w.video_id, w.st, least(w.n, w.st + 6) as en, l.class_idx, avg(l.x) as x from (select video_id, n, unnest(list_distinct(list_concat(range(0, greatest(0, n - 6) + 1, 2), [greatest(0, n - 6)]))) as st from (select video_id, count(*) as n from v_frames group by 1)) w join ({_LOGIT}) l on l.video_id = w.video_id and l.i >= w.st and l.i < w.st + 6 group by all)) window w as (partition by video_id, st)"""
 _WCLS = f"select video_id, st, en, cls, p as score from (select *, class_idx::bigint as cls, row_number() over (partition by video_id, st order by p desc, class_idx) as k, max(case when class_idx = 9 then p end) over (partition by video_id, st) as normal from ({_WPROB}) where true) where k = 1 and cls <> 9 and p >= 0.2 and p > normal"
 
 
 def _window_sql(same: str) -> str:
-    return f"""select video_id, cls, st, en, round(score, 6) as score from (select video_id, cls, score, greatest(0, floor((s + e) / 2.0::double - greatest(1.0::double, (e - s) * 1.25::double / 2)))::bigint as st, least(50, ceil((s + e) / 2.0::double + greatest(1.0::double, (e - s) * 1.25::double / 2)))::bigint as en from (
+    return f"""select video_id, cls, st, en, round(score, 6) as score from (select video_id, cls, score, greatest(0, floor((s + e) / 2.0::double - greatest(1.0::double, (e - s) * 1.25::double / 2)))::bigint as st, least((select count(*) from v_frames f where f.video_id = z.video_id), ceil((s + e) / 2.0::double + greatest(1.0::double, (e - s) * 1.25::double / 2)))::bigint as en from (
     select video_id, cls, score, case when e - s < 2 then round_even((s + e) / 2.0::double - 1, 0)::bigint else s end as s, case when e - s < 2 then round_even((s + e) / 2.0::double + 1, 0)::bigint else e end as e from (
     select video_id, grp, arg_min(cls, st) as cls, max(score) as score, round_even(min(st) + 3.0::double, 0)::bigint as s, round_even(max(en) - 3.0::double, 0)::bigint as e from (select *, sum(nw) over (partition by video_id order by st) as grp from (
-    select *, case when st <= lag(en) over w + 2 {same} then 0 else 1 end as nw from ({_WCLS}) window w as (partition by video_id order by st))) group by video_id, grp)))"""
+    select *, case when st <= lag(en) over w + 2 {same} then 0 else 1 end as nw from ({_WCLS}) window w as (partition by video_id order by st))) group by video_id, grp)) z)"""
 
 
 def _decoded(spark: SparkSession, sf_dir: str, reclassify: bool) -> DataFrame:
@@ -259,3 +259,64 @@ def sweep_decode_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def positional_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = S.positional_encoding(V.frames(spark, sf_dir).select("video_id", "i"), 8)
     return found.select("video_id", "i", F.posexplode("position").alias("k", "x")).select("video_id", "i", big("k").alias("k"), (r6("x") + 0.0).alias("x"))
+
+
+_SNAP = "select video_id, cls, case when e > b then b else st end as st, case when e > b then e else en end as en, score from (select *, coalesce({near_st}, st) as b, coalesce({near_en}, en) as e from ({spans}) s)"
+_N = "(select count(*) from v_frames f where f.video_id = {0}.video_id)"
+
+
+def _snapped_sql(spans: str) -> str:
+    return _SNAP.format(near_st=_NEAR.format("s.st"), near_en=_NEAR.format("s.en"), spans=spans)
+
+
+def _events_sql(spans: str) -> str:
+    """Seconds, bridging of gaps up to a second, and the three best of each video."""
+    timed = f"select video_id, cls, st * 0.5::double as a, (en - 1) * 0.5::double + 0.5::double as b, score from ({spans}) t"
+    runs = f"select *, sum(nw) over (partition by video_id order by a, b, cls rows between unbounded preceding and current row) as grp from (select *, case when cls = lag(cls) over w and a - lag(b) over w <= 1.0::double then 0 else 1 end as nw from ({timed}) window w as (partition by video_id order by a, b, cls))"
+    return f"select * from (select *, row_number() over (partition by video_id order by score desc, start_s, end_s) as k from (select video_id, arg_min(cls, a) as cls, min(a) as start_s, max(b) as end_s, max(score) as score from ({runs}) group by video_id, grp)) where k <= 3"
+
+
+def _whole(spans: str) -> str:
+    return f"select * from ({spans}) t where en > st and (en - st) / {_N.format('t')} <= 0.6::double"
+
+
+_SPANS_RE = _whole(_snapped_sql(_window_sql("")))
+_MEANS = f"select r.video_id, r.st, r.en, l.class_idx, avg(l.x) as x from (select distinct video_id, st, en from ({_SPANS_RE})) r join ({_LOGIT}) l on l.video_id = r.video_id and l.i >= r.st and l.i < r.en group by all"
+_PROBS = f"select *, exp(x - m) / sum(exp(x - m)) over (partition by video_id, st, en) as p from (select *, max(x) over (partition by video_id, st, en) as m from ({_MEANS}))"
+_OWN = f"select video_id, st, en, arg_max(class_idx, p) filter (where class_idx <> 9)::bigint as cls, round(max(p) filter (where class_idx <> 9), 6) as score, max(p) filter (where class_idx <> 9) > coalesce(max(p) filter (where class_idx = 9), 0) as ok from ({_PROBS}) group by 1, 2, 3"
+
+
+def _window_events(spark: SparkSession, sf_dir: str, reclassify: bool) -> DataFrame:
+    found = P.window_events(
+        V.frames(spark, sf_dir), V.head(spark, sf_dir), normal=9, threshold=0.2, width=6, stride=2, expand=1.25, least=2, scale=60.0, points=_changepoints(spark, sf_dir), reclassify=reclassify, gap=1.0, most_events=3, most_span=0.6
+    )
+    return found.select("video_id", big("cls").alias("cls"), "start_s", "end_s", r6("score").alias("score"), "k")
+
+
+@query(_events_sql(_whole(_snapped_sql(_window_sql("and cls = lag(cls) over w")))))
+def decode_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The production decoder from embeddings to ranked events in seconds."""
+    return _window_events(spark, sf_dir, False)
+
+
+@query(_events_sql(f"select r.video_id, o.cls, r.st, r.en, o.score from ({_SPANS_RE}) r join ({_OWN}) o using (video_id, st, en) where o.ok"))
+def decode_reclassified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the class of each whole interval, and rejection."""
+    return _window_events(spark, sf_dir, True)
+
+
+@query()
+def extract_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curve decoder in full over every class's probability; tests hold it against a loop."""
+    frames, head = V.frames(spark, sf_dir), F.broadcast(V.head(spark, sf_dir))
+    scores = frames.select("video_id", "i", "emb").join(head).select("video_id", "i", big("class_idx").alias("cls"), (60.0 * dot("emb", "w")).alias("x"))
+    mean = scores.groupBy("video_id", "i").agg(F.max("x").alias("m"), F.sum(F.exp("x")).alias("s"))
+    curve = scores.join(mean, ["video_id", "i"]).select("video_id", "i", "cls", (F.exp("x") / F.col("s")).alias("p"))
+    found = P.extract_events(curve, frames, win=5, hi=0.2, lo=0.12, gap=1.0, expand=1.1, least_s=1.0, points=_changepoints(spark, sf_dir))
+    return found.withColumn("score", r6("score"))
+
+
+@query("select 'T' || lpad(video_id::varchar, 6, '0') as video_id, n, (sum(n) over (order by video_id) - n)::bigint as offset from v_n")
+def running_offsets_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets where ids are names."""
+    return S.running_offsets(_clips(spark, sf_dir).withColumn("video_id", F.concat(F.lit("T"), F.lpad(F.col("video_id").cast("string"), 6, "0"))))

@@ -20,7 +20,7 @@ _EV = """select user_id as video_id, 1 + user_id % 3 as level, case when event_i
   case when 1 + user_id % 3 = 1 and event_id % 9 > 0 then null else (event_id % 100 + event_id % 7)::varchar end as end_time_sec,
   case when event_id % 4 = 0 then repeat('x', (event_id % 40)::int) end as explanation from events"""
 _PRED = "select user_id as video_id, event_id as pos, 1 + user_id % 3 as level from (select user_id, event_id, row_number() over (partition by user_id order by event_id) as k from events) where k = 1 or event_id % 97 = 0"
-_MAN = "select c_custkey as video_id from customer where c_custkey % 11 <> 0 and c_custkey < 200"
+_MAN = "select c_custkey as video_id from customer where c_custkey % 11 <> 0"
 _DUR = "select c_custkey as video_id, (60 + c_custkey % 50)::double as dur from customer"
 _RUN = "select event_id as video_id, value as total_time_ms, event_id % 5 as call_count, round(value / greatest(1, event_id % 5), (event_id % 3)::int) as average_time_ms, case when event_id % 31 = 0 then 0 else event_id % 5 end as n_times from events"
 
@@ -42,7 +42,7 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.table(spark, sf_dir, "customer").filter("c_custkey % 11 <> 0 and c_custkey < 200").select(F.col("c_custkey").alias("video_id"))
+    return V.table(spark, sf_dir, "customer").filter("c_custkey % 11 <> 0").select(F.col("c_custkey").alias("video_id"))
 
 
 def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,19 +123,21 @@ def v_warn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.warn(_events(spark, sf_dir), _durations(spark, sf_dir), _predictions(spark, sf_dir))
 
 
+def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce(DataFrame.unionAll, [K.check_events(_events(spark, sf_dir), _CLASSES), *(f(spark, sf_dir) for f in (v_ids, v_runtime, v_duration, v_warn))])
+
+
 _ALL = " union all ".join([_IDS, _CLASS, _TIMES, _EXPL, _RUNTIME, _DURATION, _WARN])
 
 
 @query(f"select field, problem, severity, count(*) as n from ({_ALL}) group by 1, 2, 3")
 def validate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [f(spark, sf_dir) for f in (v_ids, v_class, v_times, v_explanation, v_runtime, v_duration, v_warn)]
-    return reduce(DataFrame.unionAll, rules).groupBy("field", "problem", "severity").agg(F.count("*").alias("n"))
+    return _all(spark, sf_dir).groupBy("field", "problem", "severity").agg(F.count("*").alias("n"))
 
 
 @query(f"select count(*) filter (where severity = 'error') = 0 as passed, count(*) filter (where severity = 'error') as errors, count(*) filter (where severity = 'warn') as warnings from ({_ALL})")
 def validation_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [f(spark, sf_dir) for f in (v_ids, v_class, v_times, v_explanation, v_runtime, v_duration, v_warn)]
-    return K.passed(reduce(DataFrame.unionAll, rules))
+    return K.passed(_all(spark, sf_dir))
 
 
 @query(f"select t.video_id, p.pred_id, round(p.st, 2) as st, round(least(p.en, dur - 0.1::double), 2) as en from (select c_custkey as video_id, 2000000.0::double + c_custkey as dur from customer) t join v_pred p using (video_id) where round(least(p.en, dur - 0.1::double), 2) > round(p.st, 2)")
@@ -144,11 +146,64 @@ def template_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.clamp_events(template, V.predictions(spark, sf_dir)).select("video_id", "pred_id", "st", "en")
 
 
-@query("select video_id, count(*) as n, min(st)::double as first_start from (select user_id as video_id, event_id as st from events where event_id % 7 = 0) group by 1")
+@query("select video_id, count(*) as n, min(st)::double as first_start from (select user_id as video_id, event_id as st from events) group by 1")
 def submission_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events to JSON documents and back."""
-    rows = V.table(spark, sf_dir, "events").filter("event_id % 7 = 0").select(F.col("user_id").cast("string").alias("video_id"), F.col("event_type").alias("class_name"), F.col("event_id").cast("double").alias("start_time_sec"), (F.col("event_id") + 1.0).alias("end_time_sec"), F.col("value").alias("score"), F.lit(None).cast("string").alias("explanation"))
+    rows = V.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("video_id"), F.col("event_type").alias("class_name"), F.col("event_id").cast("double").alias("start_time_sec"), (F.col("event_id") + 1.0).alias("end_time_sec"), F.col("value").alias("score"), F.lit(None).cast("string").alias("explanation"))
     back = B.read_submission(B.to_json(rows).select("prediction"), "prediction")
     return back.groupBy(F.col("video_id").cast("bigint").alias("video_id")).agg(F.count("*").alias("n"), F.min("start_time_sec").alias("first_start"))
 
 
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("video_id"), F.col("event_type").alias("class_name"), F.col("event_id").cast("double").alias("start_time_sec"), (F.col("event_id") + 1.0).alias("end_time_sec"), F.col("value").alias("score"), F.lit(None).cast("string").alias("explanation"))
+
+
+@query("select user_id as video_id, count(*) as n, min(event_id)::double as first_start, round(sum(value), 6) as score from events group by 1")
+def submission_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events to the lines of one JSON document and back."""
+    back = B.read_envelope(B.envelope(_rows(spark, sf_dir)))
+    return back.groupBy(F.col("video_id").cast("bigint").alias("video_id")).agg(F.count("*").alias("n"), F.min("start_time_sec").alias("first_start"), F.round(F.sum("score"), 6).alias("score"))
+
+
+@query("""select event_id as doc, video_id, case when event_id % 4 = 1 and video_id = 'a' then event_id + 2 else event_id + (video_id = 'b')::int end as start from events cross join (select unnest(['a', 'b']) as video_id) where event_id % 4 < 3""")
+def submission_map_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose predictions are a list, a list with a repeat, a map, or the wrong kind, to the prediction that counts for each video."""
+    of = lambda video, n: F.concat(F.lit(f'{{"video_id": "{video}", "events": [{{"class_name": "x", "start_time_sec": '), F.col(n).cast("string"), F.lit("}]}"))
+    rows = V.table(spark, sf_dir, "events").select("event_id", (F.col("event_id") + 1).alias("n1"), (F.col("event_id") + 2).alias("n2"))
+    kind = F.col("event_id") % 4
+    text = F.when(kind == 0, F.concat(F.lit('{"schema_version": "1", "predictions": ['), of("a", "event_id"), F.lit(", "), of("b", "n1"), F.lit("]}")))
+    text = text.when(kind == 1, F.concat(F.lit("["), of("a", "event_id"), F.lit(", 7, "), of("b", "n1"), F.lit(", "), of("a", "n2"), F.lit("]")))
+    text = text.when(kind == 2, F.concat(F.lit('{"predictions": {"a": '), of("q", "event_id"), F.lit(', "b": '), of("q", "n1"), F.lit(', "c": 5}}'))).otherwise('{"predictions": 3}')
+    found = B.read_documents(rows.select(F.col("event_id").alias("doc"), text.alias("value")), ["doc"])
+    return found.select("doc", "video_id", F.get_json_object("prediction", "$.events[0].start_time_sec").cast("bigint").alias("start"))
+
+
+@query("""select c_custkey as video_id, 1 + c_custkey % 3 as level, p.video_id is not null as answered, coalesce(kept, 0)::bigint as n_events, coalesce(clamped, 0)::bigint as n_clamped, coalesce(n - kept, 0)::bigint as n_dropped, ends, case when p.video_id is not null then greatest(1, chunks) end as chunks, ms from customer c left join (
+  select video_id, count(*) as n, count(*) filter (where late and e > l) as clamped, count(*) filter (where not late or least(e, l) > s) as kept, round(sum(case when late and least(e, l) > s then least(e, l) end), 4) as ends, count(*) filter (where class_name = 'none') as chunks, round_even(sum(score), 0)::bigint as ms
+  from (select p.*, 1 + video_id % 3 > 1 as late, round(st, 2) as s, round(en, 2) as e, round(1500000.0::double + video_id - 0.1::double, 2) as l from v_pred p) group by 1) p on p.video_id = c.c_custkey""")
+def template_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every video of a template with its events, times, metadata and counts; those without a prediction too."""
+    v = F.col("c_custkey")
+    template = V.table(spark, sf_dir, "customer").select(v.alias("video_id"), (1 + v % 3).alias("level"), (1500000.0 + v).alias("dur"))
+    event = F.struct("class_name", F.col("st").alias("start_time_sec"), F.col("en").alias("end_time_sec"), F.lit("").alias("explanation"))
+    own = V.predictions(spark, sf_dir).groupBy("video_id").agg(F.array_sort(F.collect_list(event)).alias("events"), F.count("*").alias("frames_processed"), F.count_if(F.col("class_name") == "none").alias("chunks_processed"), F.sum("score").alias("time_ms"))
+    found = B.fill_template(template, own)
+    ends = F.aggregate(F.filter("events", lambda e: e.end_time_sec.isNotNull()), F.lit(None).cast("double"), lambda s, e: F.coalesce(s, F.lit(0.0)) + e.end_time_sec)
+    return found.select(
+        "video_id", "level", F.col("runtime_metadata").isNotNull().alias("answered"), F.size("events").cast("bigint").alias("n_events"), F.col("n_clamped").cast("bigint").alias("n_clamped"), F.col("n_dropped").cast("bigint").alias("n_dropped"), F.round(ends, 4).alias("ends"),
+        F.col("runtime_metadata.chunks_processed").alias("chunks"), F.col("runtime_metadata.end_to_end_internal_time_ms").alias("ms"),
+    )
+
+
+@query("""select 'v' || event_id as video_id, 'events' as field, 'must be a list' as problem, 'error' as severity from events where event_id % 7 = 2
+union all select 'v' || event_id, 'events[0]', 'must be an object', 'error' from events where event_id % 7 = 3
+union all select '<file>', case event_id % 7 when 0 then 'predictions' when 1 then 'predictions' when 4 then 'predictions[1]' else 'file_size' end, case event_id % 7 when 0 then 'missing required top-level field' when 1 then 'must be a list' when 4 then 'must be an object' else 'too many bytes' end, 'error' from events where event_id % 7 in (0, 1, 4, 5)""")
+def v_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with every fault of shape, and size."""
+    kind, name = F.col("event_id") % 7, F.concat(F.lit('"v'), F.col("event_id").cast("string"), F.lit('"'))
+    whole = lambda events: F.concat(F.lit('{"predictions": [{"video_id": '), name, F.lit(f', "events": {events}}}]}}'))
+    text = F.when(kind == 0, '{"schema_version": "1"}').when(kind == 1, '{"predictions": {"a": 1}}').when(kind == 2, whole('"none"')).when(kind == 3, whole('[1, {"class_name": "x"}]'))
+    text = text.when(kind == 4, F.lit('{"predictions": [{"video_id": "x"}, 5]}')).when(kind == 5, F.concat(whole("[]"), F.repeat(F.lit(" "), 100))).otherwise(whole('[{"class_name": "x"}]'))
+    return K.check_shape(V.table(spark, sf_dir, "events").select(text.alias("value")), 120)

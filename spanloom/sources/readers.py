@@ -76,3 +76,30 @@ def append_new(frames: DataFrame, path: str, key: str = "video_id") -> None:
             raise
         known = None
     (frames if known is None else frames.join(known, key, "left_anti")).write.mode("append").parquet(path)
+
+
+def read_checked(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors) of CSV files: what doesn't fit the schema becomes an error row (line, file), and the other rows are read all the same."""
+    rows = spark.read.schema(f"{schema}, _line string").option("header", True).option("columnNameOfCorruptRecord", "_line").csv(path)
+    # Spark checks only the columns that a query uses, so both sides use all.
+    whole = F.to_json(F.struct(*(c for c in rows.columns if c != "_line")))
+    errors = rows.filter("_line is not null").select(F.coalesce("_line", whole).alias("line"), F.col("_metadata.file_path").alias("file"))
+    return rows.filter(F.col("_line").isNull() & whole.isNotNull()).drop("_line"), errors
+
+
+def write_head(head: DataFrame, path: str) -> None:
+    """A linear head's weights (class_idx, w), as a table."""
+    head.select("class_idx", "w").write.mode("overwrite").parquet(path)
+
+
+def read_head(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("class_idx bigint, w array<double>").parquet(path)
+
+
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """Metrics (a row an epoch or trial) as JSON lines."""
+    metrics.write.mode("overwrite").json(path)
+
+
+def read_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
