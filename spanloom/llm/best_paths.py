@@ -9,7 +9,8 @@ A state at a cut is the number of characters by which the piece that lies over i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -90,6 +91,33 @@ def states(matrices: list[np.ndarray], start: int, end: int) -> list[int]:
     return out[::-1]
 
 
+def cut_states(matrices: DataFrame, product: Callable[[list], np.ndarray], between: Callable[[list, int, int], list[int]]) -> DataFrame:
+    """key, at, s and e: the states before and after each chunk on the best path, from state 0 to state 0, of each key's text.
+
+    matrices: key, block, at and m, a chunk's transfer matrix as an array; product multiplies matrices in order, between gives the states at all cuts of some,
+    the outer ones included. Blocks are multiplied apart from each other; then each text's products give the states
+    between its blocks, and from there each block is settled by itself.
+    """
+    kind = matrices.schema["m"].dataType.simpleString()
+
+    def combine(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"key": f["key"].iloc[:1], "block": f["block"].iloc[:1], "m": [product(list(f.sort_values("at")["m"]))]})
+
+    def outer(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("block")
+        found = between(list(f["m"]), 0, 0)
+        return pd.DataFrame({"key": f["key"], "block": f["block"], "s": found[:-1], "e": found[1:]})
+
+    def inner(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("at")
+        found = between(list(f["m"]), int(f["s"].iloc[0]), int(f["e"].iloc[0]))
+        return pd.DataFrame({"key": f["key"], "at": f["at"], "s": found[:-1], "e": found[1:]})
+
+    products = matrices.groupBy("key", "block").applyInPandas(combine, f"key bigint, block bigint, m {kind}")
+    blocks = products.groupBy("key").applyInPandas(outer, "key bigint, block bigint, s int, e int")
+    return matrices.join(blocks, ["key", "block"]).groupBy("key", "block").applyInPandas(inner, "key bigint, at bigint, s int, e int")
+
+
 def best_paths(docs: DataFrame, pieces: dict[str, tuple[int, float]], unknown: int = 0, chunk: int = CHUNK, block: int = BLOCK, text_col: str = "text") -> DataFrame:
     """The best-scoring segmentation of every text as it stands (put in marks for spaces before).
 
@@ -117,27 +145,7 @@ def best_paths(docs: DataFrame, pieces: dict[str, tuple[int, float]], unknown: i
 
     matrices = stored(parts.mapInPandas(measure, "key bigint, block bigint, at bigint, m array<double>"), "matrices")
     square = lambda column: [np.array(m).reshape(width, width) for m in column]
-
-    def combine(f: pd.DataFrame) -> pd.DataFrame:
-        own = square(f.sort_values("at")["m"])
-        product = own[0]
-        for m in own[1:]:
-            product = times(product, m)
-        return pd.DataFrame({"key": f["key"].iloc[:1], "block": f["block"].iloc[:1], "m": [product.ravel()]})
-
-    def between(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("block")
-        found = states(square(f["m"]), 0, 0)
-        return pd.DataFrame({"key": f["key"], "block": f["block"], "s": found[:-1], "e": found[1:]})
-
-    def within(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("at")
-        found = states(square(f["m"]), int(f["s"].iloc[0]), int(f["e"].iloc[0]))
-        return pd.DataFrame({"key": f["key"], "at": f["at"], "s": found[:-1], "e": found[1:]})
-
-    products = matrices.groupBy("key", "block").applyInPandas(combine, "key bigint, block bigint, m array<double>")
-    outer = products.groupBy("key").applyInPandas(between, "key bigint, block bigint, s int, e int")
-    inner = matrices.join(outer, ["key", "block"]).groupBy("key", "block").applyInPandas(within, "key bigint, at bigint, s int, e int")
+    inner = cut_states(matrices, lambda ms: reduce(times, square(ms)).ravel(), lambda ms, start, end: states(square(ms), start, end))
 
     def trace(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
