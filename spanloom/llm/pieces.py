@@ -20,7 +20,7 @@ from .merge_scan import Merges, between, product
 #: The mark that stands for a space. A piece has it only at its start, so pieces never join what stands on both sides of one.
 MARK = "▁"
 #: Texts of more characters are cut into chunks of so many, each a row of its own; chunks whose matrices are combined in one task.
-CHUNK, BLOCK = 1 << 15, 64
+CHUNK, BLOCK = 1 << 16, 64
 #: Entries that a task's memory of units may hold before it starts afresh.
 CACHE_UNITS = 150_000
 
