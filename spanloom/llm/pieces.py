@@ -135,9 +135,11 @@ def encode(docs: DataFrame, model_file: str, chunk: int = CHUNK, id_col: str = "
     own = rows.filter(~giant).mapInArrow(run, T.StructType([rows.schema["row"], ids])).withColumn("chunks", F.lit(1))
     giants = stored(rows.filter(giant).withColumn("key", F.monotonically_increasing_id()), "giants")
     cuts = giants.select("key", F.col(f"row.{text_col}").cast("string").alias("text")).mapInArrow(cut, "key bigint, at bigint, part string, start int, size int")
-    parts = stored(cuts.repartition("key", "at"), "parts")
+    # Few bytes but much work: dealt to a stated number of tasks, which adaptive execution doesn't put together.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = stored(cuts.repartition(tasks, "key", "at"), "parts")
     matrices = stored(parts.mapInPandas(measure, "key bigint, block bigint, at bigint, m array<bigint>"), "matrices")
-    traced = parts.join(cut_states(matrices, product, between), ["key", "at"]).mapInPandas(trace, "key bigint, at bigint, ids array<int>")
+    traced = parts.join(cut_states(matrices, product, between), ["key", "at"]).repartition(tasks, "key", "at").mapInPandas(trace, "key bigint, at bigint, ids array<int>")
     together = traced.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("parts"))
     put = giants.join(together, "key").select("row", F.flatten("parts.ids").alias("ids"), F.size("parts").alias("chunks"))
     return own.unionAll(put)
