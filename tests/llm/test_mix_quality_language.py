@@ -184,3 +184,43 @@ def test_long_texts_are_read_whole(spark):
         assert sum(len(b) for b, _ in language_id._grams([text])) == whole
     finally:
         language_id.CHUNK = old
+
+
+def test_language_against_counts_by_hand(spark):
+    """Whole predictions and scores by dictionaries of n-grams."""
+    import math
+    import random
+    from collections import Counter
+
+    from spanloom.llm.language_id import BUCKETS, LENGTHS, predict, train
+
+    def buckets(text):
+        text = " " + " ".join(text.lower().split()) + " "
+        for n in LENGTHS:
+            for i in range(len(text) - n + 1):
+                value = 0
+                for k, c in enumerate(text[i : i + n]):
+                    value = (value * 0x9E3779B97F4A7C15 + ord(c) + k + 1) % (1 << 64)
+                yield (value * 0xBF58476D1CE4E5B9 % (1 << 64)) >> 49
+
+    rng = random.Random(61)
+    some = {"en": "the of and to that", "fr": "le la é que un", "de": "der die das ü ist"}
+    rows = [(k, " ".join(rng.choice(some[lang].split() + ["x1", "Ab"]) for _ in range(rng.randrange(0, 12))), lang) for k, lang in enumerate(rng.choices(list(some), k=60))]
+    rows += [(100, None, "en"), (101, "12 34", "de"), (102, "mixed the le der", None)]
+    counts, n = {x: Counter() for x in some}, Counter()
+    for _, text, lang in rows:
+        if lang:
+            counts[lang].update(buckets(text or ""))
+            n[lang] += 1
+    want = {}
+    for k, text, _ in rows:
+        if text is None or not any(map(str.isalpha, text)):
+            want[k] = ("und", 0.0)
+            continue
+        logs = {x: math.log(n[x] / sum(n.values())) + sum(math.log((counts[x][b] + 1) / (sum(counts[x].values()) + BUCKETS)) for b in buckets(text)) for x in sorted(some)}
+        best = max(logs, key=logs.get)
+        want[k] = (best, 1 / sum(math.exp(v - logs[best]) for v in logs.values()))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = {r.doc_id: (r.lang_pred, r.score) for r in predict(docs, train(docs)).collect()}
+    assert {k: x for k, (x, _) in found.items()} == {k: x for k, (x, _) in want.items()}
+    assert all(abs(found[k][1] - s) < 1e-9 for k, (_, s) in want.items())
