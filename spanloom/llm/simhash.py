@@ -272,11 +272,13 @@ def exact_links(keyed: DataFrame, nodes: DataFrame, candidates: DataFrame, width
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["node", "root", "sketch", "shingles"])
 
     sets = stored(rows.select("node", "root", "sketch", "text").mapInArrow(cut, "node bigint, root bigint, sketch binary, shingles binary"), "shingles")
-    size = sets.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / MOST_NODES, F.sum(F.length("shingles")) / MOST_BYTES)).cast("int").alias("parts"))
+    size = stored(sets.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / MOST_NODES, F.sum(F.length("shingles")) / MOST_BYTES)).cast("int").alias("parts")), "parts")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = sets.join(size, "root").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = joined(sets, size, ["root"], "inner", 12).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other"), "side": (F.col("part") > F.col("other")).cast("int")})
-    return dealt.groupBy("root", "low", "high").applyInPandas(lambda p: _verified(p[["node", "sketch", "shingles", "side"]], similarity), "u bigint, v bigint")
+    # One key of all three: rows that the join has dealt by root would else count as grouped, and a hot group's parts stay in one task.
+    pair = F.concat_ws("/", "root", "low", "high")
+    return dealt.select(pair.alias("pair"), "node", "sketch", "shingles", "side").groupBy("pair").applyInPandas(lambda p: _verified(p[["node", "sketch", "shingles", "side"]], similarity), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

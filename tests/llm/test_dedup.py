@@ -270,6 +270,21 @@ def test_near_dedup_decides_by_exact_similarity(spark):
     assert sorted(r.doc_id for r in simhash.near_dedup(df).collect()) == want
 
 
+def test_parts_of_a_hot_group_are_dealt_apart(spark, monkeypatch):
+    """A group of more nodes than a part holds: the same links, and every two parts are a key of their own in the shuffle."""
+    monkeypatch.setattr(simhash, "MOST_NODES", 6)
+    rng = random.Random(57)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+    copies = [[*base[:k], f"y{k}", *base[k + 1 :]] for k in range(0, 300, 6)]  # one word changed in each
+    texts = copies + [[f"z{rng.randrange(10**9)}" for _ in range(300)] for _ in range(20)]
+    df = spark.createDataFrame([(k, " ".join(w), "en", "a", 0) for k, w in enumerate(texts)], SCHEMA)
+    dealt = []
+    links = simhash.exact_links
+    monkeypatch.setattr(simhash, "exact_links", lambda *a: dealt.append(links(*a)) or dealt[-1])
+    assert sorted(r.doc_id for r in simhash.near_dedup(df).collect()) == [0, *range(50, 70)]
+    assert "hashpartitioning(pair" in dealt[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def fresh(rng, n):
     return [b"w%d" % rng.randrange(10**9) for _ in range(n)]
 
