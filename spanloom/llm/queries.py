@@ -92,4 +92,35 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_source_mix, op4_suffix_dedup, op5_quality_rules, op6_simhash, op7_sentencepiece, op8_preference_pairs, op9_repeated_passages, op10_language_id)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import damaged, repair_conversations, summaries
+
+    return summaries(repair_conversations(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import looped, periodic_runs
+
+    found = periodic_runs(looped(documents(spark, sf_dir)))
+    line = lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.start.alias("start"), best.length.alias("length"), best.period.alias("period"), F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    found = scan_licenses(documents(spark, sf_dir))
+    starts, labels = F.col("places.start"), lambda c: F.col(f"{c}.label")
+    named = lambda c: F.array_join(F.sort_array(F.array_distinct(c)), ",")
+    share = F.coalesce(F.array_max("blocks.containment"), F.lit(0.0))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        named(labels("places")).alias("base_labels"), named(F.concat(labels("places"), labels("blocks"))).alias("labels"), F.when(F.size("places") > 0, 1.0).otherwise(share).alias("score"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_source_mix, op4_suffix_dedup, op5_quality_rules, op6_simhash, op7_sentencepiece, op8_preference_pairs, op9_repeated_passages, op10_language_id, op11_conversation_repair, op12_periodic_runs, op13_license_scan)}
