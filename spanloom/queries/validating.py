@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import validation as K
 from spanloom.plans import submission as B
+from spanloom.plans.document_check import validate_documents
 from spanloom.sources import views as V
 
 from .basic import query
@@ -124,10 +125,13 @@ def v_warn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reduce(DataFrame.unionAll, [K.check_events(_events(spark, sf_dir), _CLASSES), *(f(spark, sf_dir) for f in (v_ids, v_runtime, v_duration, v_warn))])
+    """All findings; events of a video that isn't in the manifest are looked at no further."""
+    asked = _events(spark, sf_dir).join(_manifest(spark, sf_dir), "video_id", "left_semi")
+    return reduce(DataFrame.unionAll, [K.check_events(asked, _CLASSES), *(f(spark, sf_dir) for f in (v_ids, v_runtime, v_duration, v_warn))])
 
 
-_ALL = " union all ".join([_IDS, _CLASS, _TIMES, _EXPL, _RUNTIME, _DURATION, _WARN])
+_ASKED = " union all ".join([_CLASS, _TIMES, _EXPL])
+_ALL = " union all ".join([_IDS, f"select * from ({_ASKED}) where video_id in ({_MAN})", _RUNTIME, _DURATION, _WARN])
 
 
 @query(f"select field, problem, severity, count(*) as n from ({_ALL}) group by 1, 2, 3")
@@ -140,6 +144,72 @@ def validation_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.passed(_all(spark, sf_dir))
 
 
+#: Bytes that a document of `_documents` may have; a tenth of them have more.
+_MOST_BYTES = 200_000
+_DOC_EVENTS = "select *, user_id as doc, row_number() over (partition by user_id order by event_id) - 1 as pos, event_id % 23 as k, 'v' || event_id as own from events"
+#: Predictions whose events are read: their video is asked for and the events are a list.
+_READ = f"select doc, pos, case when k = 2 then 'v' else own end as video_id, event_id as e, case when k = 2 then 2 else 1 + event_id % 3 end as level, event_type from ({_DOC_EVENTS}) where k not in (0, 1, 3, 4, 5) and doc % 10 < 8"
+
+
+def _told(rows: str, where: str, pos: str, video: str, field: str, problem: str) -> str:
+    return f"select doc, {pos} as pos, {video} as video_id, '{field}' as field, '{problem}' as problem from ({rows}) where {where}"
+
+
+_EVENT = f"select *, e % 13 = 0 as normal, e % 17 = 0 as alien, case when level = 1 and e % 9 > 0 or e % 19 = 0 then null when e % 29 = 0 then 'soon' when e % 31 = 0 then '-1' else (e % 100)::varchar end as st, case when level = 1 and e % 9 > 0 then null else (e % 100 + e % 7)::varchar end as en from ({_READ})"
+_BOTH_AT = "events[0].start_time_sec/end_time_sec"
+_DOC_FINDINGS = " union all ".join([
+    "select distinct user_id as doc, null as pos, '<file>' as video_id, 'predictions' as field, case when user_id % 10 = 9 then 'missing required top-level field' else 'must be a list' end as problem from events where user_id % 10 >= 8",
+    "select distinct user_id, null, '<file>', 'file_size', 'too many bytes' from events where user_id % 10 = 7",
+    _told(_DOC_EVENTS, "doc % 10 < 8 and k = 0", "pos", "'<prediction ' || pos || '>'", "prediction", "must be an object"),
+    _told(_DOC_EVENTS, "doc % 10 < 8 and k = 1", "pos", "'<prediction ' || pos || '>'", "video_id", "missing required field"),
+    _told(f"select *, row_number() over (partition by doc order by pos) as nth from ({_DOC_EVENTS}) where k = 2", "doc % 10 < 8 and nth > 1", "pos", "'v'", "video_id", "duplicate video_id"),
+    _told(_DOC_EVENTS, "doc % 10 < 8 and k = 3", "pos", "'x' || event_id", "video_id", "not in manifest"),
+    _told(_DOC_EVENTS, "doc % 10 < 8 and k = 4", "pos", "own", "events", "missing required field"),
+    _told(_DOC_EVENTS, "doc % 10 < 8 and k = 4", "pos", "own", "runtime_metadata", "missing required field"),
+    _told(_DOC_EVENTS, "doc % 10 < 8 and k = 5", "pos", "own", "events", "must be a list"),
+    _told(_DOC_EVENTS, "doc % 10 < 8 and k in (0, 1, 2, 3)", "null", "own", "video_id", "missing manifest video"),
+    _told(f"select user_id as doc, count(*) filter (where event_id % 23 = 2) as n from events group by 1", "doc % 10 < 8 and n = 0", "null", "'v'", "video_id", "missing manifest video"),
+    _told(_EVENT, "normal", "pos", "video_id", "events[0].class_name", "''normal'' is forbidden; use events: []"),
+    _told(_EVENT, "not normal and (alien or event_type not in ('view', 'click', 'cart', 'purchase'))", "pos", "video_id", "events[0].class_name", "unknown class string"),
+    _told(_EVENT, "level = 1 and (st is not null or en is not null)", "pos", "video_id", _BOTH_AT, "timestamps must both be null for level 1"),
+    _told(_EVENT, "level > 1 and (st is null or en is null)", "pos", "video_id", _BOTH_AT, "timestamps are required for level 2/3"),
+    _told(_EVENT, "level > 1 and st = 'soon'", "pos", "video_id", _BOTH_AT, "must be numeric"),
+    _told(_EVENT, "level > 1 and st = '-1'", "pos", "video_id", "events[0].start_time_sec", "must be >= 0"),
+    _told(_EVENT, "level > 1 and try_cast(en as double) <= try_cast(st as double)", "pos", "video_id", "events[0].end_time_sec", "must be greater than start_time_sec"),
+    _told(_EVENT, "e % 4 = 0 and e % 40 not between 20 and 500", "pos", "video_id", "events[0].explanation", "must be a 20-500 character string"),
+    _told(_EVENT, "e % 6 = 0", "pos", "video_id", "events[1]", "must be an object"),
+    _told(_EVENT, "e % 12 = 1", "pos", "video_id", "runtime_metadata", "must be an object"),
+    _told(_EVENT, "e % 12 = 2 and (e % 5 = 0 or abs(2 - 8.0::double / greatest(1, e % 5)) > 0.04::double)", "pos", "video_id", "runtime_metadata.model_runtimes[0].average_time_ms", "must equal total_time_ms/call_count within 2%"),
+    _told(_EVENT, "e % 12 = 2 and e % 5 <> 2", "pos", "video_id", "runtime_metadata.model_runtimes[0].call_times_ms", "length must equal call_count"),
+])
+
+
+@query(f"select doc, pos::int as pos, video_id, field, problem from ({_DOC_FINDINGS})")
+def validate_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON document for each user with every kind of fault, each event a prediction, against the whole chain of rules with its stops."""
+    e, k = F.col("event_id"), F.col("event_id") % 23
+    own = F.concat(F.lit("v"), e.cast("string"))
+    video = F.when(k == 2, "v").when(k == 3, F.concat(F.lit("x"), e.cast("string"))).otherwise(own)
+    level = F.when(k == 2, 2).otherwise((1 + e % 3).cast("int"))
+    none = (level == 1) & (e % 9 > 0)
+    start = F.when(none | (e % 19 == 0), "null").when(e % 29 == 0, '"soon"').when(e % 31 == 0, "-1").otherwise((e % 100).cast("string"))
+    end = F.when(none, "null").otherwise((e % 100 + e % 7).cast("string"))
+    name = F.when(e % 13 == 0, "normal").when(e % 17 == 0, "alien").otherwise(F.col("event_type"))
+    said = F.when(e % 4 == 0, F.concat(F.lit(', "explanation": "'), F.repeat(F.lit("x"), (e % 40).cast("int")), F.lit('"'))).otherwise("")
+    event = F.concat(F.lit('{"class_name": "'), name, F.lit('", "start_time_sec": '), start, F.lit(', "end_time_sec": '), end, said, F.lit("}"), F.when(e % 6 == 0, ", 7").otherwise(""))
+    events = F.when(k == 4, "").when(k == 5, ', "events": "none"').otherwise(F.concat(F.lit(', "events": ['), event, F.lit("]")))
+    run = F.concat(F.lit('{"model_runtimes": [{"total_time_ms": 8, "average_time_ms": 2, "call_times_ms": [1, 2], "call_count": '), (e % 5).cast("string"), F.lit("}]}"))
+    metadata = F.when(k == 4, "").otherwise(F.concat(F.lit(', "runtime_metadata": '), F.when(e % 12 == 1, "[]").when(e % 12 == 2, run).otherwise("{}")))
+    prediction = F.when(k == 0, "5").when(k == 1, '{"events": []}').otherwise(F.concat(F.lit('{"video_id": "'), video, F.lit('"'), events, metadata, F.lit("}")))
+    rows = V.table(spark, sf_dir, "events")
+    doc = F.col("user_id").alias("doc")
+    listed = rows.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", prediction.alias("p")))), lambda x: x.p), ", ").alias("body"))
+    kind = F.col("doc") % 10
+    text = F.when(kind == 9, '{"schema_version": "1"}').when(kind == 8, '{"predictions": {"a": 1}}').otherwise(F.concat(F.lit('{"predictions": ['), "body", F.lit("]}"), F.when(kind == 7, F.repeat(F.lit(" "), _MOST_BYTES)).otherwise("")))
+    manifest = rows.select(doc, own.alias("video_id"), (1 + e % 3).alias("level")).unionAll(rows.select(doc, F.lit("v"), F.lit(2)).distinct())
+    return validate_documents(listed.select("doc", text.alias("value")), manifest, _CLASSES, ["doc"], _MOST_BYTES)
+
+
 @query(f"select t.video_id, p.pred_id, round(p.st, 2) as st, round(least(p.en, dur - 0.1::double), 2) as en from (select c_custkey as video_id, 2000000.0::double + c_custkey as dur from customer) t join v_pred p using (video_id) where round(least(p.en, dur - 0.1::double), 2) > round(p.st, 2)")
 def template_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     template = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("video_id"), (2000000.0 + F.col("c_custkey")).alias("dur"))
