@@ -2,19 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.sources.scratch import stored
+
 
 def first_by(rows: DataFrame, part: list[str], order: str, cols: dict[str, str]) -> DataFrame:
     """Values of each group's first row in order, renamed."""
     return rows.groupBy(*part).agg(*(F.min_by(c, order).alias(to) for c, to in cols.items()))
 
 
+#: Bits that a round of exact_quantiles tells apart.
+RADIX_BITS = 16
+
+
+def _ordered_bits(v: Column) -> Column:
+    """A double's 64 bits as a bigint in the same order; -0.0 counts as 0.0, NaN comes last."""
+    bits = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.coalesce(v, F.lit(0.0)) + F.lit(0.0)).cast("bigint")
+    return F.when(v.isNull(), None).when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
+
+
+def _from_bits(k: Column) -> Column:
+    bits = F.when(k < 0, k.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(k)
+    return F.call_function("java_method", F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+
+
+def exact_quantiles(rows: DataFrame, part: list[str], value: Column, probs: dict[str, float]) -> DataFrame:
+    """part and the exact quantiles of each group, interpolated between neighbouring values; nulls don't count, a group of nothing else has nulls.
+
+    Distributed selection: values are counted by their first RADIX_BITS order-preserving bits, the counts tell which of these hold the wanted ranks, and only values that begin
+    so are counted by the next bits, until all 64 are known. A group is never gathered or sorted: counts are combined in the tasks, at most
+    2**RADIX_BITS a group and wanted rank.
+    """
+    keyed = stored(rows.select(*part, _ordered_bits(value.cast("double")).alias("_key")), "keys")
+    same = lambda a, b, more=(): reduce(lambda x, y: x & y, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in (*part, *more)))
+    sizes = keyed.groupBy(*part).agg((F.count("_key") - 1).alias("_last"))
+    asked = F.explode(F.array(*(F.struct(F.lit(name).alias("_q"), F.lit(float(p)).alias("_p")) for name, p in probs.items())))
+    ranks = sizes.select(*part, "_last", asked.alias("_x")).select(*part, "_x.*", (F.col("_last") * F.col("_x._p")).alias("_place")).filter("_place >= 0")
+    wanted = ranks.select(*part, "_q", "_place", F.explode(F.array_distinct(F.array(F.floor("_place"), F.ceil("_place")))).alias("_rank"))
+    wanted = wanted.withColumns({"_left": F.col("_rank"), "_prefix": F.lit(0).cast("bigint")})
+    for shift in range(64 - RADIX_BITS, -1, -RADIX_BITS):
+        wanted = stored(wanted, "wanted")
+        own = F.shiftright("_key", shift + RADIX_BITS) if shift + RADIX_BITS < 64 else F.lit(0).cast("bigint")
+        seen = keyed.filter("_key is not null").select(*part, own.alias("_prefix"), F.shiftright("_key", shift).alias("_next")).alias("r")
+        seen = seen.join(wanted.select(*part, "_prefix").distinct().alias("w"), same("r", "w", ("_prefix",)), "left_semi")
+        counts = seen.groupBy(*part, "_prefix", "_next").agg(F.count("*").alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy(*part, "_prefix").orderBy("_next"))
+        counts = counts.withColumn("_upto", upto)
+        inside = (F.col("w._left") < F.col("c._upto")) & (F.col("w._left") >= F.col("c._upto") - F.col("c._n"))
+        found = wanted.alias("w").join(counts.alias("c"), same("w", "c", ("_prefix",)) & inside)
+        wanted = found.select(*(F.col(f"w.{c}") for c in part), "w._q", "w._place", "w._rank", (F.col("w._left") - (F.col("c._upto") - F.col("c._n"))).alias("_left"), F.col("c._next").alias("_prefix"))
+    values = wanted.select(*part, "_q", "_place", "_rank", _from_bits(F.col("_prefix")).alias("_v"))
+    low, high, share = F.min_by("_v", "_rank"), F.max_by("_v", "_rank"), F.max("_place") - F.min("_rank")
+    each = values.groupBy(*part, "_q").agg((low + F.when(share > 0, (high - low) * share).otherwise(0.0)).alias("_v"))
+    wide = each.groupBy(*part).agg(*(F.max(F.when(F.col("_q") == name, F.col("_v"))).alias(name) for name in probs))
+    return sizes.alias("s").join(wide.alias("v"), same("s", "v"), "left").select(*(F.col(f"s.{c}") for c in part), *(F.col(f"v.{name}") for name in probs))
+
+
 def duration_priors(rows: DataFrame, cls: str, dur: str) -> DataFrame:
     """p10, p50 and p90 of each class's durations (at least 0), interpolated."""
-    q = F.percentile(F.greatest(F.lit(0.0), F.col(dur)), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return rows.groupBy(cls).agg(q.alias("q")).select(cls, *(F.col("q")[k].alias(n) for k, n in enumerate(("p10", "p50", "p90"))))
+    return exact_quantiles(rows, [cls], F.greatest(F.lit(0.0), F.col(dur)), {"p10": 0.1, "p50": 0.5, "p90": 0.9})
 
 
 def class_counts(rows: DataFrame, classes: int, col: str = "class_idx") -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.functions.intervals import iou
+from spanloom.sources.scratch import new_path, stored
+
+_log = logging.getLogger(__name__)
 
 
 def candidates(pred: DataFrame, gt: DataFrame, thr: float = 0.5, bucket: float = 43200.0) -> DataFrame:
@@ -23,27 +29,68 @@ def candidates(pred: DataFrame, gt: DataFrame, thr: float = 0.5, bucket: float =
     return pairs.filter(F.col("iou") >= thr)
 
 
+#: Pairs of an island up to which it is matched by a fold in one row.
+FOLDED = 1000
+
+
+def _islands(pairs: DataFrame, part: list[str]) -> DataFrame:
+    """_island: numbers the stretches of time that no pair's hull bridges. Equal class splits pairs, and so do gaps: pairs that share an interval overlap, so
+    those of different islands can't compete."""
+    if not {"lo", "hi"} <= set(pairs.columns):
+        return pairs.withColumn("_island", F.lit(0))
+    w = Window.partitionBy(*part).orderBy("lo", "hi")
+    pairs = pairs.withColumn("_new", (F.col("lo") > F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"))
+    return pairs.withColumn("_island", F.coalesce(F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+
+
 def greedy_match(pairs: DataFrame, part: list[str] | None = None) -> DataFrame:
     """Take pairs by falling IoU (then pred_id, gt_id) while neither side is taken; rows video_id, class_name, pred_id, gt_id, iou.
 
-    Equal class splits the pairs, and so do gaps: pairs that share an interval overlap, so those on both sides of a time that no
-    pair's hull (lo, hi) covers can't compete. Each such island of a class of a video is a fold over its sorted pairs, without a UDF.
+    Islands of few pairs are folded each in a row, without a UDF; those of more than FOLDED pairs are matched in rounds (match_in_rounds), which gives the same. The
+    pairs are written once, so that they needn't be found again to tell.
     """
     part = part or ["video_id", "class_name"]
-    if {"lo", "hi"} <= set(pairs.columns):
-        w = Window.partitionBy(*part).orderBy("lo", "hi")
-        pairs = pairs.withColumn("_new", (F.col("lo") > F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"))
-        pairs = pairs.withColumn("_island", F.coalesce(F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    else:
-        pairs = pairs.withColumn("_island", F.lit(0))
+    rows = _islands(pairs, part).select(*part, "_island", "pred_id", "gt_id", "iou")
+    rows = stored(rows.withColumn("_dense", F.count("*").over(Window.partitionBy(*part, "_island")) > FOLDED), "pairs")
+    taken = _folded(rows.filter("not _dense"), [*part, "_island"])
+    dense = rows.filter("_dense")
+    if not dense.isEmpty():
+        taken = taken.unionByName(match_in_rounds(dense, [*part, "_island"]).drop("round"))
+    return taken.select(*part, "pred_id", "gt_id", "iou")
+
+
+def _folded(pairs: DataFrame, part: list[str]) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("neg"), "pred_id", "gt_id")))
     empty = F.filter(F.col("pairs"), lambda x: F.lit(False))
     free = lambda acc, x: ~F.exists(acc, lambda y: (y.pred_id == x.pred_id) | (y.gt_id == x.gt_id))
     folded = F.aggregate("pairs", empty, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    taken = pairs.groupBy(*part, "_island").agg(ordered.alias("pairs")).select(*part, F.explode(folded).alias("x"))
+    taken = pairs.groupBy(*part).agg(ordered.alias("pairs")).select(*part, F.explode(folded).alias("x"))
     return taken.select(*part, "x.pred_id", "x.gt_id", (-F.col("x.neg")).alias("iou"))
 
 
+def match_in_rounds(pairs: DataFrame, part: list[str]) -> DataFrame:
+    """The greedy matching by rounds of mutually best pairs: part, pred_id, gt_id, iou and round.
+
+    A pair that is the first of both its sides, by falling IoU, then ids, is in the greedy matching whatever else is; it is taken, all pairs of
+    its two sides leave, and so on until none is left. The first of all pairs is always such a pair, so every round takes one at least, usually a fixed share. Firsts are
+    combined in the tasks, so a group may be of any size and an interval may be in any number of pairs. A round is logged and its rest written.
+    """
+    live, path, k = pairs.select(*part, "pred_id", "gt_id", "iou"), new_path(pairs.sparkSession, "matched"), 0
+    order = F.struct((-F.col("iou")).alias("neg"), "pred_id", "gt_id")
+    schema = T.StructType([*live.schema.fields, T.StructField("round", T.IntegerType())])
+    while True:
+        k += 1
+        firsts = [live.groupBy(*part, side).agg(F.min(order).alias("first")).select(*part, "first.*") for side in ("pred_id", "gt_id")]
+        mutual = firsts[0].join(firsts[1], [*part, "neg", "pred_id", "gt_id"]).select(*part, "pred_id", "gt_id", (-F.col("neg")).alias("iou"), F.lit(k).alias("round"))
+        mutual.write.parquet(f"{path}/part-{k}")
+        mutual = pairs.sparkSession.read.schema(schema).parquet(f"{path}/part-{k}")
+        n = mutual.count()
+        if not n:
+            return pairs.sparkSession.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+        live = stored(live.join(mutual.select(*part, "pred_id"), [*part, "pred_id"], "left_anti").join(mutual.select(*part, "gt_id"), [*part, "gt_id"], "left_anti"), "pairs")
+        _log.info("round %d matched %d pairs", k, n)
+
+
 def video_components(videos: DataFrame, pred: DataFrame, gt: DataFrame, thr: float = 0.5) -> DataFrame:
     """For each video n_pred, n_gt, matched, f1, mean_iou: all that any weighting of the score needs."""
     taken = greedy_match(candidates(pred, gt, thr)).groupBy("video_id").agg(F.count("*").alias("matched"), F.sum("iou").alias("iou_sum"))

@@ -31,6 +31,13 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.greedy_match(M.candidates(V.predictions(spark, sf_dir), V.ground_truth(spark, sf_dir))).withColumn("iou", r6("iou"))
 
 
+@query("select video_id, class_name, pred_id, gt_id, round(iou, 6) as iou from v_match")
+def greedy_match_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in rounds of mutually best pairs, as for islands of any density."""
+    pairs = M.candidates(V.predictions(spark, sf_dir), V.ground_truth(spark, sf_dir))
+    return M.match_in_rounds(pairs, ["video_id", "class_name"]).drop("round").withColumn("iou", r6("iou"))
+
+
 @query("select video_id, matched, round(mean_iou, 6) as mean_iou from v_comp")
 def matched_mean_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _components(spark, sf_dir).select("video_id", "matched", r6("mean_iou").alias("mean_iou"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.vectors import dot
 from spanloom.operators import aggregates as A
+from spanloom.operators import long_sequence as L
 from spanloom.operators import sequence as S
 from spanloom.plans import decode as P
 from spanloom.sources import views as V
@@ -61,6 +62,13 @@ def smooth_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.smooth(V.curve(spark, sf_dir), 5).select("video_id", "i", r6("smooth").alias("smooth"))
 
 
+@query("""select video_id, i, round((sum(p) over (partition by video_id order by i rows between 2 preceding and 2 following) + greatest(2 - i, 0) * first_value(p) over w + greatest(i + 2 - (n - 1), 0) * last_value(p) over w) / 5, 6) as smooth
+  from (select *, count(*) over (partition by video_id) as n from v_curve) window w as (partition by video_id order by i rows between unbounded preceding and unbounded following)""")
+def smooth_curve_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in blocks of 7 frames, as for sequences that are longer than a task."""
+    return L.smooth(V.curve(spark, sf_dir), 5, block=7).select("video_id", "i", r6("smooth").alias("smooth"))
+
+
 @query("""select video_id, min(i) as st, max(i) + 1 as en, round(avg(p), 6) as mean_p from (
   select *, sum(case when s is distinct from ps then 1 else 0 end) over (partition by video_id order by i) as run from (
     select *, lag(s) over (partition by video_id order by i) as ps from (
@@ -70,6 +78,29 @@ def hysteresis_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.hysteresis(V.curve(spark, sf_dir), 0.6, 0.35).select("video_id", "st", "en", r6("mean_p").alias("mean_p"))
 
 
+@query("""select video_id, min(i) as st, max(i) + 1 as en, round(avg(p), 6) as mean_p from (
+  select *, sum(case when s is distinct from ps then 1 else 0 end) over (partition by video_id order by i) as run from (
+    select *, lag(s) over (partition by video_id order by i) as ps from (
+      select *, coalesce(last_value(t ignore nulls) over (partition by video_id order by i rows between unbounded preceding and current row), 0) as s from (
+        select *, case when p > 0.6 then 1 when p <= 0.35 then 0 end as t from v_curve)))) where s = 1 group by video_id, run""")
+def hysteresis_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in blocks of 7 frames."""
+    return L.hysteresis(V.curve(spark, sf_dir), 0.6, 0.35, block=7).select("video_id", "st", "en", r6("mean_p").alias("mean_p"))
+
+
+@query("""select min(i) as st, max(i) + 1 as en, round(avg(p), 6) as mean_p from (
+  select *, coalesce(max(case when t = 0 then i end) over (order by i), -1) as closed from (
+    select *, coalesce(last_value(t ignore nulls) over (order by i rows between unbounded preceding and current row), 0) as s from (
+      select *, case when p > 0.6 then 1 when p <= 0.35 then 0 end as t from (
+        select i, (sum(p) over (order by i rows between 2 preceding and 2 following) + greatest(2 - i, 0) * first_value(p) over w + greatest(i + 2 - (n - 1), 0) * last_value(p) over w) / 5 as p
+        from (select event_id as i, value / (value + 35.0::double) as p, count(*) over () as n from events) window w as (order by i rows between unbounded preceding and unbounded following))))) where s = 1 group by closed""")
+def long_sequence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one sequence, smoothed and cut into spans in blocks that any number of tasks share."""
+    curve = V.table(spark, sf_dir, "events").select(F.lit(0).alias("video_id"), F.col("event_id").alias("i"), (F.col("value") / (F.col("value") + 35.0)).alias("p"))
+    smooth = L.smooth(curve, 5, block=1000).select("video_id", "i", F.col("smooth").alias("p"))
+    return L.hysteresis(smooth, 0.6, 0.35, block=1000).select("st", "en", r6("mean_p").alias("mean_p"))
+
+
 @query("select video_id, i, round(d, 6) as d from v_dist")
 def adjacent_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.adjacent_distance(V.frames(spark, sf_dir)).filter("d is not null").select("video_id", "i", r6("d").alias("d"))
@@ -90,6 +121,12 @@ def merge_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir).select("video_id", "st", "en", "cls", r6("score").alias("score"))
 
 
+@query("select video_id, st, en, cls, round(score, 6) as score from v_merged")
+def merge_windows_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in blocks of 7 frames."""
+    return L.merge_windows(_candidates(spark, sf_dir), 2, part=["video_id", "n"], block=7).select("video_id", "st", "en", "cls", r6("score").alias("score"))
+
+
 @query("""select video_id, min(st) as st, max(en) as en, arg_min(cls, st) as cls, round(max(score), 6) as score from (
   select *, sum(nw) over (partition by video_id order by st, en) as grp from (select *, case when st <= lag(en) over w + 2 then 0 else 1 end as nw from v_wcand window w as (partition by video_id order by st, en))) group by video_id, grp""")
 def merge_windows_reclassify(spark: SparkSession, sf_dir: str) -> DataFrame:
