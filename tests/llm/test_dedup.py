@@ -375,3 +375,33 @@ def test_recall_of_changed_passages(spark):
     recall = [sum(1000 * k + 2 * j in found for j in range(60)) / 60 for k in range(len(every))]
     print("recall of passages with every n-th word changed", dict(zip(every, recall, strict=True)))
     assert recall[0] == recall[1] == 1 and recall[2] >= 0.9 and len(found) == sum(round(60 * x) for x in recall)
+
+
+def test_changed_passages_whose_parts_stand_in_other_documents(spark):
+    """Pairs that share a passage with every tenth word changed, each among eight documents that hold 25 words of it in a row."""
+    rng = random.Random(1)
+    fill = lambda n: [f"w{rng.randrange(100_000)}" for _ in range(n)]
+    rows, pairs = [], []
+    for _ in range(40):
+        p = fill(60)
+        changed = [w if (k + 1) % 10 else f"c{rng.randrange(10**6)}" for k, w in enumerate(p)]
+        parts = [p[s : s + 25] for s in (rng.randrange(36) for _ in range(8))]
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [fill(40) + x + fill(40) for x in (p, changed, *parts)]
+    ids = rng.sample(range(len(rows)), len(rows))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in zip(ids, rows, strict=True)], "doc_id bigint, text string").repartition(4)
+    links = {frozenset((r.id, r.partner)) for r in repeated_passages(df).collect()}
+    assert sum({ids[a], ids[b]} in links for a, b in pairs) >= 36
+    of = {i: k for k, i in enumerate(ids)}
+    assert all(len({of[i] // 10 for i in link}) == 1 for link in links)
+
+
+def test_a_passage_grows_beyond_what_was_cut_out(spark, monkeypatch):
+    """Of a long passage only one seed is left that two documents have to themselves: it is aligned to its ends all the same."""
+    rng = random.Random(2)
+    p = [f"w{rng.randrange(100_000)}" for _ in range(700)]
+    other = [w if k % 4 else f"c{k}" for k, w in enumerate(p)]  # no run of five equal words
+    other[340:350] = p[340:350]
+    df = spark.createDataFrame([(1, " ".join(p)), (2, " ".join(["x", *other, "y"]))], "doc_id bigint, text string")
+    (r,) = repeated_passages(df).collect()
+    assert r.partner_start <= 2 and r.partner_end >= 698 and (r.start, r.end) == (r.partner_start + 1, r.partner_end + 1)
