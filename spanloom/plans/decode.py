@@ -107,16 +107,17 @@ def extract_events(
     if points is not None:
         spans = S.snap(spans, points, within, [*by, "st", "en"], part=["video_id"])
     step = frames.groupBy("video_id").agg(F.count("*").alias("n")).join(A.median_step(frames, "ts", ["video_id"], "i", 0.5), "video_id")
-    spans = S.bridge_frames(spans.distinct(), frames, gap).join(step, "video_id")
+    # A span's edges before it is made wider tell it from another that comes to the same edges: both are events.
+    spans = S.bridge_frames(spans.distinct(), frames, gap).withColumn("span", F.struct("st", "en")).join(step, "video_id")
     at = lambda to, k: frames.select("video_id", (F.col("i") + k).alias(to), F.col("ts").alias(f"_{to}"))
     timed = lambda rows: rows.join(at("st", 0), ["video_id", "st"]).join(at("en", 1), ["video_id", "en"])
     if priors is not None:
         spans = S.duration_prior(timed(spans).withColumn("length", F.col("_en") - F.col("_st") + F.col("step")).drop("_st", "_en"), priors, centred=True).drop("length")
     half = (F.col("en") - F.col("st")) * expand / 2.0
     centre = (F.col("st") + F.col("en") - 1) / 2.0
-    wide = spans.withColumns({"_s": F.greatest(F.lit(0), F.floor(centre - half)).cast("bigint"), "en": F.least(F.col("n"), F.ceil(centre + half + 1)).cast("bigint")}).withColumn("st", F.col("_s")).drop("_s").distinct()
+    wide = spans.withColumns({"_s": F.greatest(F.lit(0), F.floor(centre - half)).cast("bigint"), "en": F.least(F.col("n"), F.ceil(centre + half + 1)).cast("bigint")}).withColumn("st", F.col("_s")).drop("_s")
     long = timed(wide).withColumns({"start_s": F.col("_st"), "end_s": F.col("_en") + F.col("step")})
-    long = long.filter(F.col("end_s") - F.col("start_s") >= least_s).select(*by, "st", "en", "start_s", "end_s")
+    long = long.filter(F.col("end_s") - F.col("start_s") >= least_s).select(*by, "span", "st", "en", "start_s", "end_s")
     scored = S.window_frames(long, smooth.select(*by, "i", "smooth"), by).groupBy(*long.columns).agg(F.avg("smooth").alias("score"))
     return ranked(scored).select(*by, "start_s", "end_s", "score", "k")
 

@@ -342,9 +342,26 @@ def decode_reclassified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _window_events(spark, sf_dir, True)
 
 
-@query()
+_EDGE = "coalesce((select arg_min(cp, abs(cp - {0}) * 1000 + cp) from v_cp c where c.video_id = s.video_id and abs(c.cp - {0}) <= 6), {0})"
+
+
+@query(f"""with raw as (select video_id, i, h.class_idx as cls, 60 * list_dot_product(emb, w) as x from v_frames f, v_head h),
+p as (select video_id, i, cls, exp(x) / sum(exp(x)) over (partition by video_id, i) as p from raw),
+n as (select video_id, count(*) as n from v_frames group by 1),
+smooth as (
+  select video_id, cls, i, (sum(p) over (partition by video_id, cls order by i rows between 2 preceding and 2 following) + greatest(2 - i, 0) * first_value(p) over w + greatest(i + 2 - (n - 1), 0) * last_value(p) over w) / 5 as v
+  from p join n using (video_id) window w as (partition by video_id, cls order by i rows between unbounded preceding and unbounded following)),
+state as (select *, coalesce(last_value(case when v > 0.2 then 1 when v <= 0.12 then 0 end ignore nulls) over o, 0) as open, max(case when v <= 0.12 then i end) over o as closed from smooth window o as (partition by video_id, cls order by i rows between unbounded preceding and current row)),
+span as (select video_id, cls, min(i) as st, max(i) + 1 as en from state where open = 1 group by video_id, cls, closed),
+near as (select *, {_EDGE.format("s.st")} as s1, {_EDGE.format("s.en")} as e1 from span s),
+snapped as (select distinct video_id, cls, case when e1 > s1 then s1 else st end as st, case when e1 > s1 then e1 else en end as en from near),
+run as (select *, sum(fresh) over (partition by video_id, cls order by st, en) as grp from (select *, case when (st - (lag(en) over (partition by video_id, cls order by st, en) - 1)) / 2.0::double <= 1 then 0 else 1 end as fresh from snapped)),
+bridged as (select video_id, cls, min(st) as st, arg_max(en, st * 1000 + en) as en from run group by video_id, cls, grp),
+wide as (select video_id, cls, st as s0, greatest(0, floor((st + en - 1) / 2.0::double - (en - st) * 1.1::double / 2))::bigint as st, least(n, ceil((st + en - 1) / 2.0::double + (en - st) * 1.1::double / 2 + 1))::bigint as en from bridged join n using (video_id)),
+scored as (select w.video_id, w.cls, w.s0, w.st / 2.0::double as start_s, (w.en - 1) / 2.0::double + 0.5::double as end_s, avg(v) as score from wide w join smooth s on s.video_id = w.video_id and s.cls = w.cls and s.i >= w.st and s.i < w.en where (w.en - w.st) / 2.0::double >= 1 group by all)
+select video_id, cls::bigint as cls, start_s, end_s, round(score, 6) as score, row_number() over (partition by video_id order by score desc, start_s, end_s) as k from scored""")
 def extract_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The curve decoder in full over every class's probability; tests hold it against a loop."""
+    """The curve decoder in full over every class's probability."""
     frames, head = V.frames(spark, sf_dir), F.broadcast(V.head(spark, sf_dir))
     scores = frames.select("video_id", "i", "emb").join(head).select("video_id", "i", big("class_idx").alias("cls"), (60.0 * dot("emb", "w")).alias("x"))
     mean = scores.groupBy("video_id", "i").agg(F.max("x").alias("m"), F.sum(F.exp("x")).alias("s"))

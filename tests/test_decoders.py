@@ -41,13 +41,13 @@ def loop_events(curve, ts, win, hi, lo, points, within, gap, priors, expand, lea
                 merged[-1][1] = e
             else:
                 merged.append([s, e])
-        done = set()
+        done = []
         for s, e in merged:
             if cls in priors and ts[e - 1] - ts[s] + step < priors[cls][0]:
                 half, centre = max(1, round(priors[cls][1] / step / 2)), (s + e - 1) / 2
                 s, e = max(0, math.floor(centre - half)), min(n, math.ceil(centre + half + 1))
             centre, half = (s + e - 1) / 2, (e - s) * expand / 2
-            done.add((max(0, math.floor(centre - half)), min(n, math.ceil(centre + half + 1))))
+            done.append((max(0, math.floor(centre - half)), min(n, math.ceil(centre + half + 1))))
         for s, e in done:
             start, end = ts[s], ts[e - 1] + step
             if end - start >= least_s:
@@ -83,6 +83,16 @@ def test_extract_events(spark):
         assert [r.k for r in own] == list(range(1, len(own) + 1)) and all(a.score >= b.score for a, b in zip(own, own[1:], strict=False))
 
 
+def test_equal_events_stay(spark):
+    """Two bumps whose spans come to the same interval are two events."""
+    p = [0.9 if i in (4, 5, 12, 13) else 0.1 for i in range(20)]
+    curve = spark.createDataFrame([(1, i, 0, x) for i, x in enumerate(p)], "video_id bigint, i bigint, cls bigint, p double")
+    frames = spark.createDataFrame([(1, i, i / 2) for i in range(20)], "video_id bigint, i bigint, ts double")
+    found = decode.extract_events(curve, frames, win=1, hi=0.5, lo=0.3, gap=0.5, expand=20.0, least_s=1.0).collect()
+    assert sorted((r.start_s, r.end_s, r.k) for r in found) == [(0.0, 10.0, 1), (0.0, 10.0, 2)]
+    assert len(loop_events({0: p}, [i / 2 for i in range(20)], 1, 0.5, 0.3, [], 3, 0.5, {}, 20.0, 1.0)) == 2
+
+
 @pytest.fixture(scope="module")
 def clips(spark):
     rng = random.Random(6)
