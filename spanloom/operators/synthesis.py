@@ -56,29 +56,29 @@ def tile_background(videos: DataFrame, donors: DataFrame, frames: int, slots: in
     return draws.withColumn("st", end - F.col("n")).withColumn("en", F.least(end, F.lit(frames))).filter(F.col("st") < frames).select("number", "slot", "donor", "st", "en")
 
 
-def place_events(videos: DataFrame, frames: int, length: int, gap: int, most: int, tries: int, seed: int, quiet: float = 0.2) -> DataFrame:
+def place_events(videos: DataFrame, frames: int | Column, length: int, gap: int, most: int, tries: int, seed: int, quiet: float = 0.2) -> DataFrame:
     """number, k, cls, st, en: up to `most` events a video at hashed places; of `tries` places for an event the first that keeps `gap`
     frames from those placed before; an event without one is left out. A share `quiet` of videos has none."""
     number = F.col("number")
     count = F.when(uniform(number, "quiet", seed) < quiet, 0).otherwise(1 + F.floor(uniform(number, "count", seed) * most)).cast("int")
 
     def step(taken: Column, k: Column) -> Column:
-        at = lambda t: F.floor(uniform(number, k, t, "place", seed) * (frames - length + 1)).cast("bigint")
+        at = lambda t: F.floor(uniform(number, k, t, "place", seed) * (F.col("_f") - length + 1)).cast("bigint")
         free = lambda s: F.forall(taken, lambda o: (s + length + gap <= o.st) | (s >= o.st + length + gap))
         found = F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), at), free), F.lit(0))
         return F.when(found.isNotNull(), F.concat(taken, F.array(F.struct(k.cast("int").alias("k"), found.alias("st"))))).otherwise(taken)
 
     empty = F.array().cast("array<struct<k:int,st:bigint>>")
-    placed = videos.withColumn("_c", count).select("number", F.explode(F.aggregate(F.when(F.col("_c") > 0, F.sequence(F.lit(1), "_c")).otherwise(F.array().cast("array<int>")), empty, step)).alias("e"))
+    placed = videos.withColumns({"_c": count, "_f": F.lit(frames)}).select("number", F.explode(F.aggregate(F.when(F.col("_c") > 0, F.sequence(F.lit(1), "_c")).otherwise(F.array().cast("array<int>")), empty, step)).alias("e"))
     cls = F.floor(uniform(number, F.col("e.k"), "class", seed) * 11).cast("bigint")
     return placed.select("number", F.col("e.k").alias("k"), cls.alias("cls"), F.col("e.st").alias("st"), (F.col("e.st") + length).alias("en"))
 
 
-def regular_events(videos: DataFrame, frames: int, length: int, most: int, seed: int) -> DataFrame:
+def regular_events(videos: DataFrame, frames: int | Column, length: int, most: int, seed: int) -> DataFrame:
     """number, k, st, en: events at a fixed pitch of frames // (count + 1), centred on it."""
     count = (1 + F.floor(uniform(F.col("number"), "count", seed) * most)).cast("int")
-    rows = videos.withColumn("_c", count).select("number", "_c", F.explode(F.sequence(F.lit(1), "_c")).alias("k"))
-    centre = F.col("k") * F.floor(F.lit(frames) / F.greatest(F.col("_c") + 1, F.lit(2)))
+    rows = videos.withColumns({"_c": count, "_f": F.lit(frames)}).select("number", "_c", "_f", F.explode(F.sequence(F.lit(1), "_c")).alias("k"))
+    centre = F.col("k") * F.floor(F.col("_f") / F.greatest(F.col("_c") + 1, F.lit(2)))
     start = F.floor(centre - F.lit(length) / 2).cast("bigint")
     return rows.select("number", "k", start.alias("st"), (start + length).alias("en"))
 

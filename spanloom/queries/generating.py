@@ -46,24 +46,41 @@ def synth_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("number", "slot", "donor", big("st").alias("st"), big("en").alias("en"))
 
 
-@query()
+#: A synthetic video for each document, its length in frames by the document's.
+_NUMBERED = "select doc_id as number, 200 + n_chars % 400 as frames from documents"
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("number"), (200 + F.col("n_chars") % 400).alias("frames"))
+
+
+_Q = chr(39)
+_PLACES = f"list_transform(range(0, 32), lambda t: floor({_u('number', 'k', 't', _Q + 'place' + _Q, _Q + '9' + _Q)} * (frames - 40 + 1))::bigint)"
+
+
+@query(f"""with recursive video as (select number, frames, case when {_u('number', _Q + 'quiet' + _Q, _Q + '9' + _Q)} < 0.2::double then 0 else 1 + floor({_u('number', _Q + 'count' + _Q, _Q + '9' + _Q)} * 6) end as c from ({_NUMBERED})),
+fold as (
+  select number, frames, c, 1 as k, null::bigint as st, []::bigint[] as taken from video where c > 0 union all
+  select number, frames, c, k + 1, found, case when found is null then taken else list_append(taken, found) end
+  from (select *, list_filter({_PLACES}, lambda s: len(list_filter(taken, lambda o: not (s + 50 <= o or s >= o + 50))) = 0)[1] as found from fold where k <= c))
+select number, (k - 1)::int as k, floor({_u('number', 'k - 1', _Q + 'class' + _Q, _Q + '9' + _Q)} * 11)::bigint as cls, st, st + 40 as en from fold where st is not null""")
 def synth_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of hashed candidates the first that is free: a fold over the events placed before, checked by a loop in the tests."""
-    return G.place_events(G.synthetic_ids(spark, 200), 480, 40, 10, 6, 32, 9)
+    """Of hashed candidates the first that is free: a fold over the events placed before."""
+    return G.place_events(_numbered(spark, sf_dir), F.col("frames"), 40, 10, 6, 32, 9)
 
 
 _COUNT = f"(1 + floor({_u('number', chr(39) + 'count' + chr(39), chr(39) + '4' + chr(39))} * 6))::bigint"
-_REG = f"select number, k, floor(k * (480 // greatest(c + 1, 2)) - 20)::bigint as st from (select number, c, unnest(range(1, c + 1)) as k from (select number, {_COUNT} as c from (select unnest(range(0, 200)) as number)))"
+_REG = f"select number, k, floor(k * (frames // greatest(c + 1, 2)) - 20)::bigint as st from (select number, frames, c, unnest(range(1, c + 1)) as k from (select number, frames, {_COUNT} as c from ({_NUMBERED})))"
 
 
 @query(f"select number, k::int as k, st, st + 40 as en from ({_REG})")
 def synth_regular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.regular_events(G.synthetic_ids(spark, 200), 480, 40, 6, 4)
+    return G.regular_events(_numbered(spark, sf_dir), F.col("frames"), 40, 6, 4)
 
 
-@query(f"select number, 2 as level, st / 2.0::double as start_time_sec, (st + 40) / 2.0::double as end_time_sec, 'synth_' || lpad(number::varchar, 5, '0') as video_id from ({_REG})")
+@query(f"select number, 2 as level, st / 2.0::double as start_time_sec, (st + 40) / 2.0::double as end_time_sec, 'synth_' || lpad(number::varchar, greatest(5, length(number::varchar))::int, '0') as video_id from ({_REG})")
 def synth_gt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = G.regular_events(G.synthetic_ids(spark, 200), 480, 40, 6, 4)
+    rows = G.regular_events(_numbered(spark, sf_dir), F.col("frames"), 40, 6, 4)
     return rows.select("number", F.lit(2).alias("level"), (F.col("st") / 2.0).alias("start_time_sec"), (F.col("en") / 2.0).alias("end_time_sec"), F.format_string("synth_%05d", "number").alias("video_id"))
 
 

@@ -74,9 +74,12 @@ def sensitivity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.summary(W.sensitivity(_components(spark, sf_dir), _level1(spark, sf_dir))).select(*(r6(c).alias(c) for c in ("total_min", "total_median", "total_max")))
 
 
-@query("select a.w_id::bigint as w2, b.w_id::bigint as w3 from (select * from v_weights where level_name = 'L2') a cross join (select * from v_weights where level_name = 'L3') b")
+@query("""select a.w_id::bigint as w2, b.w_id::bigint as w3, n2, n3 from (select * from v_weights where level_name = 'L2') a cross join (select * from v_weights where level_name = 'L3') b
+  cross join (select count(*) filter (where level = 2) as n2, count(*) filter (where level = 3) as n3 from v_comp)""")
 def weight_grid_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.weight_grid(spark).select("w2", "w3")
+    """The grid of a submission's weightings, with the videos of either level that each is an average over."""
+    levels = _components(spark, sf_dir).agg(*(F.count_if(F.col("level") == k).alias(f"n{k}") for k in (2, 3)))
+    return W.weight_grid(spark).crossJoin(levels).select("w2", "w3", "n2", "n3")
 
 
 @query("select level, sum(matched)::bigint as found, sum(n_pred)::bigint as emitted, sum(n_pred - matched)::bigint as false_alarms, round(sum(matched) / sum(n_pred), 6) as precision, round(sum(matched) / sum(n_gt), 6) as recall from v_comp group by 1")
