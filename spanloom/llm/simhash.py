@@ -25,6 +25,8 @@ SKETCH_BLOCKS, MOST_SKETCHES, SLOTS = 8, 1 << 16, 256
 #: Sketches may show a similarity lower by so much than asked for (four standard deviations at 0.8) and are compared exactly then;
 #: nodes and bytes of shingles in a part of a group to compare, beyond which there are more parts.
 SLACK, MOST_NODES, MOST_BYTES = 0.1, 512, 32 << 20
+#: Orders by which large groups are sorted to find close copies.
+ORDERS = 3
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -175,16 +177,17 @@ def _pairs_of_blocks(rows: DataFrame, radius: int, most: int, blocks: int) -> Da
             boxes[-1] = [[*map(min, boxes[-1][0], q)], [*map(max, boxes[-1][1], q)]]
         room -= r["count"]
         keys.append((*q, len(boxes) - parts, parts))
-    low, high = (np.array([b[k] for b in boxes]).reshape(-1, 4) for k in (0, 1))
-    pairs = []
-    for i in range(len(boxes)):
-        apart = np.maximum(0, np.maximum(low[i:] - high[i], low[i] - high[i:])).sum(axis=1)
-        for j in (np.flatnonzero(apart <= radius) + i).tolist():
-            pairs += [(i, len(pairs) // 2, 0), (j, len(pairs) // 2, 1)]
     of_key = spark.createDataFrame(keys, ", ".join(f"{n} int" for n in names) + ", block int, parts int")
-    of_block = spark.createDataFrame(pairs, "block int, pair int, side int")
+    # A box a block, so few thousands at hundreds of terabytes; which of them can be near is a join of their bounds.
+    bounds = [f"{end}{k}" for end in ("low", "high") for k in range(4)]
+    box = spark.createDataFrame([(k, *low, *high) for k, (low, high) in enumerate(boxes)], ", ".join(f"{n} int" for n in ["block", *bounds]))
+    apart = lambda k: F.greatest(F.lit(0), F.col(f"b.low{k}") - F.col(f"a.high{k}"), F.col(f"a.low{k}") - F.col(f"b.high{k}"))
+    near = (F.col("a.block") <= F.col("b.block")) & (apart(0) + apart(1) + apart(2) + apart(3) <= radius)
+    both = F.array(*(F.struct(F.col(f"{x}.block").alias("block"), F.lit(side).alias("side")) for side, x in enumerate("ab")))
+    pairs = box.alias("a").join(box.alias("b"), near).select((F.col("a.block").cast("bigint") * len(boxes) + F.col("b.block")).alias("pair"), F.inline(both))
     dealt = rows.withColumns({n: q for n, q in zip(names, quarter, strict=True)}).join(F.broadcast(of_key), names)
-    return dealt.withColumn("block", F.col("block") + F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(F.broadcast(of_block), "block").select(*rows.columns, "pair", "side")
+    dealt = dealt.withColumn("block", F.col("block") + F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    return joined(dealt, stored(pairs, "pairs"), ["block"], "inner", 24).select(*rows.columns, "pair", "side")
 
 
 def _near(part: pd.DataFrame, radius: int, least: float | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -233,14 +236,17 @@ def near_links(rows: DataFrame, radius: int = 4, similarity: float | None = None
 
 def _verified(part: pd.DataFrame, similarity: float) -> pd.DataFrame:
     """Links (u, v) between nodes of one or two parts of a candidate group whose sets of shingles have the similarity; pairs that are linked
-    already by others aren't compared."""
+    already, by others here or because they are of one `known` component, aren't compared."""
     a, b = part[part["side"] == 0].drop_duplicates("node"), part[part["side"] == 1].drop_duplicates("node")
     own = not len(b)
     b = a if own else b
     left, right = a["node"].tolist(), b["node"].tolist()
     sets = [[np.frombuffer(x, "<u8") for x in p["shingles"]] for p in (a, b)]
     sketches = [np.frombuffer(b"".join(p["sketch"]), "<u2").reshape(-1, SLOTS) for p in (a, b)]
-    root, out = {x: x for x in left + right}, []
+    root, out = {}, []
+    for p in (a, b):
+        for node, known in zip(p["node"].tolist(), p["known"].tolist(), strict=True):
+            root[node] = root[known] = known
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -257,11 +263,69 @@ def _verified(part: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
 
+_SET = "node bigint, root bigint, sketch binary, shingles binary"
+
+
+def _adjacent(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) of the similarity between nodes of a group that come next to each other when they are sorted by the least two values in
+    parts of their sketches. Of close copies most share those, so a group of them comes out in few components; what is missed here is left to others.
+
+    rows: node, root, sketch, shingles. One shuffle by ranges, of ORDERS copies a node; a group of any size spreads over the ranges.
+    """
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
+            slots = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(-1, SLOTS).astype(np.int64)
+            # Slot and value of the least of each part, as one number; empty slots come last.
+            least = [np.where(x == 0, SLOTS << 16, x * SLOTS + np.arange(x.shape[1])).min(axis=1) for x in np.array_split(slots, 2 * ORDERS, axis=1)]
+            for k in range(ORDERS):
+                place = (least[2 * k] << 32) | least[2 * k + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), k, np.int32)), pa.array(place), *batch.columns], names=["order", "place", *batch.schema.names])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in slices(batches, 200):
+            found = []
+            for order, root, node, shingles in zip(*(batch.column(k).to_pylist() for k in (0, 3, 2, 5)), strict=True):
+                own = np.frombuffer(shingles, "<u8")
+                if before and before[:2] == (order, root) and before[2] != node and jaccard(before[3], own) >= similarity:
+                    found.append((before[2], node))
+                before = (order, root, node, own)
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    placed = rows.select("node", "root", "sketch", "shingles").mapInArrow(keyed, f"order int, place bigint, {_SET}")
+    order = ["order", "root", "place", "node"]
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compared, "u bigint, v bigint")
+
+
+def _dealt(sets: DataFrame, similarity: float) -> DataFrame:
+    """sets (node, root, known, sketch, shingles) once for each pair of parts that a task has to compare: adds pair and side.
+
+    Sets of the similarity can't differ more in size, so a group is parted by size first, in steps of that ratio, then at random to bounded parts; every two parts of one step
+    and of neighbouring steps make a pair.
+    """
+    step = F.floor(F.log(F.greatest(F.length("shingles"), F.lit(8)) / 8.0) / F.lit(-np.log(similarity).item())).cast("int")
+    rows = sets.withColumn("step", step)
+    most = F.greatest(F.count("*") / MOST_NODES, F.sum(F.length("shingles")) / MOST_BYTES)
+    sizes = stored(rows.groupBy("root", "step").agg(F.ceil(most).cast("int").alias("parts")), "parts")
+    near = lambda shift, to: sizes.select("root", (F.col("step") + shift).alias("step"), F.col("parts").alias(to))
+    around = stored(sizes.join(near(-1, "above"), ["root", "step"], "left").join(near(1, "below"), ["root", "step"], "left"), "parts")
+    rows = joined(rows, around, ["root", "step"], "inner", 48).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    each = lambda n, use: F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), use)
+    # One key of all: rows that a join has dealt by root would else count as grouped, and a hot group's parts stay in one task.
+    pair = lambda kind, at, low, high, side: F.struct(F.concat_ws("/", "root", F.lit(kind), at, low, high).alias("pair"), side.cast("int").alias("side"))
+    own = each(F.col("parts"), lambda o: pair("own", F.col("step"), F.least("part", o), F.greatest("part", o), F.col("part") > o))
+    up = each(F.coalesce("above", F.lit(0)), lambda o: pair("up", F.col("step"), F.col("part"), o, F.lit(0)))
+    down = each(F.coalesce("below", F.lit(0)), lambda o: pair("up", F.col("step") - 1, o, F.col("part"), F.lit(1)))
+    return rows.select("node", "known", "sketch", "shingles", F.inline(F.concat(own, up, down)))
+
+
 def exact_links(keyed: DataFrame, nodes: DataFrame, candidates: DataFrame, width: int, similarity: float) -> DataFrame:
     """Links (u, v) that join all nodes whose sets of shingles have the similarity and that are in one group of candidates.
 
     keyed: id (of id and rid) and text of rows; nodes: node, sketch and least (a row that holds it); candidates: node and root. Only texts in
-    groups are read again. Groups are dealt to parts of bounded size, and every two parts of a group are compared.
+    groups are read again. A group that a task can hold is compared there. Larger ones are first linked along sorted sketches, which joins most close copies at a few copies
+    of each set; only groups that are still in several components are dealt to pairs of bounded parts, in which nothing that is joined already is compared.
     """
     met = stored(nodes.join(candidates, "node").select("node", "root", "sketch", F.col("least.id").alias("own"), F.col("least.rid").alias("own_rid")), "met")
     rows = joined(keyed.select(F.col("id.id").alias("id"), F.col("id.rid").alias("rid"), F.col("text").cast("string").alias("text")), met, F.col("id").eqNullSafe(F.col("own")) & (F.col("rid") == F.col("own_rid")), "inner", 600)
@@ -271,14 +335,23 @@ def exact_links(keyed: DataFrame, nodes: DataFrame, candidates: DataFrame, width
             sets = [shingle_set(shingle_hashes(t.as_py(), width)) for t in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["node", "root", "sketch", "shingles"])
 
-    sets = stored(rows.select("node", "root", "sketch", "text").mapInArrow(cut, "node bigint, root bigint, sketch binary, shingles binary"), "shingles")
-    size = stored(sets.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / MOST_NODES, F.sum(F.length("shingles")) / MOST_BYTES)).cast("int").alias("parts")), "parts")
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = joined(sets, size, ["root"], "inner", 12).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other"), "side": (F.col("part") > F.col("other")).cast("int")})
-    # One key of all three: rows that the join has dealt by root would else count as grouped, and a hot group's parts stay in one task.
-    pair = F.concat_ws("/", "root", "low", "high")
-    return dealt.select(pair.alias("pair"), "node", "sketch", "shingles", "side").groupBy("pair").applyInPandas(lambda p: _verified(p[["node", "sketch", "shingles", "side"]], similarity), "u bigint, v bigint")
+    sets = stored(rows.select("node", "root", "sketch", "text").mapInArrow(cut, _SET), "shingles")
+    large = (F.count("*") > MOST_NODES) | (F.sum(F.length("shingles")) > MOST_BYTES)
+    size = stored(sets.groupBy("root").agg(large.alias("large")), "sizes")
+    sized = joined(sets, size, ["root"], "inner", 12)
+    verify = lambda p: _verified(p[["node", "known", "sketch", "shingles", "side"]], similarity)
+    small = sized.filter("not large").select(F.col("root").cast("string").alias("pair"), "node", F.col("node").alias("known"), "sketch", "shingles", F.lit(0).alias("side"))
+    found = small.groupBy("pair").applyInPandas(verify, "u bigint, v bigint")
+    if size.filter("large").isEmpty():
+        return found
+    big = sized.filter("large").select("node", "root", "sketch", "shingles")
+    first = stored(_adjacent(big, similarity), "links")
+    roots = stored(connected_components(first).select(F.col("node").alias("of"), F.col("root").alias("to")), "roots")
+    known = stored(big.select("node", "root").join(roots, F.col("node") == F.col("of"), "left").select("node", "root", F.coalesce("to", "node").alias("known")), "known")
+    apart = stored(known.groupBy("root").agg((F.min("known") != F.max("known")).alias("apart")).filter("apart").select("root"), "apart")
+    rest = known.join(apart, "root", "left_semi").select(F.col("node").alias("of"), "known")
+    rest = joined(big, stored(rest, "rest"), F.col("node") == F.col("of"), "inner", 32).drop("of")
+    return found.unionAll(first).unionAll(_dealt(rest, similarity).groupBy("pair").applyInPandas(verify, "u bigint, v bigint"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

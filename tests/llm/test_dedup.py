@@ -285,6 +285,53 @@ def test_parts_of_a_hot_group_are_dealt_apart(spark, monkeypatch):
     assert "hashpartitioning(pair" in dealt[0]._jdf.queryExecution().executedPlan().toString()
 
 
+def as_sets(spark, groups):
+    """A table of sets with sketches as exact_links works on them, from {root: [set of numbers]}."""
+    rows, node = [], 0
+    for root, sets in groups.items():
+        for own in sets:
+            hashed = np.sort(np.array([hash((x, "shingle")) & (2**63 - 1) for x in own], np.uint64))
+            rows.append((node, root, node, bytearray(simhash.sketch(hashed)), bytearray(simhash.shingle_set(hashed))))
+            node += 1
+    return spark.createDataFrame(rows, "node bigint, root bigint, known bigint, sketch binary, shingles binary")
+
+
+def test_parts_hold_every_pair_that_can_be_alike(spark, monkeypatch):
+    """Pairs of sets whose sizes allow the similarity meet in one pair of parts; a set isn't copied to parts of other sizes."""
+    monkeypatch.setattr(simhash, "MOST_NODES", 4)
+    rng = random.Random(58)
+    sizes = [rng.randrange(5, 400) for _ in range(120)]
+    df = as_sets(spark, {7: [range(n) for n in sizes]})
+    rows = simhash._dealt(df, 0.8).select("node", "pair", "side").collect()
+    of = {}
+    for r in rows:
+        of.setdefault(r.node, set()).add(r.pair)
+    for a in range(120):
+        for b in range(a):
+            assert of[a] & of[b] or min(sizes[a], sizes[b]) < 0.8 * max(sizes[a], sizes[b])
+    assert len(rows) < 120 * 30 / 3
+
+
+def test_a_large_group_takes_few_copies(spark, monkeypatch):
+    """20,000 close copies in one group: sorted sketches join them, and nothing is dealt to pairs of parts."""
+    rng = random.Random(59)
+    base = list(range(40))
+    df = as_sets(spark, {3: [[*base[:k], 1000 + n, *base[k + 1 :]] for n, k in ((n, rng.randrange(40)) for n in range(20_000))]})
+    first = simhash._adjacent(df.drop("known"), 0.8)
+    links = [(r.u, r.v) for r in first.collect()]
+    assert len(links) < 3 * 20_000
+    root = list(range(20_000))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for u, v in links:
+        root[find(u)] = find(v)
+    assert len({find(x) for x in range(20_000)}) < 200
+
+
 def fresh(rng, n):
     return [b"w%d" % rng.randrange(10**9) for _ in range(n)]
 
