@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from spanloom.functions.vectors import softmax
 from spanloom.operators import aggregates as A
 from spanloom.operators.aggregates import balanced_accuracy
 from spanloom.plans import models as P
+from spanloom.plans.clip_head import head_windows
 from spanloom.sources import views as V
 
 from .basic import query, r6
@@ -32,6 +34,48 @@ def isotonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.isotonic(rows, "p", "y").select("video_id", "i", r6("calibrated").alias("calibrated"))
 
 
+@query("""with d as (select class_name, p, sum((video_id % 2)::double) as y, count(*)::double as n from v_curve group by 1, 2),
+c as (select *, row_number() over w as i, sum(y) over w as ys, sum(n) over w as ns from d window w as (partition by class_name order by p)),
+pair as (select a.class_name, a.i as j, b.i as k, (b.ys - a.ys + a.y) / (b.ns - a.ns + a.n) as mean from c a join c b on a.class_name = b.class_name and a.i <= b.i),
+least as (select class_name, j, k as i, min(mean) over (partition by class_name, j order by k desc) as m from pair),
+fit as (select class_name, i, max(m) as value from least group by 1, 2)
+select video_id, v.i, round(value, 6) as calibrated from v_curve v join c on c.class_name = v.class_name and c.p = v.p join fit f on f.class_name = c.class_name and f.i = c.i""")
+def isotonic_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An isotonic fit for each class, against the greatest of the least means of all stretches about a score."""
+    rows = V.curve(spark, sf_dir).withColumn("y", (F.col("video_id") % 2).cast("double"))
+    return P.isotonic_by_class(rows, "class_name", "p", "y").select("video_id", "i", r6("calibrated").alias("calibrated"))
+
+
+def _weights(d: int, hidden: int = 16, classes: int = 12, seed: int = 7) -> dict[str, np.ndarray]:
+    g = np.random.default_rng(seed).normal
+    return {"project": g(size=(d, hidden)), "project_bias": g(size=hidden), "attend": g(size=hidden), "attend_bias": np.float64(0.1), "classify": g(size=(hidden, classes)), "classify_bias": g(size=classes)}
+
+
+@query()
+def clip_head_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clip head with seeded weights over all sliding windows; DuckDB has no error function, so tests hold it against a loop."""
+    found = head_windows(V.frames(spark, sf_dir).select("video_id", "i", "emb"), _weights(64), 6, 2)
+    top = F.array_max("probs")
+    return found.select("video_id", "st", "en", (F.array_position("probs", top) - 1).alias("cls"), r6(top).alias("p"))
+
+
+@query("select vec_id // 50 as video_id, vec_id % 50 as i, case when vec_id % 17 = 0 then 'no embedding' when embedding[1] > 0.15::float then 'ValueError: out of range' end as error, round(case when vec_id % 17 > 0 and embedding[1] <= 0.15::float then embedding[1]::double - embedding[2]::double end, 6) as margin from embeddings")
+def scored_with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that raises on some embeddings: each fault stays with its row, all others are scored."""
+
+    def load():
+        def model(x):
+            if (x[:, 0] > np.float32(0.15)).any():
+                raise ValueError("out of range")
+            return x[:, :2]
+
+        return model
+
+    frames = V.frames(spark, sf_dir).select("video_id", "i", F.when((50 * F.col("video_id") + F.col("i")) % 17 != 0, F.col("emb")).alias("emb"))
+    found = P.external_scorer(frames, load)
+    return found.select("video_id", "i", "error", r6(F.col("probs")[0] - F.col("probs")[1]).alias("margin"))
+
+
 _NLL = "select t, round(avg(-ln(greatest(e[label + 1] / list_sum(e), 1e-12))), 6) as nll from (select label, t, list_transform(embedding[1:10]::double[], lambda x: exp((x - list_max(embedding[1:10]::double[])) / t)) as e from embeddings cross join (select unnest([0.05::double, 0.2, 1.0, 5.0]) as t)) group by 1"
 
 
