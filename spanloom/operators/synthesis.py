@@ -92,3 +92,35 @@ def overlay(frames: DataFrame, spans: DataFrame, donors: DataFrame, normal: int
     found = rows.withColumn("_at", F.col("i") - F.col("st")).alias("r").join(donors.alias("d"), (F.col("r.cls") == F.col("d.cls")) & (F.col("r._at") == F.col("d.i")), "left")
     edge = F.coalesce((F.col("r.i") == F.col("r.st")) | (F.col("r.i") == F.col("r.en") - 1), F.lit(False)).cast("double")
     return found.select("r.number", "r.i", F.coalesce("d.emb", "r.emb").alias("emb"), F.coalesce("r.cls", F.lit(normal)).cast("bigint").alias("label"), edge.alias("edge"))
+
+
+def donor_crops(events: DataFrame, donors: DataFrame, most: int, seed: int, same_share: float = 0.25, frames: str = "frames") -> DataFrame:
+    """Gives each event (number, k, cls, st, and its video's frames) a donor of its class and a crop of it.
+
+    donors: cls, donor and n, clips of a class with their frames. A donor is drawn by hash among its class's in the order of donor; of one longer than `most` frames, `most` neighbouring ones at a hashed place. Adds donor,
+    left (the crop's first frame), en (the crop's length on, the video's end at most) and same_scene, true for a hashed share of the events, whose background stays as it is.
+    Events of a class without donors go.
+    """
+    own = Window.partitionBy("cls")
+    ranked = donors.select("cls", "donor", "n", (F.row_number().over(own.orderBy("donor")) - 1).alias("_at"), F.count("*").over(own).alias("_m"))
+    sizes = ranked.filter("_at = 0").select("cls", "_m")
+    u = lambda what: uniform(F.col("number"), F.col("k"), what, seed)
+    drawn = events.join(sizes, "cls").withColumn("_at", F.floor(u("donor") * F.col("_m")).cast("int")).join(ranked.drop("_m"), ["cls", "_at"])
+    length = F.least(F.col("n"), F.lit(most))
+    left = F.floor(u("crop") * (F.col("n") - length + 1)).cast("bigint")
+    return drawn.withColumns({"left": left, "en": F.least(F.col("st") + length, F.col(frames)).cast("bigint"), "same_scene": u("scene") < same_share}).drop("_at", "_m", "n")
+
+
+def splice(frames: DataFrame, events: DataFrame, donor_frames: DataFrame, normal: int = 11) -> DataFrame:
+    """frames (number, i, emb) with the crops of donors in place of what lies inside events, except where an event keeps its scene; a label (class or normal) and
+    edge marks, which events have either way.
+
+    events: of donor_crops; donor_frames: donor, i, emb. Joined by (donor, frame of the donor), so a donor's frame goes to the events that use it and no clip is held as a whole.
+    """
+    a, b = frames.alias("f"), events.alias("s")
+    on = (F.col("f.number") == F.col("s.number")) & (F.col("f.i") >= F.col("s.st")) & (F.col("f.i") < F.col("s.en"))
+    rows = a.join(b, on, "left").select("f.number", "f.i", "f.emb", "s.cls", "s.st", "s.en", F.when(~F.col("s.same_scene"), F.col("s.donor")).alias("_donor"), (F.col("s.left") + F.col("f.i") - F.col("s.st")).alias("_at"))
+    own = donor_frames.select(F.col("donor").alias("_d"), F.col("i").alias("_i"), F.col("emb").alias("_emb"))
+    found = rows.join(own, (F.col("_donor") == F.col("_d")) & (F.col("_at") == F.col("_i")), "left")
+    edge = F.coalesce((F.col("i") == F.col("st")) | (F.col("i") == F.col("en") - 1), F.lit(False)).cast("double")
+    return found.select("number", "i", F.coalesce("_emb", "emb").alias("emb"), F.coalesce("cls", F.lit(normal)).cast("bigint").alias("label"), edge.alias("edge"))

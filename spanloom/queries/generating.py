@@ -96,6 +96,25 @@ def synth_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("number", "i", "label", r6(F.col("emb")[0]).alias("x"), "edge")
 
 
+_E = "(select distinct video_id as number, 1 as k, video_id % 4 as cls, 3 + video_id % 20 as st, 50 as frames from v_frames)"
+_D = "(select video_id as donor, video_id % 4 as cls, count(*) - video_id % 7 as n from v_frames group by video_id)"
+_CROP = f"""select number, k, cls, st, donor, floor({_u('number', 'k', _Q + 'crop' + _Q, _Q + '6' + _Q)} * (n - least(n, 20) + 1))::bigint as left_at, least(st + least(n, 20), frames) as en, {_u('number', 'k', _Q + 'scene' + _Q, _Q + '6' + _Q)} < 0.25::double as same
+  from (select e.*, floor({_u('number', 'k', _Q + 'donor' + _Q, _Q + '6' + _Q)} * m)::int as pick from {_E} e join (select cls, count(*) as m from {_D} group by 1) using (cls)) join (select *, row_number() over (partition by cls order by donor) - 1 as pick from {_D}) using (cls, pick)"""
+
+
+@query(f"""select f.video_id as number, f.i, coalesce(s.cls, 11)::bigint as label, round(coalesce(case when not s.same then d.emb[1] end, f.emb[1]), 6) as x, coalesce(f.i = s.st or f.i = s.en - 1, false)::int::double as edge
+  from v_frames f left join ({_CROP}) s on s.number = f.video_id and f.i >= s.st and f.i < s.en left join v_frames d on d.video_id = s.donor and d.i = s.left_at + f.i - s.st""")
+def synth_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each video with one event: a crop of another clip of its class, or the scene as it was."""
+    frames = V.frames(spark, sf_dir)
+    donors = frames.groupBy(F.col("video_id").alias("donor")).agg((F.count("*") - F.first("video_id") % 7).alias("n")).withColumn("cls", F.col("donor") % 4)
+    v = F.col("video_id")
+    events = frames.select(v.alias("number"), F.lit(1).alias("k"), (v % 4).alias("cls"), (3 + v % 20).alias("st"), F.lit(50).alias("frames")).distinct()
+    crops = G.donor_crops(events, donors, 20, 6)
+    found = G.splice(frames.select(v.alias("number"), "i", "emb"), crops, frames.select(v.alias("donor"), "i", "emb"))
+    return found.select("number", "i", "label", r6(F.col("emb")[0]).alias("x"), "edge")
+
+
 @query("select video_id, 2 as level, dur from (select video_id, max(sec) / 3600.0::double / 20.0::double as dur from v_curve group by 1) where dur > 30")
 def real_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     clips = V.curve(spark, sf_dir).groupBy("video_id").agg((F.max("sec") / 3600.0 / 20.0).alias("dur"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,3 +107,53 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
 
 def read_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def _members(content: bytes, names: list[str]) -> dict[str, np.ndarray]:
+    """Some arrays of an .npz archive; the other members aren't opened."""
+    with np.load(io.BytesIO(content), allow_pickle=False) as archive:
+        return {name: archive[name] for name in names if name in archive.files}
+
+
+def _archives(spark: SparkSession, path: str) -> DataFrame:
+    """video_id (the file's name without its ending) and content of the .npz files under path, in any store that Spark reads."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.regexp_extract("path", r"([^/]+)\.npz$", 1).alias("video_id"), "content")
+
+
+def read_cache_clips(spark: SparkSession, path: str) -> DataFrame:
+    """video_id, n (frames), dur, fps, extract_time_ms (0 where a file has none) and error of the .npz files of an embedding cache. Embeddings aren't
+    opened. A file that can't be read, or lacks ts, dur or fps, has an error and nothing else."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for video, content in zip(pdf["video_id"], pdf["content"], strict=True):
+                try:
+                    m = _members(content, ["ts", "dur", "fps", "extract_time_ms"])
+                    out.append((video, len(m["ts"]), float(m["dur"]), float(m["fps"]), float(m.get("extract_time_ms", 0.0)), None))
+                except (KeyError, ValueError, OSError, zipfile.BadZipFile) as e:
+                    out.append((video, None, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["video_id", "n", "dur", "fps", "extract_time_ms", "error"]).astype({"n": "Int64"})
+
+    return _archives(spark, path).mapInPandas(run, "video_id string, n bigint, dur double, fps double, extract_time_ms double, error string")
+
+
+def read_cache_frames(spark: SparkSession, path: str, emb: bool = True) -> DataFrame:
+    """video_id, i, ts and, unless told not to, emb of all frames of an embedding cache: a row a frame, float16 as float. Files that can't be read have no frames here and an
+    error in read_cache_clips; so have files with other numbers of embeddings than of times."""
+
+    def run(batches):
+        for pdf in batches:
+            for video, content in zip(pdf["video_id"], pdf["content"], strict=True):
+                try:
+                    m = _members(content, ["ts", "emb"] if emb else ["ts"])
+                    ts, own = m["ts"], m["emb"] if emb else None
+                except (KeyError, ValueError, OSError, zipfile.BadZipFile):
+                    continue
+                if own is not None and len(own) != len(ts):
+                    continue
+                frames = pd.DataFrame({"video_id": video, "i": np.arange(len(ts)), "ts": ts.astype(float)})
+                yield frames.assign(emb=pd.Series(list(own.astype(np.float32)), dtype=object)) if emb else frames
+
+    return _archives(spark, path).mapInPandas(run, "video_id string, i bigint, ts double" + ", emb array<float>" * emb)

@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,39 @@ def test_missing_parts(spark):
     parsed = lines.select(F.from_json("value", PREDICTION).alias("p")).select("p.*").withColumn("hardware", F.lit(None).cast("string"))
     got = sorted((r.video_id, r.problem, r.severity) for r in K.check_present(parsed, ("hardware",)).collect())
     assert got == [("a", "missing hardware", "warn"), ("a", "missing runtime_metadata", "error"), ("b", "missing events", "error"), ("b", "missing hardware", "warn")]
+
+
+def test_embedding_cache(spark, tmp_path):
+    """A folder of .npz files: frames and clips come back; a clip's row needs no embeddings; a broken file is one error."""
+    rng = np.random.default_rng(3)
+    (tmp_path / "test").mkdir()
+    want = {}
+    for k, n in enumerate((0, 1, 7, 30)):
+        emb, ts = rng.normal(size=(n, 4)).astype(np.float16), (np.arange(n) / 2).astype(np.float32)
+        want[f"v{k}"] = (emb, ts)
+        more = {} if k == 1 else {"extract_time_ms": 12.5}
+        np.savez(tmp_path / ("test" if k % 2 else "") / f"v{k}.npz", emb=emb, ts=ts, dur=n / 2, fps=25.0, **more)
+    np.savez(tmp_path / "odd.npz", emb=np.zeros((2, 4)), ts=np.zeros(3), dur=1.0, fps=25.0)
+    np.savez(tmp_path / "short.npz", emb=np.zeros((2, 4)))
+    (tmp_path / "broken.npz").write_bytes(b"no archive")
+    (tmp_path / "other.txt").write_text("x")
+    frames = I.read_cache_frames(spark, str(tmp_path)).collect()
+    for video, (emb, ts) in want.items():
+        own = sorted((r for r in frames if r.video_id == video), key=lambda r: r.i)
+        assert [r.ts for r in own] == ts.tolist() and [list(r.emb) for r in own] == emb.astype(np.float32).tolist()
+    assert {r.video_id for r in frames} == {"v1", "v2", "v3"}
+    clips = {r.video_id: r for r in I.read_cache_clips(spark, str(tmp_path)).collect()}
+    assert {v: (r.n, r.dur, r.fps, r.extract_time_ms) for v, r in clips.items() if not r.error} == {f"v{k}": (n, n / 2, 25.0, 0.0 if k == 1 else 12.5) for k, n in enumerate((0, 1, 7, 30))} | {"odd": (3, 1.0, 25.0, 0.0)}
+    assert {v for v, r in clips.items() if r.error} == {"short", "broken"}
+
+
+def test_embeddings_that_nobody_asks_for_stay_closed(spark, tmp_path):
+    """A file whose embeddings are damaged still gives its times and its clip."""
+    np.savez(tmp_path / "v.npz", emb=np.ones((50, 8)), ts=np.arange(50.0), dur=25.0, fps=2.0)
+    whole = bytearray((tmp_path / "v.npz").read_bytes())
+    at = whole.index(b"emb.npy") + 200
+    whole[at : at + 50] = b"?" * 50
+    (tmp_path / "v.npz").write_bytes(bytes(whole))
+    assert I.read_cache_frames(spark, str(tmp_path)).count() == 0
+    assert I.read_cache_frames(spark, str(tmp_path), emb=False).count() == 50
+    assert I.read_cache_clips(spark, str(tmp_path)).first().n == 50
