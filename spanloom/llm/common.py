@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,14 +32,39 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+#: The folder below the application's that intermediate tables go to now; see scope.
+_scopes: list[str] = []
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return "/".join([shared_dir(spark), "spanloom", spark.sparkContext.applicationId, *_scopes])
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/spanloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, folder: str) -> bool:
+    """Remove a folder in the shared store, with all in it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear_intermediates(spark: SparkSession) -> bool:
     """Remove this application's intermediate tables. Call it once results are written: a DataFrame that an operator returned reads them."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/spanloom/{spark.sparkContext.applicationId}")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return delete(spark, _own_folder(spark))
+
+
+@contextmanager
+def scope(spark: SparkSession, name: str) -> Iterator[None]:
+    """Intermediate tables written inside go when it ends, so what is to stay has to be written elsewhere before."""
+    _scopes.append(f"{name}-{uuid.uuid4().hex}")
+    folder = _own_folder(spark)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        delete(spark, folder)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

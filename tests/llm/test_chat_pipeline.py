@@ -80,3 +80,28 @@ def test_stages(spark, docs):
 def test_stages_of_no_documents(spark, empty):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").isEmpty()
+
+
+def test_stages_leave_nothing_behind(spark, docs, tmp_path):
+    """After a run only the last stage's input and own tables are left; the result equals that of the stages one by one."""
+    docs.filter("doc_id is not null").withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    own = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + f"/spanloom/{spark.sparkContext.applicationId}"
+    before = set(os.listdir(own)) if os.path.isdir(own) else set()
+    found = sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(own)) - before}
+    assert left & {name for name, _ in corpus_pipeline.STAGES} == set()
+    assert {name for name in left if name.startswith("stage-")} == {"stage-source_mix"}
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        frame = stage(spark, frame, str(tmp_path))
+    assert found == sorted((r.doc_id, r.n_tokens) for r in frame.collect())
+
+
+def test_stages_with_more_columns(spark, clashing):
+    """Columns named like those that operators use inside stay as they were, through all stages but the last."""
+    frame = clashing.filter("doc_id is not null").withColumn("lang", F.lit("en"))
+    columns = frame.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, "")
+        assert frame.columns == columns
+    assert frame.count() > 0 and frame.filter("rid <> 2 or n <> 27").isEmpty()
