@@ -116,3 +116,89 @@ def head_windows(frames: DataFrame, weights: dict[str, np.ndarray], width: int,
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.select(*part).schema)
     return rows.groupBy(*part, "_g").applyInPandas(run, f"{kinds}, st bigint, en bigint, probs array<double>")
+
+
+#: AdamW: rates of the running means of gradients and their squares, and what keeps a division defined.
+BETAS, EPSILON = (0.9, 0.999), 1e-8
+
+
+def initial_head(inputs: int, hidden: int, classes: int, seed: int) -> dict[str, np.ndarray]:
+    """Seeded weights, scaled by the inputs that each sums over; offsets of zero."""
+    g = np.random.default_rng(seed).normal
+    return {
+        "project": g(size=(inputs, hidden)) / np.sqrt(inputs), "project_bias": np.zeros(hidden), "attend": g(size=hidden) / np.sqrt(hidden), "attend_bias": np.zeros(()),
+        "classify": g(size=(hidden, classes)) / np.sqrt(hidden), "classify_bias": np.zeros(classes),
+    }
+
+
+def clip_gradient(emb: np.ndarray, label: int, weight: float, w: dict[str, np.ndarray]) -> tuple[float, int, dict[str, np.ndarray]]:
+    """Weighted cross-entropy of one clip, its guess, and the gradient of the loss by every weight."""
+    x = emb @ w["project"] + w["project_bias"]
+    below = (1 + _erf(x / np.sqrt(2))) / 2
+    h = x * below
+    a = h @ w["attend"] + w["attend_bias"]
+    s = np.exp(a - a.max())
+    s /= s.sum()
+    mean = s @ h
+    p = class_probabilities(mean[None, :], w)[0]
+    by_z = weight * (p - (np.arange(len(p)) == label))
+    by_mean = w["classify"] @ by_z
+    by_s = h @ by_mean
+    by_a = s * (by_s - s @ by_s)
+    by_x = (s[:, None] * by_mean + by_a[:, None] * w["attend"]) * (below + x * np.exp(-x * x / 2) / np.sqrt(2 * np.pi))
+    slope = {"project": emb.T @ by_x, "project_bias": by_x.sum(axis=0), "attend": by_a @ h, "attend_bias": by_a.sum(), "classify": np.outer(mean, by_z), "classify_bias": by_z}
+    return float(-weight * np.log(max(p[label], 1e-300))), int(p.argmax()), slope
+
+
+def _epoch(clips: DataFrame, w: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], float, float]:
+    """Gradient and loss, as weighted means over all clips, and balanced accuracy under the weights. Each task sums over its clips and sends a row for each row of the weights; Spark adds
+    these, and what comes back has the size of the weights."""
+
+    def run(batches):
+        total: dict[str, np.ndarray] = {name: np.zeros_like(np.atleast_2d(x)) for name, x in w.items()}
+        loss, mass, hits = 0.0, 0.0, {}
+        for pdf in batches:
+            for emb, label, weight in zip(pdf["embs"], pdf["label"], pdf["weight"], strict=True):
+                value, guess, slope = clip_gradient(np.stack(emb).astype(float), label, weight, w)
+                loss, mass = loss + value, mass + weight
+                n, k = hits.get(label, (0, 0))
+                hits[label] = (n + 1, k + (guess == label))
+                for name, g in slope.items():
+                    total[name] += np.atleast_2d(g)
+        out = [(name, k, list(map(float, row))) for name, g in total.items() for k, row in enumerate(g)]
+        out += [("loss", 0, [loss, mass])] + [("hits", int(label), [float(n), float(k)]) for label, (n, k) in hits.items()]
+        yield pd.DataFrame(out, columns=["name", "row", "values"])
+
+    parts = clips.select("embs", "label", "weight").mapInPandas(run, "name string, row int, values array<double>")
+    sums = parts.select("name", "row", F.posexplode("values").alias("at", "x")).groupBy("name", "row", "at").agg(F.sum("x").alias("x"))
+    found: dict[str, dict] = {}
+    for r in sums.collect():
+        found.setdefault(r.name, {})[r.row, r.at] = r.x
+    mass = found["loss"][0, 1]
+    slope = {name: np.array([[found[name][k, at] for at in range(np.atleast_2d(x).shape[1])] for k in range(np.atleast_2d(x).shape[0])]).reshape(np.shape(x)) / mass for name, x in w.items()}
+    labels = {k for k, _ in found["hits"]}
+    return slope, found["loss"][0, 0] / mass, float(np.mean([found["hits"][k, 1] / found["hits"][k, 0] for k in sorted(labels)]))
+
+
+def train_head(clips: DataFrame, weights: dict[str, np.ndarray], epochs: int, rate: float = 1e-2, decay: float = 1e-2) -> tuple[dict[str, np.ndarray], list[tuple[int, float, float]]]:
+    """The head of the best epoch, by balanced accuracy (the first of equals), and (epoch, loss, balanced accuracy) of each, as they were before its step.
+
+    clips: embs (array of a clip's embeddings), label and weight (see aggregates.class_weights). All clips count in each step (AdamW on the full
+    gradient), so the losses are the same at any partitioning but for rounding. The driver holds the weights and two running means of their size. At least one clip.
+    """
+    w = {name: np.array(x, float) for name, x in weights.items()}
+    first, second = ({name: np.zeros_like(x) for name, x in w.items()} for _ in range(2))
+    best, history = (-1.0, w), []
+    for t in range(1, epochs + 1):
+        slope, loss, accuracy = _epoch(clips, w)
+        history.append((t, loss, accuracy))
+        if accuracy > best[0]:
+            best = (accuracy, w)
+        stepped = {}
+        for name, x in w.items():
+            first[name] = BETAS[0] * first[name] + (1 - BETAS[0]) * slope[name]
+            second[name] = BETAS[1] * second[name] + (1 - BETAS[1]) * slope[name] ** 2
+            step = (first[name] / (1 - BETAS[0] ** t)) / (np.sqrt(second[name] / (1 - BETAS[1] ** t)) + EPSILON)
+            stepped[name] = x - rate * (step + decay * x)
+        w = stepped
+    return best[1], history

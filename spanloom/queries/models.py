@@ -10,8 +10,9 @@ from spanloom.functions.vectors import softmax
 from spanloom.operators import aggregates as A
 from spanloom.operators.aggregates import balanced_accuracy
 from spanloom.plans import models as P
-from spanloom.plans.clip_head import head_windows
+from spanloom.plans.clip_head import head_windows, initial_head, train_head
 from spanloom.sources import views as V
+from spanloom.sources.scratch import stored
 
 from .basic import query, r6
 
@@ -59,6 +60,18 @@ def clip_head_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("video_id", "st", "en", (F.array_position("probs", top) - 1).alias("cls"), r6(top).alias("p"))
 
 
+@query()
+def clip_head_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss and balanced accuracy of each epoch of the clip head, over clips of ten frames with the label of their first; tests hold training against a loop."""
+    frames = V.frames(spark, sf_dir).withColumn("clip", F.floor(F.col("i") / 10))
+    step = F.struct("i", "emb", "class_idx")
+    clips = frames.groupBy("video_id", "clip").agg(F.array_sort(F.collect_list(step)).alias("s")).select(F.col("s.emb").alias("embs"), F.col("s.class_idx")[0].cast("bigint").alias("class_idx"))
+    weights = A.class_weights(A.class_counts(clips, 12))
+    rows = clips.join(F.broadcast(weights.select("class_idx", "weight")), "class_idx").select("embs", F.col("class_idx").cast("int").alias("label"), "weight")
+    _, history = train_head(stored(rows, "clips"), initial_head(64, 16, 12, 3), 5)
+    return spark.createDataFrame([(t, round(loss, 6), round(accuracy, 6)) for t, loss, accuracy in history], "epoch int, loss double, balanced_accuracy double")
+
+
 @query("select vec_id // 50 as video_id, vec_id % 50 as i, case when vec_id % 17 = 0 then 'no embedding' when embedding[1] > 0.15::float then 'ValueError: out of range' end as error, round(case when vec_id % 17 > 0 and embedding[1] <= 0.15::float then embedding[1]::double - embedding[2]::double end, 6) as margin from embeddings")
 def scored_with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model that raises on some embeddings: each fault stays with its row, all others are scored."""

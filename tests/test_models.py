@@ -92,3 +92,48 @@ def test_faults_stay_with_their_rows(spark):
     good, dead = models.split_faults(models.external_scorer(frames, load))
     assert good.count() == 40 - len(bad) and dead.count() == len(bad) and "error" not in good.columns
     assert models.external_scorer(frames.limit(0), load).isEmpty()
+
+
+def test_gradient(spark):
+    """Against differences of the loss, weight by weight."""
+    rng = np.random.default_rng(5)
+    w, x = head(rng, 4, 5, 3), rng.normal(size=(6, 4))
+    loss, guess, slope = clip_head.clip_gradient(x, 2, 1.5, w)
+    p = slow_probabilities(x.tolist(), w)
+    assert loss == pytest.approx(-1.5 * math.log(p[2])) and guess == int(np.argmax(p))
+    for name, g in slope.items():
+        for at in np.ndindex(np.shape(w[name])):
+            sides = []
+            for d in (1e-6, -1e-6):
+                moved = {k: np.array(v, float) for k, v in w.items()}
+                moved[name][at] += d
+                sides.append(clip_head.clip_gradient(x, 2, 1.5, moved)[0])
+            assert np.asarray(g)[at] == pytest.approx((sides[0] - sides[1]) / 2e-6, abs=1e-6)
+
+
+def test_training(spark):
+    """Losses equal a loop over all clips, at any partitioning, and fall; the head is the best epoch's."""
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(3, 4))
+    data = [((centre[k % 3] + 0.3 * rng.normal(size=(rng.integers(1, 7), 4))).tolist(), k % 3, 1.0 + (k % 3)) for k in range(24)]
+    start = clip_head.initial_head(4, 6, 3, 1)
+    seen = []
+    for parts in (1, 5):
+        df = spark.createDataFrame(data, "embs array<array<double>>, label int, weight double").repartition(parts)
+        best, history = clip_head.train_head(df, start, 6, rate=0.05)
+        seen.append([loss for _, loss, _ in history])
+    assert np.allclose(seen[0], seen[1], rtol=1e-9) and seen[0][-1] < 0.7 * seen[0][0]
+
+    w, m, v, losses, right = {k: np.array(x, float) for k, x in start.items()}, {}, {}, [], []
+    for t in range(1, 7):
+        each = [clip_head.clip_gradient(np.array(x), y, c, w) for x, y, c in data]
+        mass = sum(c for _, _, c in data)
+        losses.append(sum(loss for loss, _, _ in each) / mass)
+        right.append((np.mean([np.mean([g == k for (_, g, _), (_, y, _) in zip(each, data, strict=True) if y == k]) for k in range(3)]), w))
+        for k in list(w):
+            g = sum(s[k] for _, _, s in each) / mass
+            m[k], v[k] = 0.9 * m.get(k, 0) + 0.1 * g, 0.999 * v.get(k, 0) + 0.001 * g * g
+            w = w | {k: w[k] - 0.05 * (m[k] / (1 - 0.9**t) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8) + 0.01 * w[k])}
+    assert np.allclose(seen[0], losses, rtol=1e-9)
+    want = max(right, key=lambda r: r[0])[1]
+    assert all(np.allclose(best[k], want[k], atol=1e-9) for k in want)
