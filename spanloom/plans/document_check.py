@@ -85,7 +85,7 @@ def validate_documents(docs: DataFrame, manifest: DataFrame, classes: list[str],
     manifest is looked at no further, nor is one whose events are no list. An event's level is the manifest's. Where no id is known
     video_id is <file> or <prediction k>. A text that is no JSON has one finding, an empty table none; a null text is no JSON.
 
-    A document is parsed once, as a variant, and its predictions are spread over rows; documents have to fit in a task, their predictions needn't. Two
+    A document is parsed as a variant and its predictions are spread over rows; documents have to fit in a task, their predictions needn't. Two
     shuffles: by id, for repeats and for the manifest.
     """
     named = lambda rows, pos, video, found: rows.select(*key, pos.alias("pos"), video.alias("video_id"), F.inline(F.array_compact(found)))
