@@ -289,7 +289,9 @@ def sweep_decode_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = P.window_probabilities(V.frames(spark, sf_dir), V.head(spark, sf_dir), width=6, stride=2, scale=60.0)
     params = spark.createDataFrame(_GRID, "param_id bigint, threshold double, factor double")
     found = P.window_sweep(scores, params, normal=9, width=6, stride=2, least=2)
-    return found.groupBy("param_id").agg(F.count("*").alias("spans"), F.sum(F.col("en") - F.col("st")).alias("frames"), r6(F.max("score")).alias("best"))
+    each = found.groupBy("param_id").agg(F.count("*").alias("spans"), F.sum(F.col("en") - F.col("st")).alias("frames"), r6(F.max("score")).alias("best"))
+    # Parameters under which no span is left count too.
+    return params.select("param_id").join(each, "param_id", "left").withColumn("spans", F.coalesce("spans", big(F.lit(0))))
 
 
 @query("select video_id, i, k::bigint as k, round(case when k % 2 = 0 then sin(i / pow(10000, 2 * (k // 2) / 8.0::double)) else cos(i / pow(10000, 2 * (k // 2) / 8.0::double)) end, 6) + 0.0::double as x from (select video_id, i, unnest(range(0, 8)) as k from v_frames)")

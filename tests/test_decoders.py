@@ -157,3 +157,21 @@ def test_error_rows_heads_and_metrics(spark, tmp_path):
     metrics = spark.createDataFrame([(1, 0.5, None), (2, 0.75, 3)], "epoch int, f1 double, n int")
     readers.write_metrics(metrics, f"file://{tmp_path}/metrics")
     assert sorted(map(str, readers.read_metrics(spark, f"file://{tmp_path}/metrics", "epoch int, f1 double, n int").collect())) == sorted(map(str, metrics.collect()))
+
+
+def test_a_parameter_set_without_spans_has_a_row(spark, tmp_path):
+    """A video whose five classes have equal probability (0.2) and a normal one: spans under thresholds of 0.15 and 0.2, none under 0.25; and no frames at all."""
+    import duckdb
+
+    from spanloom.queries import CATALOGUE
+
+    query, sql = CATALOGUE["sweep_decode_grid"]
+    for n in (100, 0):
+        own = F.col("id") < 50
+        rows = spark.range(n).select(F.col("id").alias("vec_id"), F.array(*[F.when(own, 0.5).otherwise(-0.5).cast("float")] * 64).alias("embedding"), F.when(own, F.col("id") % 5).otherwise(9).cast("int").alias("label"))
+        rows.write.parquet(str(tmp_path / f"{n}" / "embeddings.parquet"))
+        con = duckdb.connect()
+        con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/{n}/embeddings.parquet/*.parquet')")
+        found = sorted(map(tuple, query(spark, str(tmp_path / f"{n}")).collect()))
+        assert found == sorted(con.execute(sql).fetchall())
+        assert [r[:2] for r in found] == [(0, n // 100), (1, n // 100), (2, 0)]
