@@ -2,8 +2,12 @@
 
 import json
 import random
+from collections import Counter
+
+import pytest
 
 from spanloom.plans.document_check import validate_documents
+from spanloom.queries import CATALOGUE
 
 CLASSES = ["fire", "smoke"]
 MOST = 3000
@@ -143,3 +147,24 @@ def test_documents(spark):
     want = sorted((k, -1 if pos is None else pos, *rest) for k, t in enumerate(texts) for pos, *rest in read(t, levels))
     assert got == want
     assert validate_documents(docs.limit(0), manifest, CLASSES, ["doc"]).isEmpty()
+
+
+@pytest.fixture(scope="module")
+def two_videos(spark, tmp_path_factory):
+    """Events of video 10, which the manifest has, and of 11, which it hasn't; each with a class that isn't known."""
+    path = tmp_path_factory.mktemp("two_videos")
+    rows = [(17, 10, "view", 1.0), (34, 11, "view", 1.0), (35, 11, "click", 1.0)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double").write.parquet(str(path / "events.parquet"))
+    spark.createDataFrame([(10,), (11,)], "c_custkey bigint").write.parquet(str(path / "customer.parquet"))
+    return str(path)
+
+
+_PARTS = ("v_ids", "v_class", "v_times", "v_explanation", "v_runtime", "v_duration", "v_warn")
+
+
+def test_validate_all_counts_events_outside_the_manifest(spark, two_videos):
+    query = {name: CATALOGUE[name][0] for name in ("validate_all", *_PARTS)}
+    found = {(r.field, r.problem, r.severity): r.n for r in query["validate_all"](spark, two_videos).collect()}
+    assert found["class_name", "unknown class", "error"] == 2
+    rows = [r for name in _PARTS for r in query[name](spark, two_videos).collect()]
+    assert found == Counter((r.field, r.problem, r.severity) for r in rows)
