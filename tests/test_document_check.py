@@ -168,3 +168,9 @@ def test_validate_all_counts_events_outside_the_manifest(spark, two_videos):
     assert found["class_name", "unknown class", "error"] == 2
     rows = [r for name in _PARTS for r in query[name](spark, two_videos).collect()]
     assert found == Counter((r.field, r.problem, r.severity) for r in rows)
+
+
+def test_validation_passed_counts_events_outside_the_manifest(spark, two_videos):
+    rows = [r for name in _PARTS for r in CATALOGUE[name][0](spark, two_videos).collect()]
+    errors = sum(r.severity == "error" for r in rows)
+    assert CATALOGUE["validation_passed"][0](spark, two_videos).collect() == [(False, errors, len(rows) - errors)]
