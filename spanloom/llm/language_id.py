@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from .common import slices
 
 #: Fixed by the method: n-gram lengths and hash buckets. CHUNK bounds the characters that are held as n-grams at a time.
-LENGTHS, BUCKETS, CHUNK = (1, 2, 3), 1 << 15, 1 << 19
+LENGTHS, BUCKETS, CHUNK = (1, 2, 3), 1 << 15, 1 << 17
 
 
 def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -18,8 +18,8 @@ from .components import connected_components
 #: Blocks that fingerprints are dealt to, so that each goes to at most so many tasks; and most fingerprints in a block, beyond which there
 #: are more blocks. A task compares two blocks, tile by tile.
 BLOCKS, MOST, TILE = 32, 1 << 20, 512
-#: Pairs of positions that a task holds before it works them in.
-HELD = 1 << 20
+#: Pairs of positions that a task holds before it works them in, and of which it compares the sketches at a time; results don't depend on them.
+HELD, COMPARED = 1 << 17, 1 << 12
 #: The same for blocks with sketches, and slots of a sketch.
 SKETCH_BLOCKS, MOST_SKETCHES, SLOTS = 8, 1 << 16, 256
 #: Sketches may show a similarity lower by so much than asked for (four standard deviations at 0.8) and are compared exactly then;
@@ -72,10 +72,10 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def similar(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
     """Whether rows i of a and j of b, matrices of sketches, show a Jaccard similarity of at least `least`; texts without words are alike."""
     out = np.empty(len(i), bool)
-    for k in range(0, len(i), 1 << 14):
-        x, y = a[i[k : k + (1 << 14)]], b[j[k : k + (1 << 14)]]
+    for k in range(0, len(i), COMPARED):
+        x, y = a[i[k : k + COMPARED]], b[j[k : k + COMPARED]]
         used = ((x != 0) | (y != 0)).sum(axis=1)
-        out[k : k + (1 << 14)] = ((x == y) & (x != 0)).sum(axis=1) >= least * used
+        out[k : k + COMPARED] = ((x == y) & (x != 0)).sum(axis=1) >= least * used
     return out
 
 
