@@ -443,6 +443,42 @@ def test_changed_passages_whose_parts_stand_in_other_documents(spark):
     assert all(len({of[i] // 10 for i in link}) == 1 for link in links)
 
 
+def test_no_passage_is_lost_to_holders_of_its_parts(spark):
+    """Changed passages that are found in two documents alone are found too where 40 others hold parts of 20 words, and all hold one line."""
+    rng = random.Random(5)
+    fill = lambda n: [f"w{rng.randrange(100_000)}" for _ in range(n)]
+    line, alone, among = fill(15), [], []
+    for k in range(20):
+        p = fill(60)
+        pair = [(100 * k + x, fill(30) + w + fill(30)) for x, w in enumerate((p, [w if (i + 1) % 9 else f"c{rng.randrange(10**6)}" for i, w in enumerate(p)]))]
+        parts = [p[s : s + 20] for s in (rng.randrange(41) for _ in range(40))]
+        alone += pair
+        among += pair + [(100 * k + 2 + j, fill(20) + part + fill(20)) for j, part in enumerate(parts)]
+    order = rng.sample(range(100 * 20), 100 * 20)
+    found = []
+    for rows in (alone, among):
+        df = spark.createDataFrame([(order[i], " ".join(w + line)) for i, w in rows], "doc_id bigint, text string").repartition(4)
+        found.append({frozenset((order.index(r.id), order.index(r.partner))) for r in repeated_passages(df).collect()})
+    assert len(found[0]) >= 19 and found[0] == found[1]
+
+
+def test_seed_pairs_tell_equal_runs_wherever_they_stand():
+    rng = random.Random(6)
+    shared, words = fresh(rng, 40), lambda n: fresh(rng, n)
+    texts = [words(n) + shared + words(200) for n in (0, 70, 90)] + [words(80) + shared[:20] + words(1) + shared[21:] + words(80)]
+    found = []
+    for text in texts:
+        hashes, at = chaining.seeds(chaining.word_hashes(text))
+        found.append({(pair, to - x): mid for pair, x, to, mid, _ in zip(*(c.tolist() for c in chaining.seed_pairs(b" ".join(text).decode(), hashes.view(np.int64), at)), strict=True)})
+    a, b, c, d = found
+    both = a.keys() & b.keys() & c.keys()
+    assert len(both) >= 10 and all(a[k] == b[k] == c[k] for k in both)
+    assert {a[k] == d[k] for k in a.keys() & d.keys()} == {True, False}
+    # Of a seed's places in a row the last is taken with what follows.
+    keys, at = np.array([7, 7, 7, 9, 9], np.int64), np.arange(5, dtype=np.int32)
+    assert list(zip(*(c.tolist() for c in chaining.seed_pairs("a " * 30, keys, at)[1:3]), strict=True)) == [(2, 3)]
+
+
 def test_a_passage_grows_beyond_what_was_cut_out(spark, monkeypatch):
     """Of a long passage only a few seeds in its middle are left: it is aligned to its ends all the same."""
     rng = random.Random(2)
