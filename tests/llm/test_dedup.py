@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -479,6 +480,20 @@ def test_seed_pairs_tell_equal_runs_wherever_they_stand():
     assert list(zip(*(c.tolist() for c in chaining.seed_pairs("a " * 30, keys, at)[1:3]), strict=True)) == [(2, 3)]
 
 
+def test_stored_tables_are_made_in_small_batches(spark):
+    from spanloom.llm.common import stored
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    rows = spark.range(4000).selectExpr("repeat('x', 5000) as t").coalesce(1)
+    sizes = [r.n for r in stored(rows.mapInArrow(sizes, "n bigint"), "sizes").collect()]
+    assert len(sizes) >= 4 and max(sizes) < 6 << 20 and spark.conf.get(key) == before
+
+
 def test_a_passage_grows_beyond_what_was_cut_out(spark, monkeypatch):
     """Of a long passage only a few seeds in its middle are left: it is aligned to its ends all the same."""
     rng = random.Random(2)
