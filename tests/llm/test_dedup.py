@@ -503,3 +503,90 @@ def test_a_passage_grows_beyond_what_was_cut_out(spark, monkeypatch):
     df = spark.createDataFrame([(1, " ".join(p)), (2, " ".join(["x", *other, "y"]))], "doc_id bigint, text string")
     (r,) = repeated_passages(df).collect()
     assert r.partner_start <= 2 and r.partner_end >= 698 and (r.start, r.end) == (r.partner_start + 1, r.partner_end + 1)
+
+
+def test_every_document_with_a_passage_is_a_doc_id(spark, tmp_path):
+    """op9's rows have each passage from both of its documents' side, so none is a partner only."""
+    from spanloom.llm.queries import QUERIES
+
+    rng = random.Random(8)
+    rows = []
+    for k in range(12):
+        passage = fresh(rng, 60)
+        rows += [(10 * k + x, b" ".join(fresh(rng, 20 + x) + passage + fresh(rng, 20)).decode()) for x in range(2 + k % 3)]
+    lone = [(1000 + k, b" ".join(fresh(rng, 90)).decode()) for k in range(20)]
+    spark.createDataFrame(rows + lone, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["op9_repeated_passages"](spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in found} == {k for k, _ in rows}
+    sides = {(r.doc_id, r.partner_id, r.start, r.end, r.partner_start, r.partner_end) for r in found}
+    assert sides == {(b, a, s, e, p, q) for a, b, p, q, s, e in sides} and len(sides) == len(found)
+
+
+def test_holders_of_two_seeds_are_compared_before_their_texts_are(spark, monkeypatch):
+    """Documents that share 25 words and nothing about them yield no pairs whose texts are aligned, however many they are; changed passages among them still do."""
+    from spanloom.llm import common
+
+    rng = random.Random(9)
+    line, sizes = fresh(rng, 25), {}
+    passage = fresh(rng, 60)
+    passage[20:45] = line
+    other = [fresh(rng, 1)[0] if k < 20 and k % 9 == 8 or k >= 45 and k % 6 == 3 else w for k, w in enumerate(passage)]
+    texts = [fresh(rng, 70) + line + fresh(rng, 70) for _ in range(120)] + [fresh(rng, 70) + p + fresh(rng, 70) for p in (passage, other)]
+
+    def counted(df, name):
+        out = common.stored(df, name)
+        sizes[name] = sizes.get(name, 0) + (out.count() if name in ("met", "wanted") else 0)
+        return out
+
+    monkeypatch.setattr(chaining, "stored", counted)
+    df = spark.createDataFrame([(k, b" ".join(w).decode()) for k, w in enumerate(texts)], "doc_id bigint, text string")
+    found = {(r.id, r.partner) for r in repeated_passages(df).collect()}
+    assert found == {(121, 120)} and sizes["met"] < 1000, sizes
+
+
+def test_spots_are_compared_as_texts_are_aligned():
+    """Sights takes every pair of spots about which align finds a passage, from one seed on or from both, and few others."""
+    rng = random.Random(10)
+    texts, wanted, taken = [], 0, 0
+    for k in range(150):
+        base = fresh(rng, 130)
+        share = rng.choice((0.05, 0.15, 0.25, 0.35, 0.5, 0.9))
+        other = [w if rng.random() > share else x for w, x in zip(base, fresh(rng, 130), strict=True)]
+        gap = rng.randrange(1, 40)
+        other[50:55], other[50 + gap : 55 + gap] = base[50:55], base[50 + gap : 55 + gap]
+        shift = rng.randrange(4)
+        texts.append((base[rng.randrange(45) :] if k % 3 else base, fresh(rng, shift) + other[: 60 + rng.randrange(70) + gap - 30] if gap > 10 else other, base, gap))
+    for a, b, base, gap in texts:
+        spots = []
+        for words in (a, b):
+            spot = [next((i for i in range(len(words) - 4) if words[i : i + 5] == base[s : s + 5]), None) for s in (50, 50 + gap)]
+            spots.append(None if None in spot else spot)
+        if None in spots:
+            continue
+        near = [chaining.surroundings(chaining.word_hashes(w), *(np.array([x]) for x in spot)) for w, spot in zip((a, b), spots, strict=True)]
+        at, to = (np.array([s[k] for s in spots]) for k in range(2))
+        sights = chaining.Sights(np.concatenate([w for w, _ in near]), np.concatenate([n for _, n in near]), at, to)
+        (may,) = sights.alike(np.array([0]), np.array([1]))
+        cut = lambda w, spot: (w[max(0, spot[0] - chaining.MARGIN) : spot[-1] + 5 + chaining.MARGIN], [x - max(0, spot[0] - chaining.MARGIN) for x in spot])
+        real = False
+        for pick in (slice(0, 1), slice(1, 2), slice(0, 2)):
+            (x, own), (y, far) = (cut(w, spot[pick]) for w, spot in zip((a, b), spots, strict=True))
+            s, e, p, q, same = align(x, y, own, far)
+            real |= e - s >= 50 and q - p >= 50 and same >= 0.7
+        assert may or not real
+        wanted, taken = wanted + real, taken + bool(may)
+    assert wanted > 20 and taken < 2 * wanted
+
+
+def test_seeds_of_many_texts_are_those_of_each():
+    rng = random.Random(12)
+    texts = [[rng.choice((b"a", b"b", b"c", b"d")) for _ in range(rng.choice((0, 3, 5, 9, 10, 20, 49, 50, 51, 300)))] for _ in range(80)]
+    hashes = [chaining.word_hashes(t) for t in texts]
+    sizes = np.array([len(t) for t in texts])
+    for size, window in ((chaining.SEED, chaining.WINDOW), (chaining.GRAM, chaining.GRAM_WINDOW)):
+        got = sorted(zip(*(c.tolist() for c in chaining.seeds_of_all(np.concatenate(hashes), sizes, size, window)), strict=True))
+        assert got == sorted((h, k, p) for k, t in enumerate(hashes) for h, p in zip(*(c.tolist() for c in chaining.seeds(t, size, window)), strict=True))
+    bounds = [(1, 5), (3, 2), (3, 2), (3, 9), (7, 0)]
+    rows = [(k, r) for k in range(9) for r in range(11)]
+    ranges = chaining.range_of(*(np.array(c, np.int64) for c in zip(*rows, strict=True)), tuple(np.array(c, np.int64) for c in zip(*bounds, strict=True)))
+    assert ranges.tolist() == [sum(b < r for b in bounds) for r in rows]
