@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staying, stored, text_key
+from .common import new_path, scope, staying, stored, text_key, written
 
 #: Bytes that the first split looks at; each later one looks at STRIDE times as many.
 FIRST_BYTES, STRIDE = 32, 8
@@ -53,5 +53,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, one for each distinct text, with their columns as they were (see exact_groups)."""
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), text_key(id_col, text_col).alias("rid"))
-    fates = exact_groups(keyed, "id", "text", carry=["id", "rid"]).select("row.id", "row.rid", F.col("kept").alias("stay"))
-    return staying(docs, stored(fates, "fates"), id_col, text_col)
+    path = new_path(docs.sparkSession, "fates")
+    with scope(docs.sparkSession, "radix"):
+        fates = written(exact_groups(keyed, "id", "text", carry=["id", "rid"]).select("row.id", "row.rid", F.col("kept").alias("stay")), path)
+    return staying(docs, fates, id_col, text_col)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import joined, slices, staying, stored, text_key
+from .common import joined, new_path, scope, slices, staying, stored, text_key, written
 from .components import connected_components
 
 #: Blocks that fingerprints are dealt to, so that each goes to at most so many tasks; and most fingerprints in a block, beyond which there
@@ -20,8 +20,10 @@ from .components import connected_components
 BLOCKS, MOST, TILE = 32, 1 << 20, 512
 #: Pairs of positions that a task holds before it works them in, and of which it compares the sketches at a time; results don't depend on them.
 HELD, COMPARED = 1 << 17, 1 << 12
-#: The same for blocks with sketches, and slots of a sketch.
-SKETCH_BLOCKS, MOST_SKETCHES, SLOTS = 8, 1 << 16, 256
+#: The same for blocks with codes, slots of a sketch, and names of the columns of its code. A fingerprint goes to as many tasks as there are blocks, so what it takes
+#: along there is a code, an eighth of its sketch, and blocks are as large as a task holds.
+CODE_BLOCKS, MOST_CODES, SLOTS = 8, 1 << 18, 256
+CODE = [f"code{k}" for k in range(SLOTS // 32)]
 #: Sketches may show a similarity lower by so much than asked for (four standard deviations at 0.8) and are compared exactly then;
 #: nodes and bytes of shingles in a part of a group to compare, beyond which there are more parts.
 SLACK, MOST_NODES, MOST_BYTES = 0.1, 512, 32 << 20
@@ -58,6 +60,12 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.where(least == np.iinfo(np.uint64).max, 0, value).astype("<u2").tobytes()
 
 
+def codes(sketches: np.ndarray) -> np.ndarray:
+    """Rows of sketches with each slot cut to two bits (1 to 3; 0 if empty), as 64-bit numbers: first the slots' higher bits, then the lower ones."""
+    cut = np.where(sketches == 0, 0, sketches % 3 + 1).astype(np.uint8)
+    return np.packbits(np.concatenate([cut >> 1, cut & 1], axis=1), axis=1).view("<i8")
+
+
 def shingle_set(hashes: np.ndarray) -> bytes:
     """The different hashes in order."""
     return np.unique(hashes).astype("<u8").tobytes()
@@ -79,8 +87,20 @@ def similar(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, least: f
     return out
 
 
+def may_be_similar(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """The same of matrices of codes: true of all pairs of which `similar` is, as equal slots have equal codes, and of few others."""
+    out, half = np.empty(len(i), bool), a.shape[1] // 2
+    for k in range(0, len(i), COMPARED):
+        x, y = a[i[k : k + COMPARED]], b[j[k : k + COMPARED]]
+        own, other = x[:, :half] | x[:, half:], x ^ y
+        used = np.bitwise_count(own | y[:, :half] | y[:, half:]).sum(axis=1, dtype=np.int64)
+        equal = np.bitwise_count(own & ~(other[:, :half] | other[:, half:])).sum(axis=1, dtype=np.int64)
+        out[k : k + COMPARED] = equal >= least * used
+    return out
+
+
 def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text", sketches: bool = False) -> DataFrame:
-    """Rows of id_col, fp (bigint) and, if asked for, sketch and digest (of the set of shingles), one for each input row; null and wordless texts have fingerprint 0. Map-only."""
+    """Rows of id_col, fp (bigint) and, if asked for, the columns of the sketch's code and digest (of the set of shingles), one for each input row; null and wordless texts have fingerprint 0. Map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -91,10 +111,11 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
                 if sketches:
                     minima.append(sketch(hashes))
                     digests.append(xxhash.xxh64_intdigest(shingle_set(hashes)))
-            more = [pa.array(minima, pa.binary()), pa.array(np.array(digests, np.uint64).view(np.int64))] if sketches else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *more], names=[id_col, "fp", "sketch", "digest"][: 2 + 2 * sketches])
+            more = [*codes(np.frombuffer(b"".join(minima), "<u2").reshape(-1, SLOTS)).T, np.array(digests, np.uint64).view(np.int64)] if sketches else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *map(pa.array, more)], names=[id_col, "fp", *extra])
 
-    schema = T.StructType([docs.schema[id_col], T.StructField("fp", T.LongType()), *[T.StructField("sketch", T.BinaryType()), T.StructField("digest", T.LongType())][: 2 * sketches]])
+    extra = [*CODE, "digest"] if sketches else []
+    schema = T.StructType([docs.schema[id_col], *(T.StructField(name, T.LongType()) for name in ["fp", *extra])])
     return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -191,47 +212,33 @@ def _pairs_of_blocks(rows: DataFrame, radius: int, most: int, blocks: int) -> Da
 
 
 def _near(part: pd.DataFrame, radius: int, least: float | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Different nodes of a pair of blocks within radius, and of a similarity of at least `least` if that is given."""
+    """Different nodes of a pair of blocks within radius, and of a similarity that may be `least` by their codes if that is given."""
     a, b = part[part["side"] == 0], part[part["side"] == 1]
     left, right = a["node"].to_numpy(), b["node"].to_numpy()
-    sketches = [] if least is None else [np.frombuffer(b"".join(p["sketch"]), "<u2").reshape(-1, SLOTS) for p in (a, b)]
+    cut = [] if least is None else [np.ascontiguousarray(p[CODE].to_numpy()).view(np.uint64) for p in (a, b)]
     for i, j in links(a["fp"].to_numpy().view(np.uint64), b["fp"].to_numpy().view(np.uint64), radius):
         ok = left[i] != right[j]
         i, j = i[ok], j[ok]
-        if sketches:
-            ok = similar(sketches[0], sketches[1], i, j, least)
+        if cut:
+            ok = may_be_similar(*cut, i, j, least)
             i, j = i[ok], j[ok]
         yield left[i], right[j]
 
 
 def near_links(rows: DataFrame, radius: int = 4, similarity: float | None = None) -> DataFrame:
     """Links (u, v) between nodes, enough of them to join all whose fingerprints are within radius of each other and, if a
-    similarity is asked for, whose sketches show it.
+    similarity is asked for, whose sketches show it (and a few more, whose codes do).
 
-    rows: a stored table of node (bigint, without repeats), fp, and sketch if similarity is given. Every pair of fingerprints is compared, or
+    rows: a stored table of node (bigint, without repeats), fp, and the columns CODE if similarity is given. Every pair of fingerprints is compared, or
     skipped because bit counts prove it too far apart. Pairs of blocks go to tasks of bounded size, and each returns a spanning
-    forest of what it finds, not all pairs. The work is quadratic in the number of nodes. Sketches are heavy, so they travel
-    only with nodes that have another within radius, which a first comparison finds.
+    forest of what it finds, not all pairs. The work is quadratic in the number of nodes.
     """
 
     def forest(part: pd.DataFrame) -> pd.DataFrame:
-        return _folded(_near(part, radius))
-
-    def active(part: pd.DataFrame) -> pd.DataFrame:
-        met = np.empty(0, np.int64)
-        for pair in _near(part, radius):
-            met = np.unique(np.concatenate([met, *pair]))
-        return pd.DataFrame({"node": met})
-
-    def alike(part: pd.DataFrame) -> pd.DataFrame:
         return _folded(_near(part, radius, similarity))
 
-    plain = _pairs_of_blocks(rows.select("node", "fp"), radius, MOST, BLOCKS).groupBy("pair")
-    if similarity is None:
-        return plain.applyInPandas(forest, "u bigint, v bigint")
-    met = stored(plain.applyInPandas(active, "node bigint").distinct(), "active")
-    kept = stored(rows.join(met, "node", "left_semi"), "sketches")
-    return _pairs_of_blocks(kept, radius, MOST_SKETCHES, SKETCH_BLOCKS).groupBy("pair").applyInPandas(alike, "u bigint, v bigint")
+    size = (MOST, BLOCKS) if similarity is None else (MOST_CODES, CODE_BLOCKS)
+    return _pairs_of_blocks(rows.select("node", "fp", *CODE * (similarity is not None)), radius, *size).groupBy("pair").applyInPandas(forest, "u bigint, v bigint")
 
 
 def _verified(part: pd.DataFrame, similarity: float) -> pd.DataFrame:
@@ -323,19 +330,19 @@ def _dealt(sets: DataFrame, similarity: float) -> DataFrame:
 def exact_links(keyed: DataFrame, nodes: DataFrame, candidates: DataFrame, width: int, similarity: float) -> DataFrame:
     """Links (u, v) that join all nodes whose sets of shingles have the similarity and that are in one group of candidates.
 
-    keyed: id (of id and rid) and text of rows; nodes: node, sketch and least (a row that holds it); candidates: node and root. Only texts in
+    keyed: id (of id and rid) and text of rows; nodes: node and least (a row that holds it); candidates: node and root. Only texts in
     groups are read again. A group that a task can hold is compared there. Larger ones are first linked along sorted sketches, which joins most close copies at a few copies
     of each set; only groups that are still in several components are dealt to pairs of bounded parts, in which nothing that is joined already is compared.
     """
-    met = stored(nodes.join(candidates, "node").select("node", "root", "sketch", F.col("least.id").alias("own"), F.col("least.rid").alias("own_rid")), "met")
-    rows = joined(keyed.select(F.col("id.id").alias("id"), F.col("id.rid").alias("rid"), F.col("text").cast("string").alias("text")), met, F.col("id").eqNullSafe(F.col("own")) & (F.col("rid") == F.col("own_rid")), "inner", 600)
+    met = stored(nodes.join(candidates, "node").select("node", "root", F.col("least.id").alias("own"), F.col("least.rid").alias("own_rid")), "met")
+    rows = joined(keyed.select(F.col("id.id").alias("id"), F.col("id.rid").alias("rid"), F.col("text").cast("string").alias("text")), met, F.col("id").eqNullSafe(F.col("own")) & (F.col("rid") == F.col("own_rid")), "inner", 64)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 200):
-            sets = [shingle_set(shingle_hashes(t.as_py(), width)) for t in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["node", "root", "sketch", "shingles"])
+            hashes = [shingle_hashes(t.as_py(), width) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(map(f, hashes), pa.binary()) for f in (sketch, shingle_set))], names=["node", "root", "sketch", "shingles"])
 
-    sets = stored(rows.select("node", "root", "sketch", "text").mapInArrow(cut, _SET), "shingles")
+    sets = stored(rows.select("node", "root", "text").mapInArrow(cut, _SET), "shingles")
     large = (F.count("*") > MOST_NODES) | (F.sum(F.length("shingles")) > MOST_BYTES)
     size = stored(sets.groupBy("root").agg(large.alias("large")), "sizes")
     sized = joined(sets, size, ["root"], "inner", 12)
@@ -371,16 +378,18 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, similarity
 def _grouped(docs: DataFrame, width: int, radius: int, similarity: float | None, id_col: str, text_col: str) -> DataFrame:
     """id, rid, fp and least (id and rid of the group's first row) of each row."""
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), text_key(id_col, text_col).alias("rid")).alias("id"), F.col(text_col).alias("text"))
-    prints = fingerprints(keyed, width, "id", "text", similarity is not None).select("id.id", "id.rid", "fp", *["sketch", "digest"] * (similarity is not None))
+    spark, extra = docs.sparkSession, CODE * (similarity is not None)
+    prints = fingerprints(keyed, width, "id", "text", similarity is not None).select("id.id", "id.rid", "fp", *extra, *["digest"] * (similarity is not None))
     prints = stored(prints.withColumn("node", F.col("fp") if similarity is None else F.xxhash64("fp", "digest")).drop("digest"), "fingerprints")
-    extra = [] if similarity is None else [F.first("sketch").alias("sketch")]
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid"))
-    distinct = stored(prints.groupBy("node", "fp").agg(first.alias("least"), *extra), "distinct")
-    links = near_links(distinct.drop("least"), radius, None if similarity is None else similarity - SLACK)
-    if similarity is not None:
-        links = exact_links(keyed, distinct, connected_components(links), width, similarity)
-    roots = connected_components(links).withColumnRenamed("node", "of")
-    group = stored(distinct.select("node", "least").join(roots, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root")), "groups")
+    path = new_path(spark, "groups")
+    with scope(spark, "links"):
+        distinct = stored(prints.groupBy("node", "fp", *extra).agg(first.alias("least")), "distinct")
+        links = near_links(distinct.drop("least"), radius, None if similarity is None else similarity - SLACK)
+        if similarity is not None:
+            links = exact_links(keyed, distinct, connected_components(links), width, similarity)
+        roots = connected_components(links).withColumnRenamed("node", "of")
+        group = written(distinct.select("node", "least").join(roots, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root")), path)
     least = group.groupBy("root").agg(F.min("least").alias("first"))
     of_node = group.join(least, "root").select("node", F.col("first").alias("least"))
     return prints.select("id", "rid", "fp", "node").join(of_node, "node").select("id", "rid", "fp", "least")
@@ -393,6 +402,8 @@ def near_dedup(docs: DataFrame, width: int = 5, radius: int = 18, similarity: fl
     thousand pairs of texts of one size by the binomial distribution, fewer above; see near_duplicates. Of rows that repeat
     that id, one stays; a row with a null id only if the group has no other.
     """
-    found = _grouped(docs, width, radius, similarity, id_col, text_col)
     stay = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("rid") == F.col("least.rid"))
-    return staying(docs, stored(found.select("id", "rid", stay.alias("stay")), "fates"), id_col, text_col)
+    path = new_path(docs.sparkSession, "fates")
+    with scope(docs.sparkSession, "groups"):
+        fates = written(_grouped(docs, width, radius, similarity, id_col, text_col).select("id", "rid", stay.alias("stay")), path)
+    return staying(docs, fates, id_col, text_col)

@@ -1,11 +1,15 @@
 import hashlib
+import os
 import random
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from spanloom.llm import chaining, simhash, suffix_dedup
 from spanloom.llm.chaining import align, best_chains, repeated_passages
@@ -494,6 +498,54 @@ def test_stored_tables_are_made_in_small_batches(spark):
     assert len(sizes) >= 4 and max(sizes) < 6 << 20 and spark.conf.get(key) == before
 
 
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    from spanloom.llm.common import stored
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {b.toString() for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllBlocks()) if b.toString().startswith("shuffle_")}
+    there = files()
+    table = stored(spark.range(50_000).selectExpr("id % 977 as k", "id").groupBy("k").agg(F.collect_list("id").alias("ids")), "grouped")
+    for _ in range(50):
+        if not (left := files() - there):
+            break
+        time.sleep(0.2)
+    assert not left and table.count() == 977 and spark.conf.get(key) == before
+
+
+def test_near_dedup_takes_little_along_and_drops_its_tables(spark, monkeypatch):
+    """What goes to every task of a block is an eighth of a sketch, and of the tables on the way only those stay that the result reads."""
+    from spanloom.llm.common import _own_folder
+
+    rng, rows, pairs = random.Random(8), [], simhash._pairs_of_blocks
+    for k in range(300):
+        rows.append((k, " ".join(str(rng.randrange(500)) for _ in range(100))))
+    rows += [(k + 300, f"{t} more") for k, t in rows[:40]]
+    width = []
+    monkeypatch.setattr(simhash, "_pairs_of_blocks", lambda r, *a: width.append(r.agg(F.max(sum((F.length(c) if t == "binary" else F.lit(8) for c, t in r.dtypes), F.lit(0)))).first()[0]) or pairs(r, *a))
+    folder = Path(_own_folder(spark).removeprefix("file://"))
+    there = set(os.listdir(folder)) if folder.is_dir() else set()
+    kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert max(width) <= 80
+    assert {p.split("-")[0] for p in set(os.listdir(folder)) - there} == {"fates", "gone", "twice"}
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(300))
+
+
+def test_codes_miss_no_similar_sketches():
+    rng, base = np.random.default_rng(9), np.random.default_rng(9).integers(0, 1 << 63, 3000).astype(np.uint64)
+    sets = [np.concatenate([base[: n - n // d], rng.integers(0, 1 << 63, n // d).astype(np.uint64)]) for n in (5, 40, 300, 3000) for d in (1, 2, 3, 4, 5, 10, 1000)]
+    sketches = np.frombuffer(b"".join(map(simhash.sketch, [*sets, base[:0], base[:0]])), "<u2").reshape(-1, simhash.SLOTS)
+    cut = simhash.codes(sketches).view(np.uint64)
+    i, j = (x.ravel() for x in np.indices((len(sketches), len(sketches))))
+    for least in (0.5, 0.7, 0.9):
+        want, got = simhash.similar(sketches, sketches, i, j, least), simhash.may_be_similar(cut, cut, i, j, least)
+        assert not (want & ~got).any() and got.sum() < want.sum() + 0.2 * (~want).sum() and want[-1]
+    far = np.frombuffer(b"".join(simhash.sketch(rng.integers(0, 1 << 63, 800).astype(np.uint64)) for _ in range(200)), "<u2").reshape(-1, simhash.SLOTS)
+    i, j = np.triu_indices(200, 1)
+    assert not simhash.may_be_similar(*[simhash.codes(far).view(np.uint64)] * 2, i, j, 0.6).any()
+
+
 def test_a_passage_grows_beyond_what_was_cut_out(spark, monkeypatch):
     """Of a long passage only a few seeds in its middle are left: it is aligned to its ends all the same."""
     rng = random.Random(2)
