@@ -630,6 +630,69 @@ def test_spots_are_compared_as_texts_are_aligned():
     assert wanted > 20 and taken < 2 * wanted
 
 
+def test_a_run_short_of_a_passage_is_told_from_one_before_texts_are_aligned(spark, monkeypatch):
+    """Documents that share 40 equal words, which with any few more equal ones could be a passage, yield no matches to align; changed passages about the same words do."""
+    from spanloom.llm import common
+
+    rng = random.Random(12)
+    run, sizes = fresh(rng, 40), {}
+    passage = fresh(rng, 10) + run + fresh(rng, 20)
+    other = passage[:10] + run + [fresh(rng, 1)[0] if k % 4 == 3 else w for k, w in enumerate(passage[50:])]
+    texts = [fresh(rng, 70) + run + fresh(rng, 70) for _ in range(60)] + [fresh(rng, 70) + p + fresh(rng, 70) for p in (passage, other)]
+
+    def counted(df, name):
+        out = common.stored(df, name)
+        sizes[name] = sizes.get(name, 0) + (out.count() if name in ("met", "seen") else 0)
+        return out
+
+    monkeypatch.setattr(chaining, "stored", counted)
+    df = spark.createDataFrame([(k, b" ".join(w).decode()) for k, w in enumerate(texts)], "doc_id bigint, text string")
+    found = {(r.id, r.partner) for r in repeated_passages(df).collect()}
+    assert found == {(61, 60)} and sizes["seen"] > 1000 and sizes["met"] < 100, sizes
+
+
+def test_what_no_seed_is_told_to_begin_no_chain_holds():
+    """Where for all pairs of common seeds told says that no chain may hold a passage, none does, nor any seed by itself that isn't told to."""
+    rng = random.Random(13)
+    kinds, margin = Counter(), chaining.MARGIN
+    for k in range(250):
+        a = fresh(rng, 200)
+        b = fresh(rng, 200)
+        at, to = 60 + rng.randrange(10), 60 + rng.randrange(10)
+        while at < 150 and to < 150:  # equal stretches with changed or lost words between
+            n = rng.choice((6, 8, 12, 20, 30)) if k % 2 else rng.choice((5, 6, 40))
+            b[to : to + n] = a[at : at + n]
+            if rng.random() < 0.3:
+                break
+            at, to = at + n + rng.randrange(1, 11), to + n + rng.randrange(1, 11)
+        places = {tuple(b[j : j + 5]): j for j in range(len(b) - 4)}
+        common = [(i, places[tuple(a[i : i + 5])]) for i in range(len(a) - 4) if tuple(a[i : i + 5]) in places and rng.random() < 0.6]
+        spots = [(m, n) for x, m in enumerate(common) for n in common[x + 1 :] if n[0] - m[0] <= chaining.NEAR and 0 < n[1] - m[1] <= chaining.NEAR]
+        if not spots:
+            continue
+        at, to = (np.array([s[end][side] for side in (0, 1) for s in spots]) for end in (0, 1))
+        near = [chaining.surroundings(chaining.word_hashes(w), at[rows], to[rows]) for w, rows in ((a, slice(0, len(spots))), (b, slice(len(spots), None)))]
+        sights = chaining.Sights(np.concatenate([w for w, _ in near]), np.concatenate([c for _, c in near]), at, to)
+        first, second, some = sights.told(np.arange(len(spots)), np.arange(len(spots)) + len(spots))
+        alone, may = {}, bool(some.any())
+        for (m, n), *own in zip(spots, first.tolist(), second.tolist(), strict=True):
+            for match, it in zip((m, n), own, strict=True):
+                alone[match] = alone.get(match, False) or it
+        matches = sorted(alone)
+
+        def passes(chain, a=a, b=b):
+            x, y = (max(0, chain[0][side] - margin) for side in (0, 1))
+            s, e, p, q, same = align(a[x : chain[-1][0] + 5 + margin], b[y : chain[-1][1] + 5 + margin], [m[0] - x for m in chain], [m[1] - y for m in chain])
+            return e - s >= 50 and q - p >= 50 and same >= 0.7
+
+        chains = [[matches[i] for i in c] for c in best_chains(*(np.array([m[side] for m in matches]) for side in (0, 1)))]
+        real = any(map(passes, chains))
+        assert [passes([m]) for m in matches] == [alone[m] for m in matches]
+        assert may or not real
+        kinds[real, may] += 1
+    assert kinds[True, True] > 30 and kinds[False, False] > 30, kinds
+
+
 def test_seeds_of_many_texts_are_those_of_each():
     rng = random.Random(12)
     texts = [[rng.choice((b"a", b"b", b"c", b"d")) for _ in range(rng.choice((0, 3, 5, 9, 10, 20, 49, 50, 51, 300)))] for _ in range(80)]
